@@ -9,12 +9,40 @@ from pyspark.sql import DataFrame, SparkSession
 from spanloom.runtime import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.withColumn("held_out", langid.held_out())
+    # A null doc_id has no remainder; such rows aren't learned from.
+    model = langid.fit(rows.where("doc_id IS NOT NULL AND NOT held_out").select("text", "lang"))
+    return langid.identify(rows, model, keep=["doc_id", "held_out"])
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm.tokenbin import token_ids
 
     return token_ids(table(spark, sf_dir, "documents"))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.matroska import media_features, store_texts
+
+    return media_features(store_texts(table(spark, sf_dir, "documents")))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm.packing import pack_documents
 
@@ -22,7 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_ids, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, op3_token_ids, op7_media_columns, op8_warc, op9_pii, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
