@@ -25,6 +25,12 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm.matroska import media_features, store_texts
 
@@ -50,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_token_ids, op7_media_columns, op8_warc, op9_pii, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, op3_token_ids, op6_minhash, op7_media_columns, op8_warc, op9_pii, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
