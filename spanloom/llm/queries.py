@@ -19,12 +19,30 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, model, keep=["doc_id", "held_out"])
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.tokencount import section_tokens
+
+    return section_tokens(table(spark, sf_dir, "documents"), rule="most")
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm.tokenbin import token_ids
 
     return token_ids(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.chunking import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.tiling import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm.minhash import near_duplicates
 
@@ -56,7 +74,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_token_ids, op6_minhash, op7_media_columns, op8_warc, op9_pii, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_token_ids, op4_substring_dedup, op5_decontamination, op6_minhash, op7_media_columns, op8_warc, op9_pii, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
