@@ -260,7 +260,7 @@ def _marked(docs: DataFrame, text_col: str, keep: list[str], **options) -> DataF
     """``keep``, __base, __counts, and __terms: sorted distinct (start, end) of disclosing terms."""
     spark = docs.sparkSession
     found = written(spark, _found(docs, text_col, keep), "pii-found")
-    pairs = disclosing(found, document_frequencies(docs, text_col), found.count(), **options)
+    pairs = written(spark, disclosing(found, document_frequencies(docs, text_col), found.count(), **options), "pii-pairs")
     some = F.size("__near") > 0
     at = found.where(some).select("__row", F.explode("__near").alias("x")).select("__row", "x.entity", "x.term", F.arrays_zip(F.col("x.start").alias("start"), F.col("x.end").alias("end")).alias("at"))
     terms = at.join(pairs.select("entity", "term"), ["entity", "term"]).groupBy("__row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("__terms"))
