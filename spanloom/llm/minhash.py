@@ -7,7 +7,9 @@
    the smallest and the largest member of its bucket. Candidates are verified by their signatures
    (far below the threshold: dropped), then on full sets.
 3. The links found join classes to components. Only buckets that still hold several components have
-   candidates left that could join any; those pairs, between components, are verified likewise.
+   candidates left that could join any. A bucket with few such pairs gives them; the members of
+   crowded ones go through an exact prefix filter instead: of two sets that overlap enough, the
+   rarest shingles of one occur among the rarest of the other. These candidates are verified likewise.
 4. Components by large-star and small-star.
 
 A pair at the threshold of 0.8 shares none of 40 bands of 5 rows with a probability of 1.2e-7.
@@ -34,6 +36,10 @@ BANDS, ROWS = 40, 5
 BROADCAST_IDS = 1 << 20
 #: Standard deviations below the threshold at which a signature rules a pair out.
 SIGMAS = 6.0
+#: Pairs between components that a bucket gives by itself; beyond it, its members take the prefix filter.
+LIGHT = 32
+#: Counters that rank shingles by how rare they are; any ranking gives all pairs.
+COUNTERS = 1 << 18
 _BLOCK = 1 << 14
 
 
@@ -110,6 +116,60 @@ class _Verifier:
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
         self.sketch, self.shingle, self.percent, self.n = sketch, shingle, percent, n
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """doc_id, members (sorted hashes, packed) of the documents with these ids; a written table."""
+        shingle, schema = self.shingle, pa.schema([("doc_id", pa.int64()), ("members", pa.binary())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keys, texts = columns(b, "doc_id", "text")
+                for lo, hi in groups(texts):
+                    yield batch_of(schema, doc_id=keys[lo:hi], members=[s.tobytes() for s in shingle_sets(texts[lo:hi], shingle)])
+
+        return written(ids.sparkSession, map_batches(_only(self.docs, ids, "doc_id"), run, "doc_id long, members binary"), "minhash-sets")
+
+    def prefix_pairs(self, named: DataFrame) -> DataFrame:
+        """u, v of every pair of ``named`` (doc_id, c) of different c that could overlap enough.
+
+        Shingles are ranked rarest first. Two sets of x and y shingles overlap enough if they share at
+        least o = ceil(t (x + y) / (1 + t)) of them; then the first x - o + 1 of the one and the first
+        y - o + 1 of the other have one in common. The rank comes from counters over these sets, a table
+        of fixed size.
+        """
+        spark, percent = named.sparkSession, self.percent
+        sets = self.sets(named.select("doc_id"))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(COUNTERS, np.int64)
+            for b in batches:
+                for x in columns(b, "members")[0]:
+                    total += np.bincount(np.frombuffer(x, np.uint64) % np.uint64(COUNTERS), minlength=COUNTERS)
+            slot = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "n"])
+
+        got = map_batches(sets.select("members"), count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
+        rank = np.zeros(COUNTERS, np.int64)
+        rank[got.slot.to_numpy()] = got.n.to_numpy()
+        shared = spark.sparkContext.broadcast(rank)
+
+        def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for key, x in zip(*columns(b, "doc_id", "members"), strict=True):
+                    x = np.frombuffer(x, np.uint64)
+                    n = len(x)
+                    x = x[np.lexsort((x, shared.value[x % np.uint64(COUNTERS)]))]
+                    x = x[: n + (-percent * n // 100) + 1].view(np.int64)  # no partner needs more of it
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), key)), pa.array(x), pa.array(np.full(len(x), n)), pa.array(np.arange(len(x)))], names=["doc_id", "token", "n", "at"])
+
+        rows = written(spark, map_batches(sets, prefixes, "doc_id long, token long, n long, at long").join(named, "doc_id"), "minhash-prefixes")
+        # A token that one component alone has joins nothing; a pair has a member outside its main one.
+        main = rows.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "c")).alias("main"), F.count("*").alias("several")).where("several > 1").select("token", F.col("main.c").alias("main"))
+        held = rows.join(main, "token")
+        y, x = (held.select("token", "main", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "c", "at"))) for s in "yx")
+        need = F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / (100 + percent) - 1e-9)
+        close = (F.col("c_y") != F.col("c_x")) & (F.col("at_x") <= F.col("n_x") - need) & (F.col("at_y") <= F.col("n_y") - need)
+        return y.where("c_y <> main").join(x.drop("main"), "token").where(close).select(F.greatest("doc_id_y", "doc_id_x").alias("u"), F.least("doc_id_y", "doc_id_x").alias("v")).distinct()
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The (u, v) of ``pairs`` whose sets overlap enough; a written table."""
         spark = pairs.sparkSession
@@ -126,14 +186,7 @@ class _Verifier:
         joined = pairs.join(sig.select(F.col("doc_id").alias("u"), F.col("sig").alias("su")), "u").join(sig.select(F.col("doc_id").alias("v"), F.col("sig").alias("sv")), "v")
         likely = written(spark, map_batches(joined, near, "u long, v long"), "minhash-likely")
 
-        shingle, percent = self.shingle, self.percent
-        schema = pa.schema([("doc_id", pa.int64()), ("members", pa.binary())])
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keys, texts = columns(b, "doc_id", "text")
-                for lo, hi in groups(texts):
-                    yield batch_of(schema, doc_id=keys[lo:hi], members=[s.tobytes() for s in shingle_sets(texts[lo:hi], shingle)])
+        percent = self.percent
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -144,7 +197,7 @@ class _Verifier:
                     ok.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-        full = written(spark, map_batches(_only(self.docs, ids(likely), "doc_id"), sets, "doc_id long, members binary"), "minhash-sets")
+        full = self.sets(ids(likely))
         joined = likely.join(full.select(F.col("doc_id").alias("u"), F.col("members").alias("mu")), "u").join(full.select(F.col("doc_id").alias("v"), F.col("members").alias("mv")), "v")
         return written(spark, map_batches(joined, exact, "u long, v long"), "minhash-links")
 
@@ -174,10 +227,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
 
     named = members.join(label, members.doc_id == label.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     named = written(spark, named, "minhash-named")
-    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = named.join(mixed, "key")
-    x, y = left.select("key", F.col("doc_id").alias("d1"), F.col("c").alias("c1")), left.select("key", F.col("doc_id").alias("d2"), F.col("c").alias("c2"))
-    across = x.join(y, "key").where("c1 < c2").select(F.greatest("d1", "d2").alias("u"), F.least("d1", "d2").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    sizes = named.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("several"), F.sum("n").alias("m"), F.max(F.struct("n", "c")).alias("main")).where("several > 1")
+    sizes = written(spark, sizes.select("key", F.col("main.c").alias("main"), ((F.col("m") - F.col("main.n")) * F.col("m") <= LIGHT).alias("light")), "minhash-mixed")
+    left = named.join(sizes, "key")
+    # Pairs between components have a member outside the main one.
+    x = left.where("light AND c <> main").select("key", F.col("doc_id").alias("d1"), F.col("c").alias("c1"))
+    y = left.where("light").select("key", F.col("doc_id").alias("d2"), F.col("c").alias("c2"))
+    across = x.join(y, "key").where("c1 <> c2").select(F.greatest("d1", "d2").alias("u"), F.least("d1", "d2").alias("v")).distinct()
+    crowded = written(spark, left.where("NOT light").select("doc_id", "c").distinct(), "minhash-crowded")
+    if crowded.limit(1).count():
+        across = across.unionByName(check.prefix_pairs(crowded)).distinct()
+    across = across.join(stars, ["u", "v"], "left_anti")
     second = check.links(written(spark, across, "minhash-across"))
     label = connected_components(first.unionByName(second))
 
