@@ -137,18 +137,19 @@ def elements(data: bytes, at: int = 0, end: int | None = None) -> Iterator[tuple
         stop = end if unknown else at + size
         if stop > end:
             raise Damaged(f"element {ident:#x} at {at} is cut off")
-        yield ident, at, stop
         if unknown and ident == CLUSTER:  # ends where the next one of its level begins
-            stop = next((a for i, a, _, begin in _children(data, at, end) if i in (CLUSTER, CUES)), end)
+            stop = next((begin for inner, begin in _children(data, at, end) if inner in (CLUSTER, CUES)), end)
+        yield ident, at, stop
         at = stop
 
 
-def _children(data: bytes, at: int, end: int):
+def _children(data: bytes, at: int, end: int) -> Iterator[tuple[int, int]]:
+    """(id, place) of elements in a row, without a look into them."""
     while at < end:
         begin = at
         ident, at, _ = _vint(data, at, True)
         size, at, unknown = _vint(data, at)
-        yield ident, begin, at, begin
+        yield ident, begin
         at = end if unknown else at + size
 
 

@@ -58,7 +58,7 @@ def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
     out = np.full((len(sets), n), 2**32 - 1, np.uint32)
     at = 0
     while at < len(sets):
-        end = max(at + 1, int(np.searchsorted(start, start[at] + _BLOCK)))
+        end = max(at + 1, int(np.searchsorted(start + size, start[at] + _BLOCK, "right")))  # sets that fit a block together
         for lo in range(int(start[at]), int(start[end - 1] + size[end - 1]), _BLOCK * 4):  # a large set in parts
             x = flat[lo : min(lo + _BLOCK * 4, int(start[end - 1] + size[end - 1]))]
             edge = start[at:end] - lo if end - at > 1 else np.zeros(1, np.int64)

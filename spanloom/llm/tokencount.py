@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.llm.arrow import batch_of, columns, map_batches, text_of
 from spanloom.llm.bpe import encoder, groups, tokenizer_path
@@ -130,9 +131,7 @@ def field_tokens(rows: DataFrame, fields: list[str], *, separator: str = "\n", r
     if clash := set(new) & set(rows.columns):
         raise ValueError(f"columns {sorted(clash)} are there already")
     kept = rows.columns
-    schema = rows.schema
-    for n in new:
-        schema = schema.add(n, "double" if rule == "share" and n != "tokens_all" else "long")
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.DoubleType() if rule == "share" and n != "tokens_all" else T.LongType()) for n in new)])
     kinds = [pa.float64() if rule == "share" else pa.int64()] * len(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
