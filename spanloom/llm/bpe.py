@@ -19,9 +19,9 @@ import numpy as np
 
 O_, L_, N_, S_ = 0, 1, 2, 3
 #: Code points of one vectorised step; longer texts are cut between two words.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Distinct pre-tokens kept in a worker; beyond it the table starts anew.
-TABLE = 1 << 20
+TABLE = 3 << 18
 _PRIME = 0x9E3779B97F4A7C15
 _SAFE_CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 
@@ -98,7 +98,9 @@ class Encoder:
         from tokenizers.pre_tokenizers import Split
 
         kind = np.zeros(0x110000, np.uint8)
-        for base, top in ((0, 0xD800), (0xE000, 0x110000)):
+        step = 1 << 13  # small parts: the library keeps an alignment of every byte
+        for base in [*range(0, 0xD800, step), *range(0xE000, 0x110000, step)]:
+            top = min(base + step, 0xD800) if base < 0xD800 else min(base + step, 0x110000)
             every = "".join(map(chr, range(base, top)))
             for what, k in ((r"\p{L}+", L_), (r"\p{N}+", N_), (r"\s+", S_)):
                 hit = np.ones(top - base, bool)

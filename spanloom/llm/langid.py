@@ -5,7 +5,8 @@ share one sorted array of n-gram hashes for each order, with a row of log-probab
 language) beside it, and one of context hashes with back-off weights. A text goes to the language of
 the lowest cross-entropy per character. Held-back labelled texts calibrate two things: how sure a
 difference in cross-entropy makes the choice (``score``), and how high the cross-entropy of a genuine
-text of a language can be for its length (beyond it, the text is ``rejected``).
+text of a language can be for its length; beyond it, and predicted worse than by a uniform guess, the
+text is ``rejected``.
 """
 
 from __future__ import annotations
@@ -13,15 +14,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.arrow import batch_of, columns, map_batches, ready, text_of
 from spanloom.llm.bpe import _code_point_keys, _mix, groups
+from spanloom.llm.lookup import Sorted
+
+if TYPE_CHECKING:
+    import pandas as pd  # imported where it is used: scoring does without it
 
 #: Characters of a language's labelled texts that are learned from, at most, and as many for calibration.
 SAMPLE_CHARS = 1_500_000
@@ -68,6 +73,8 @@ def count_grams(texts: list[str], order: int) -> pd.DataFrame:
 
     Counts are occurrences at the highest order and distinct characters to the left below it.
     """
+    import pandas as pd
+
     cps, spans = padded([normalised(t) for t in texts], order)
     own = np.concatenate([np.arange(a, b) for a, b in spans.tolist()] or [np.zeros(0, np.int64)])
     g = grams(cps, order)
@@ -87,27 +94,6 @@ def count_grams(texts: list[str], order: int) -> pd.DataFrame:
 # -- the model -----------------------------------------------------------------------------------
 
 
-class Sorted:
-    """A sorted hash array; a table of leading bits says where to begin."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.append(np.unique(keys), np.uint64(2**64 - 1))
-        self.shift = np.uint64(64 - max(4, int(len(self.keys)).bit_length() + 1))
-        self.begin = np.searchsorted(self.keys, np.arange(1 << int(64 - self.shift), dtype=np.uint64) << self.shift).astype(np.int32)
-
-    def __len__(self) -> int:
-        return len(self.keys) - 1
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Row of each hash, or -1."""
-        at = self.begin[h >> self.shift]
-        on = np.flatnonzero(self.keys[at] < h)
-        while len(on):
-            at[on] += 1
-            on = on[self.keys[at[on]] < h[on]]
-        return np.where(self.keys[at] == h, at, -1)
-
-
 @dataclass
 class Model:
     langs: list[str]
@@ -177,11 +163,15 @@ class Model:
         odds = np.exp2(np.maximum(-(h - low[:, None]) * np.sqrt(size)[:, None] * self.heat, -1000))
         score = np.where(size > 0, 1 / odds.sum(1), 0.0)
         z = (low - self.centre[best]) * np.sqrt(size) / self.spread[best]
-        return [self.langs[k] if n else UND for k, n in zip(best, size, strict=True)], score, (size == 0) | (z > self.limit[best]), np.where(size > 0, low, 0.0)
+        # A genuine text of mixed languages can deviate far; none is predicted worse than by chance.
+        rejected = (size == 0) | (z > self.limit[best]) & (low > -self.base)
+        return [self.langs[k] if n else UND for k, n in zip(best, size, strict=True)], score, rejected, np.where(size > 0, low, 0.0)
 
 
 def build(counts: dict[str, pd.DataFrame], order: int) -> Model:
     """Interpolated Kneser-Ney models from the counts of each language."""
+    import pandas as pd
+
     langs = sorted(counts)
     model = Model(langs, order, [None], [None], [None], [None])
     u64 = lambda s: s.to_numpy().view(np.uint64)
@@ -268,6 +258,8 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", orde
     drawn = drawn.groupBy("lang", "h").agg(F.first("text").alias("text"), F.first("u").alias("u"))
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         pdf = pdf.sort_values("h")
         size = pdf.text.str.len().cumsum().shift(fill_value=0)
         pdf = pdf[size < 2 * sample_chars]  # the bound, whatever the lengths

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.arrow import batch_of, columns, map_batches, text_of
-from spanloom.llm.bpe import CHUNK, code_points, groups, span_hashes
-from spanloom.llm.langid import Sorted
+from spanloom.llm.bpe import CHUNK, code_points, span_hashes
+from spanloom.llm.lookup import Sorted
 from spanloom.llm.shingles import shingle_hashes
 
 MIN_MATCH, COVERAGE = 5, 0.5
