@@ -38,12 +38,12 @@ SHARD = 1 << 22
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
-    """Bits that each id needs."""
-    n = np.zeros(len(ids), np.uint8)
-    for b in (32, 16, 8, 4, 2, 1):
-        big = (ids >> n.astype(np.uint64)) >= np.uint64(1) << np.uint64(b)
-        n[big] += b
-    return n + (ids > 0)
+    """Bits that each id needs, from the exponent of its floating-point form where that is exact."""
+    n = (ids.astype(np.float64).view(np.int64) >> 52) - 1022
+    n[ids == 0] = 0
+    for k in np.flatnonzero(ids >> np.uint64(53)).tolist():
+        n[k] = int(ids[k]).bit_length()
+    return n.astype(np.uint8)
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,23 +52,22 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
     n_blocks = -(-len(ids) // block)
     escape = np.flatnonzero(ids >> np.uint64(60))
     escapes = np.stack([(escape // block).astype(np.uint64), (escape % block).astype(np.uint64), ids[escape]], 1) if len(escape) else np.zeros((0, 3), np.uint64)
-    grid = np.zeros((n_blocks, block + 240), np.uint64)
-    grid[:, :block].reshape(-1)[:0] = 0
     padded = np.zeros(n_blocks * block, np.uint64)
     padded[: len(ids)] = ids
     padded[escape] = 0
+    grid = np.zeros((n_blocks, block + 240), np.uint64)
     grid[:, :block] = padded.reshape(n_blocks, block)
     flat = grid.reshape(-1)
     widest = {1: _bits(flat)}
     # Largest width among the next n ids, by joining two shorter windows.
     for n, a in ((2, 1), (3, 2), (4, 2), (5, 4), (6, 4), (7, 4), (8, 4), (10, 8), (12, 8), (15, 8), (20, 12), (30, 15), (60, 30), (120, 60), (240, 120)):
-        other = widest[n - a]
         w = widest[a].copy()
-        np.maximum(w[: len(w) - a], other[a:], out=w[: len(w) - a])
+        np.maximum(w[: len(w) - a], widest[n - a][a:], out=w[: len(w) - a])
         widest[n] = w
-    choice = np.full(len(flat), 15, np.uint8)
-    for s in range(14, -1, -1):
-        choice[widest[int(COUNTS[s])] <= WIDTHS[s]] = s
+    # Where a selector fits, all later ones do: the first that fits is the number of those that don't.
+    choice = np.zeros(len(flat), np.uint8)
+    for s in range(15):
+        choice += widest[int(COUNTS[s])] > np.uint8(WIDTHS[s])
     # All blocks walk from word to word in step.
     step, size = COUNTS[choice], block + 240
     length = np.minimum(block, len(ids) - np.arange(n_blocks) * block)
