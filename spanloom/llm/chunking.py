@@ -21,7 +21,7 @@ from spanloom.llm.bpe import CHUNK, _code_point_keys, code_points, groups, span_
 #: Characters of a chunk: at least, at most; leading bits of the gear hash that must be 0 at a cut.
 LEAST, MOST, BITS = 16, 96, 4
 #: Characters that repeated chunks in a row must have to count as a passage.
-RUN = 120
+RUN = 100
 _WINDOW = 16
 
 
