@@ -63,13 +63,15 @@ def annotation_long(sides: DataFrame) -> DataFrame:
     return long.where(kept).withColumn("annotation_value", trimmed(F.col("annotation_value")))
 
 
-def dominant_value(long: DataFrame, by: list[str], value: str, member: str) -> DataFrame:
+def dominant_value(long: DataFrame, by: list[str], value: str, member: str, *, repeats: bool = True) -> DataFrame:
     """The value that most distinct members of each group have; of equals, the first by its text.
 
     by, value, value_count, fraction (of the sum of all values' counts), distinct_count. Members are
-    made distinct before they are counted, so a hot value is added up in parts.
+    made distinct before they are counted, so a hot value is added up in parts. Without ``repeats``
+    (a member has a value of a group once) they needn't be, and only counts are shuffled.
     """
-    n = long.select(*by, value, member).distinct().groupBy(*by, value).agg(F.count(member).alias("value_count"))
+    rows = long.select(*by, value, member)
+    n = (rows.distinct() if repeats else rows).groupBy(*by, value).agg(F.count(member).alias("value_count"))
     group = Window.partitionBy(*by)
     ranked = n.select(
         *by, value, "value_count",
@@ -81,7 +83,8 @@ def dominant_value(long: DataFrame, by: list[str], value: str, member: str) -> D
 
 
 def dominant_annotations(long: DataFrame) -> DataFrame:
-    return dominant_value(long, ["peak_id", "peak_side", "annotation_name"], "annotation_value", "target_id")
+    # Annotated targets have one row for each peak and target, and a side once.
+    return dominant_value(long, ["peak_id", "peak_side", "annotation_name"], "annotation_value", "target_id", repeats=False)
 
 
 def _pivoted(dominant: DataFrame) -> DataFrame:
