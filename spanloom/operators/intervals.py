@@ -11,45 +11,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merged(intervals: DataFrame, by: list[str]) -> DataFrame:
-    """Unions of overlapping or touching intervals (l, r) within each group; empty ones (r < l) go."""
-    w = Window.partitionBy(*by).orderBy("l", "r")
-    reach = F.max("r").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = intervals.where("r >= l").withColumn("fresh", F.when(F.col("l") <= reach + 1, 0).otherwise(1))
-    rows = rows.withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*by, "island").agg(F.min("l").alias("l"), F.max("r").alias("r")).drop("island")
-
+def merged(intervals: DataFrame, by: list[str], together: str) -> DataFrame:
+    """Unions of overlapping or touching intervals (l, r) within each group; empty ones (r < l) go.
 
-def change_points(intervals: DataFrame, axis: list[str], member: str, measures: tuple[str, ...]) -> DataFrame:
-    """axis, at, and d_<measure>: by how much each measure's count changes at a point.
-
-    ``intervals`` has axis, member, m (number of the measure), l, r. Members are merged by
-    (axis, member, measure), so one long axis spreads over many tasks; the changes are added up
-    before they are shuffled.
+    ``together`` counts the rows that an interval could meet: those that stand alone pass by.
     """
-    one = merged(intervals.where(F.col(member).isNotNull()), [*axis, member, "m"])
-    steps = one.select(*axis, "m", F.explode(F.array(F.struct(F.col("l").alias("at"), F.lit(1).alias("d")), F.struct((F.col("r") + 1).alias("at"), F.lit(-1).alias("d")))).alias("s")).select(*axis, "m", "s.at", "s.d")
-    return steps.groupBy(*axis, "at").agg(*(F.sum(F.when(F.col("m") == k, F.col("d")).otherwise(0)).alias(f"d_{name}") for k, name in enumerate(measures)))
+    rows = intervals.where("r >= l")
+    lone = rows.where(F.col(together) == 1).select(*by, "l", "r")
+    w = Window.partitionBy(*by).orderBy("l", "r")
+    reach = F.max("r").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    several = rows.where(F.col(together) > 1).withColumn("fresh", F.when(F.col("l") <= reach + 1, 0).otherwise(1))
+    several = several.withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return lone.unionByName(several.groupBy(*by, "island").agg(F.min("l").alias("l"), F.max("r").alias("r")).drop("island"))
 
 
-def runs(points: DataFrame, ends: DataFrame, axis: list[str], measures: tuple[str, ...]) -> DataFrame:
-    """axis, the columns of ``ends``, first, last and the count of each measure, constant from first to last.
+def runs(intervals: DataFrame, ends: DataFrame, axis: list[str], member: str, together: str, measures: tuple[str, ...]) -> DataFrame:
+    """axis, length, first, last and the count of each measure, constant from first to last.
 
-    ``ends`` has axis and ``length``: points 1 to length are covered without gap. An axis has at most
-    as many change points as points, however many intervals lie on it.
+    ``intervals`` has axis, member, ``together``, m (number of the measure), l, r; ``ends`` has axis and
+    length: points 1 to length are covered without gap. Members are merged by (axis, member, measure),
+    so one long axis spreads over many tasks; changes of a point are added up before they are shuffled;
+    only then is an axis one group, with at most as many rows as points.
     """
-    extra = [c for c in ends.columns if c not in axis]
-    base = ends.where("length >= 1").select(*axis, *extra, F.lit(1).alias("at"), *(F.lit(0).cast("long").alias(f"d_{m}") for m in measures))
-    inside = points.select(*axis, *(F.lit(None).cast(ends.schema[c].dataType).alias(c) for c in extra), "at", *(f"d_{m}" for m in measures))
-    every = inside.unionByName(base)
-    # One row a point: a change at 1 and the base row fall together; changes left of 1 count at 1.
-    every = every.withColumn("at", F.greatest("at", F.lit(1))).groupBy(*axis, "at").agg(*(F.max(c).alias(c) for c in extra), *(F.sum(f"d_{m}").alias(f"d_{m}") for m in measures))
+    one = merged(intervals.where(F.col(member).isNotNull()), [*axis, member, "m"], together)
+    at = F.explode(F.array(F.struct(F.greatest("l", F.lit(1)).alias("at"), F.lit(1).alias("d")), F.struct((F.greatest("r", F.lit(0)) + 1).alias("at"), F.lit(-1).alias("d"))))
+    steps = one.select(*axis, "m", at.alias("s")).select(*axis, F.lit(None).cast("int").alias("length"), "m", "s.at", "s.d")
+    base = ends.where("length >= 1").select(*axis, F.col("length").cast("int").alias("length"), F.lit(-1).alias("m"), F.lit(1).alias("at"), F.lit(0).alias("d"))
+    points = steps.unionByName(base).groupBy(*axis, "at").agg(F.max("length").alias("length"), *(F.sum(F.when(F.col("m") == k, F.col("d")).otherwise(0)).alias(f"d_{name}") for k, name in enumerate(measures)))
     w = Window.partitionBy(*axis).orderBy("at")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    # The base row is the first of its axis, so the running maximum carries its columns along.
-    out = every.select(*axis, *(F.max(c).over(so_far).alias(c) for c in extra), F.col("at").alias("first"), (F.lead("at").over(w) - 1).alias("last"), *(F.sum(f"d_{m}").over(so_far).cast("int").alias(m) for m in measures))
-    out = out.withColumn("last", F.least(F.coalesce("last", "length"), F.col("length")).cast("int"))
-    return out.where("first <= last")
+    # The base row is the first of its axis, so the running maximum carries the length along.
+    out = points.select(*axis, F.max("length").over(so_far).alias("length"), F.col("at").alias("first"), (F.lead("at").over(w) - 1).alias("last"), *(F.sum(f"d_{m}").over(so_far).cast("int").alias(m) for m in measures))
+    return out.withColumn("last", F.least(F.coalesce("last", "length"), F.col("length")).cast("int")).where("first <= last")
 
 
 def expanded(run_rows: DataFrame, point: str) -> DataFrame:
@@ -60,6 +53,6 @@ def expanded(run_rows: DataFrame, point: str) -> DataFrame:
 def coverage_counts(intervals: DataFrame, axis: str, member: str, length: str, left: str = "l", right: str = "r") -> DataFrame:
     """axis, point, n_members: distinct members over each point 1..length of each axis."""
     rows = intervals.select(F.col(axis).alias("axis"), F.col(member).alias("member"), F.col(left).cast("int").alias("l"), F.col(right).cast("int").alias("r"), F.lit(0).alias("m"))
+    rows = rows.withColumn("together", F.count("*").over(Window.partitionBy("axis", "member")))
     ends = intervals.groupBy(F.col(axis).alias("axis")).agg(F.max(length).cast("int").alias("length"))
-    flat = runs(change_points(rows, ["axis"], "member", ("n_members",)), ends, ["axis"], ("n_members",))
-    return expanded(flat, "point").select(F.col("axis").alias(axis), "point", "n_members")
+    return expanded(runs(rows, ends, ["axis"], "member", "together", ("n_members",)), "point").select(F.col("axis").alias(axis), "point", "n_members")

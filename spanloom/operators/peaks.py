@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,25 +63,26 @@ def score_peaks(positions: DataFrame, limits: dict[str, int]) -> DataFrame:
     """
     ship(positions.sparkSession)
     require_columns(positions, PROFILE_COLUMNS, "profile")
-    frame = "query_id string, query_length long, radius_nt long, score_geometry string, peak_selection_rank long, score_max_position long, score_max_value long, peak_position long, peak_score long, " + ", ".join(f"{m} long" for m in PROFILE_MEASURES)
-    names = [x.split()[0] for x in frame.split(", ")]
+    kinds = {"query_id": "string", "query_length": "long", "radius_nt": "long", "score_geometry": "string", "peak_selection_rank": "long", "score_max_position": "long", "score_max_value": "long", "peak_position": "long", "peak_score": "long", **dict.fromkeys(PROFILE_MEASURES, "long")}
+    schema = pa.schema([(n, pa.string() if k == "string" else pa.int64()) for n, k in kinds.items()])
 
-    def select(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("boundary_position", kind="stable")
+    def select(rows: pa.Table) -> pa.Table:
+        col = {n: rows.column(n).to_numpy() for n in ("boundary_position", "directional_b_score", "overlap_b_score", *GEOMETRIES.values())}
+        order = np.argsort(col["boundary_position"], kind="stable")
         parts = []
         for geometry, least in limits.items():
-            column = GEOMETRIES[geometry]
-            some = rows[rows[column] >= least]
-            if some.empty:
+            some = order[col[GEOMETRIES[geometry]][order] >= least]
+            if not len(some):
                 continue
-            position, own = some.boundary_position.to_numpy(np.int64), some[column].to_numpy(np.int64)
-            paired = np.maximum(some.directional_b_score.to_numpy(), some.overlap_b_score.to_numpy())
-            chosen = np.array(pick(position, own, paired, geometry, 2 * int(some.radius_nt.iloc[0])))
-            at = some.iloc[chosen[:, 1]]
-            parts.append(at.assign(score_geometry=geometry, peak_selection_rank=np.arange(1, len(chosen) + 1), score_max_position=position[chosen[:, 0]], score_max_value=own[chosen[:, 0]], peak_position=position[chosen[:, 1]], peak_score=own[chosen[:, 1]])[names])
-        return pd.concat(parts) if parts else pd.DataFrame({n: pd.Series(dtype="object") for n in names})
-
-    found = positions.groupBy("query_id").applyInPandas(select, frame)
+            position, own = col["boundary_position"][some].astype(np.int64), col[GEOMETRIES[geometry]][some].astype(np.int64)
+            paired = np.maximum(col["directional_b_score"], col["overlap_b_score"])[some]
+            top, at = np.array(pick(position, own, paired, geometry, 2 * rows.column("radius_nt")[0].as_py())).T
+            stored = rows.take(pa.array(some[at]))
+            new = {"score_geometry": [geometry] * len(at), "peak_selection_rank": np.arange(1, len(at) + 1), "score_max_position": position[top], "score_max_value": own[top], "peak_position": position[at], "peak_score": own[at]}
+            parts.append(pa.table([pa.array(new[f.name], f.type) if f.name in new else stored.column(f.name).cast(f.type) for f in schema], schema=schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    found = positions.groupBy("query_id").applyInArrow(select, ", ".join(f"{n} {k}" for n, k in kinds.items()))
     order = Window.partitionBy("query_id", "score_geometry").orderBy("peak_position")
     named = found.withColumn("peak_index", F.row_number().over(order).cast("long"))
     end, start = ({g: c[k] for g, c in COUNTS.items()} for k in (0, 1))

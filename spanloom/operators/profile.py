@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators.intervals import change_points, expanded, runs
+from spanloom.operators.intervals import expanded, runs
 from spanloom.schemas import MEASURES, PROFILE_COLUMNS, SCORING_COLUMNS, require_columns
 
 RADIUS = 50
@@ -29,7 +29,10 @@ def lengths(hits: DataFrame) -> DataFrame:
 
 
 def votes(hits: DataFrame, radius: int) -> DataFrame:
-    """query_id, target_id, m, l, r: where on its query's axis a row counts, for each measure."""
+    """query_id, target_id, together, m, l, r: where on its query's axis a row counts, for each measure.
+
+    Rows are dealt by query and target before they are multiplied by the measures.
+    """
     r = F.lit(radius)
     a, b, n = F.col("query_from"), F.col("query_to"), F.col("length")
     clip = lambda lo, hi: (F.greatest(lo, F.lit(1)), F.least(hi, n))
@@ -46,14 +49,14 @@ def votes(hits: DataFrame, radius: int) -> DataFrame:
     )
     entries = [F.struct(F.lit(k).alias("m"), lo.cast("int").alias("l"), hi.cast("int").alias("r")) for k, (lo, hi, _) in enumerate(spans)]
     held = F.filter(F.array(*(e if ok is None else F.when(ok, e) for e, (_, _, ok) in zip(entries, spans, strict=True))), lambda x: x.isNotNull())
-    return hits.select("query_id", "target_id", F.inline(held)).distinct()
+    dealt = hits.withColumn("together", F.count("*").over(Window.partitionBy("query_id", "target_id")))
+    return dealt.select("query_id", "target_id", "together", F.inline(held))
 
 
 def profile_runs(hits: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The profile as runs of equal counts: query_id, length, first, last, the nine measures."""
     ends = lengths(hits)
-    points = change_points(votes(hits.join(ends, "query_id"), radius), ["query_id"], "target_id", MEASURES)
-    return runs(points, ends, ["query_id"], MEASURES)
+    return runs(votes(hits.join(ends, "query_id"), radius), ends, ["query_id"], "target_id", "together", MEASURES)
 
 
 def _scores(radius: int, masked: bool) -> dict[str, Column]:

@@ -12,6 +12,8 @@ from spanloom.schemas import require_columns
 
 #: Stored count of a peak, and the flag whose sum over its targets must equal it.
 COUNT_FLAGS = {f"{g}_{side}_target_count": f"contributes_{g}_{side}" for g in ("local", "directional", "overlap", "internal") for side in ("end", "start")} | {"spanning_target_count": "has_spanning_alignment"}
+#: Peaks (some 100 bytes each) that are sent to all tasks at most.
+PEAKS = 200_000
 PEAK_KEYS = ("peak_id", "query_id", "query_length", "peak_position", "radius_nt", "score_geometry")
 
 
@@ -30,11 +32,17 @@ def _flags(f, t, b, r, n) -> dict:
 def peak_targets(peaks: DataFrame, alignments: DataFrame) -> DataFrame:
     """One row for each peak and target of its query, with 23 measures and whether it enters the counts.
 
-    The join multiplies a query's peaks by its alignments; aggregation is partial right after it, so
-    what is shuffled by peak and target is one row for each of them and task.
+    The join multiplies a query's peaks by its alignments. Where the peaks are few enough to be sent to
+    all tasks (``PEAKS``), the alignments are dealt by query and target before it: four narrow columns
+    are shuffled, groups are complete within their task, and a hot query spreads over its targets. Beyond
+    that, the join is dealt by query, and aggregation is partial right after it.
     """
     require_columns(peaks, PEAK_KEYS, "peaks")
-    rows = peaks.select(*PEAK_KEYS).join(alignments.select("query_id", "target_id", "query_from", "query_to"), "query_id")
+    rows, keys = alignments.select("query_id", "target_id", "query_from", "query_to"), peaks.select(*PEAK_KEYS)
+    if keys.limit(PEAKS + 1).count() <= PEAKS:
+        rows = rows.repartition("query_id", "target_id").join(F.broadcast(keys), "query_id")
+    else:
+        rows = rows.join(keys, "query_id")
     f, t, b = F.col("query_from"), F.col("query_to"), F.col("peak_position")
     flags = _flags(f, t, b, F.col("radius_nt"), F.col("query_length"))
     count = lambda name, flag: F.count_if(flags[flag]).alias(name)

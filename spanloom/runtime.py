@@ -6,7 +6,9 @@ Nothing here keeps state on a machine: shared tables go to the folder named by
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -42,7 +44,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = sc.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="shared-")
+        own = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 

@@ -64,7 +64,7 @@ def stage(spark):
     return alignments, peaks
 
 
-def test_peaks_and_targets_agree(spark):
+def test_peaks_and_targets_agree(spark, monkeypatch):
     alignments, peaks = stage(spark)
     found = {r.peak_id: r for r in peaks.collect()}
     assert {r.score_geometry for r in found.values()} >= {"local", "directional"} and all(k.endswith(f"P{r.peak_index:03d}") for k, r in found.items())
@@ -73,6 +73,8 @@ def test_peaks_and_targets_agree(spark):
     assert tg.target_mismatches(peaks, targets.where("target_id <> 'a3'")).first().mismatches > 0
     assert targets.count() == sum(43 for _ in found)
     assert tg.target_counts(peaks, alignments, targets).first().selected_alignments == 43
+    monkeypatch.setattr(tg, "PEAKS", 0)  # more peaks than are sent to all tasks
+    assert sorted(map(tuple, tg.peak_targets(peaks, alignments).collect())) == sorted(map(tuple, targets.collect()))
     # Peaks from the dense profile are the same.
     again = pk.score_peaks(pr.boundary_profile(alignments, 50), pk.thresholds())
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, peaks.collect()))
