@@ -21,10 +21,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    gone = written(spark, minhash.near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select("doc_id").distinct(), "near-duplicates")
-    if gone.limit(minhash.BROADCAST_IDS + 1).count() <= minhash.BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = written(spark, minhash.near_duplicates(docs, shingle=5, percent=80).select("doc_id", "kept"), "near-duplicates")
+    gone = rows.where("NOT kept").select("doc_id").distinct()
+    twice = rows.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+
+    def small(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.limit(minhash.BROADCAST_IDS + 1).count() <= minhash.BROADCAST_IDS else ids
+
+    out = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    if not twice.limit(1).count():
+        return out
+    # Rows of one id and one text are one document.
+    once = out.join(small(twice), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return out.join(small(twice), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

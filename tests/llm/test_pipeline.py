@@ -24,6 +24,7 @@ def tables(spark, tmp_path_factory):
     text = dict((k, t) for k, t, _ in rows)
     rows += [(100, text[1], "en"), (101, text[1] + " end", "en"), (102, f"{text[2]} {items[0][1]}", "es"), (103, "1234 !!!", None), (104, None, "en"), (105, f"{say(EN, 40)} mail joe@corp.example.com", "en"), (106, say(ES, 3000), "es")]
     full = [(k, t, lang, "s", len(t or "")) for k, t, lang in rows]
+    full += [full[5], full[5]]  # repeated rows are one document
     spark.createDataFrame(full, COLUMNS).repartition(3).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(k, f"http://h/{k}", f"<p>{k % 7}</p>") for k in range(20)], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
@@ -41,6 +42,7 @@ def test_stages_and_run(spark, tables):
     every = {r[0] for r in full}
     assert set(seen["language_id"]) == every - {103, 104}
     assert set(seen["near_dedup"]) == every - {103, 104, 100, 101}
+    assert sum(r.doc_id == 5 for r in docs.collect()) == 1
     assert set(seen["decontamination"]) == every - {103, 104, 100, 101, 102}
     assert set(seen["pii"]) == set(seen["decontamination"])
     assert seen["pii"][105].text.endswith("[EMAIL]") and all(r.n_chars == len(r.text) for r in seen["pii"].values())
