@@ -6,14 +6,18 @@ its commands and can run them.
 
 from __future__ import annotations
 
+import json
 import shutil
 import subprocess
+from collections.abc import Iterable
+from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.schemas import InputError
+from spanloom.sources.readers import read_id_list, read_lookup
 
 # Fields of the exported table, and the tool's parameters.
 EXPORT_FIELDS = "query,target,pident,alnlen,qstart,qend,qlen,tstart,tend,tlen,qcov,tcov,evalue,bits"
@@ -97,3 +101,74 @@ def run_commands(commands: list[list[str]]) -> None:
         if not shutil.which(c[0]):
             raise FileNotFoundError(f"no such program: {c[0]}")
         subprocess.run(c, check=True)
+
+
+# -- runs -----------------------------------------------------------------------------------------
+
+
+def database_exists(place: Path) -> bool:
+    """Whether the tool's database is there: its data and its type."""
+    return Path(place).exists() and Path(f"{place}.dbtype").exists()
+
+
+def _lines(path: Path, prefix: str = "") -> int:
+    with Path(path).open(encoding="utf-8") as f:
+        return sum(1 for line in f if line.startswith(prefix) and line.strip())
+
+
+def _finish(commands: list[list[str]], at: dict[str, Path], manifest: Path, **more) -> dict:
+    run_commands(commands)
+    for name in ("clusters_tsv", "representatives_fasta"):
+        if not at[name].exists():
+            raise RuntimeError(f"the tool made no {at[name]}")
+    out = {"created_at": datetime.now(UTC).isoformat(), "commands": commands, "outputs": {k: str(v) for k, v in at.items()}, "members": _lines(at["clusters_tsv"]), "representatives": _lines(at["representatives_fasta"], ">"), **more}
+    manifest.write_text(json.dumps(out, indent=2, sort_keys=True) + "\n", encoding="utf-8")
+    return out
+
+
+def run_search(contigs: Path, out: Path, scratch: Path, **options) -> dict:
+    """Search all against all and cluster; a sequence database that is there is used again."""
+    contigs, out = Path(contigs), Path(out)
+    if not contigs.is_file():
+        raise FileNotFoundError(contigs)
+    commands, at = search_commands(contigs, out, Path(scratch), reuse_database=database_exists(out / "db/contigs"), **options)
+    if database_exists(at["result_database"]):
+        raise FileExistsError(at["result_database"])
+    for d in (out / "db", Path(scratch)):
+        d.mkdir(parents=True, exist_ok=True)
+    return _finish(commands, at, out / "search.manifest.json")
+
+
+def run_export(db: Path, hits: Path, tsv: Path, **options) -> Path:
+    """Export a search result as the 14-column table."""
+    if Path(tsv).exists():
+        raise FileExistsError(tsv)
+    run_commands([export_command(db, hits, tsv, **options)])
+    return Path(tsv)
+
+
+def write_keys(path: Path, keys: Iterable[str]) -> int:
+    """One key a line, as the tool reads them; streamed."""
+    n = 0
+    with Path(path).open("w", encoding="utf-8") as f:
+        for k in keys:
+            f.write(f"{k}\n")
+            n += 1
+    return n
+
+
+def run_recluster(spark: SparkSession, db: Path, hits: Path, quarantine: Path, out: Path, **options) -> dict:
+    """Take quarantined sequences out of a search result and cluster what is left. ``out`` is new or empty."""
+    out = Path(out)
+    for place in (db, hits):
+        if not database_exists(place):
+            raise FileNotFoundError(place)
+    if out.exists() and any(out.iterdir()):
+        raise FileExistsError(out)
+    kept, gone = split_keys(read_lookup(spark, f"{db}.lookup"), read_id_list(spark, quarantine))
+    (out / "db").mkdir(parents=True, exist_ok=True)
+    n_kept, n_gone = (write_keys(out / name, (r.sequence_key for r in keys.orderBy("sequence_key").toLocalIterator())) for name, keys in (("retained_sequence_keys.txt", kept), ("quarantine_sequence_keys.txt", gone)))
+    if not n_kept:
+        raise InputError("quarantine leaves no sequence")
+    commands, at = recluster_commands(Path(db), Path(hits), out, any_quarantined=n_gone > 0, **options)
+    return _finish(commands, at, out / "recluster.manifest.json", retained=n_kept, quarantined=n_gone)
