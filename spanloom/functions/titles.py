@@ -29,9 +29,13 @@ MISSING_LABELS = ("", "NA", "N/A", "NONE", "NULL", "UNKNOWN")
 _FLAGS = "(?iU)"
 
 
+#: All space separators (Unicode category Zs).
+_SPACES = "".join(map(chr, (0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
+
+
 def trimmed(c: Column) -> Column:
     """Without spaces of any script at the ends."""
-    return F.regexp_replace(c, r"^\p{Zs}+|\p{Zs}+$", "")
+    return F.trim(c, F.lit(_SPACES))
 
 
 def is_missing_label(c: Column) -> Column:

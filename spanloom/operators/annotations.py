@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.titles import is_missing_label, joined_tokens, role, role_is_ambiguous, trimmed
-from spanloom.schemas import ANNOTATION_COLUMNS, SUMMARISED, InputError, require_columns
+from spanloom.schemas import ANNOTATION_COLUMNS, ANNOTATION_TEXT, SUMMARISED, InputError, require_columns
 
 _TITLE = "best_viral_title"
+#: What the summary and the audit read of annotated targets.
+SUMMARY_INPUT = ("peak_id", "target_id", "enters_peak_end_count", "enters_peak_start_count", "has_spanning_alignment", "has_diamond_hit", "has_viral_hit", "best_hit_is_viral", *ANNOTATION_TEXT)
 _SIDES = {"end": "enters_peak_end_count", "start": "enters_peak_start_count"}
 _SIDE_COUNTS = ("target_count", "diamond_hit_target_count", "no_diamond_hit_target_count", "viral_hit_target_count", "best_hit_viral_target_count", "best_hit_not_viral_target_count", "ambiguous_viral_protein_role_target_count")
 
@@ -59,8 +61,8 @@ def annotation_long(sides: DataFrame) -> DataFrame:
     """peak_id, peak_side, target_id, annotation_name, annotation_value of every value that isn't missing."""
     rows = sides.select("peak_id", "peak_side", "target_id", *(F.col(c).cast("string").alias(c) for c in SUMMARISED))
     long = rows.unpivot(["peak_id", "peak_side", "target_id"], list(SUMMARISED), "annotation_name", "annotation_value").where("annotation_value IS NOT NULL")
-    kept = (F.col("annotation_name") == "viral_protein_role") | ~is_missing_label(F.col("annotation_value"))
-    return long.where(kept).withColumn("annotation_value", trimmed(F.col("annotation_value")))
+    bare = long.withColumn("annotation_value", trimmed(F.col("annotation_value")))
+    return bare.where((F.col("annotation_name") == "viral_protein_role") | ~is_missing_label(F.col("annotation_value")))
 
 
 def dominant_value(long: DataFrame, by: list[str], value: str, member: str, *, repeats: bool = True) -> DataFrame:

@@ -80,7 +80,8 @@ class Stages:
 
     @cached_property
     def annotated(self) -> DataFrame:
-        return written(self.spark, an.annotated_targets(self.targets, self.annotations), "annotated-targets")
+        """Only what the summary reads: the planner leaves the other measures out of the aggregation."""
+        return written(self.spark, an.annotated_targets(self.targets, self.annotations).select(*an.SUMMARY_INPUT), "annotated-targets")
 
     @cached_property
     def long(self) -> DataFrame:

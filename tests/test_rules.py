@@ -31,6 +31,12 @@ def test_titles(spark):
         assert r.j == ("|".join(tokens) if tokens else None)
 
 
+def test_trimming_takes_spaces_of_any_script(spark):
+    values = ["\u00a0 a b \u3000", "\tx ", "\u2003", " n/A ", None]
+    got = [tuple(r) for r in spark.createDataFrame([(v,) for v in values], "v string").select(ti.trimmed(F.col("v")), ti.is_missing_label(F.col("v"))).collect()]
+    assert got == [("a b", False), ("\tx", False), ("", True), ("n/A", True), (None, None)]
+
+
 def test_dominant_value_ties_and_hot_members(spark):
     rows = [("g", "b", "m1"), ("g", "b", "m1"), ("g", "a", "m2"), ("g", "c", None), ("h", "z", "m1"), ("h", "z", "m2"), ("h", "y", "m3")]
     got = {r.k: r for r in an.dominant_value(spark.createDataFrame(rows, "k string, v string, m string"), ["k"], "v", "m").collect()}
