@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spanloom.runtime import ship
 
 #: Rows and bytes of an Arrow batch; long documents make batches of few rows.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "300", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20)}
 
 
 def ready(spark: SparkSession) -> None:

@@ -29,7 +29,7 @@ if TYPE_CHECKING:
     import pandas as pd  # imported where it is used: scoring does without it
 
 #: Characters of a language's labelled texts that are learned from, at most, and as many for calibration.
-SAMPLE_CHARS = 1_500_000
+SAMPLE_CHARS = 1_000_000
 ORDER = 4
 UND = "und"
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -68,26 +68,49 @@ def padded(parts: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([x for p in parts for x in (pad, p)] or [pad]), np.stack([start, start + size], 1)
 
 
-def count_grams(texts: list[str], order: int) -> pd.DataFrame:
+def count_grams(texts: list[str], order: int, block: int = 1 << 17) -> pd.DataFrame:
     """Distinct n-grams of every order: hash, hash of the context, hash of the suffix, count.
 
-    Counts are occurrences at the highest order and distinct characters to the left below it.
+    Counts are occurrences at the highest order and distinct characters to the left below it. Texts are
+    counted in blocks, so memory follows the number of distinct n-grams.
     """
     import pandas as pd
 
-    cps, spans = padded([normalised(t) for t in texts], order)
-    own = np.concatenate([np.arange(a, b) for a, b in spans.tolist()] or [np.zeros(0, np.int64)])
-    g = grams(cps, order)
+    found: list[list[np.ndarray]] = [[] for _ in range(order + 1)]
+
+    def merge(parts: list[np.ndarray]) -> list[np.ndarray]:
+        """Rows (gram, context, suffix, count), one for each gram."""
+        rows = np.concatenate(parts)
+        keys, first, where = np.unique(rows[:, 0], return_index=True, return_inverse=True)
+        out = rows[first]
+        out[:, 3] = np.bincount(where, rows[:, 3], len(keys)).astype(np.uint64)
+        return [out]
+
+    for a, b in groups(texts, block):
+        cps, spans = padded([normalised(t) for t in texts[a:b]], order)
+        own = np.zeros(len(cps), bool)
+        for x, y in spans.tolist():
+            own[x:y] = True
+        for lo in range(0, len(cps), 4 * block):  # a long text in slices that overlap by a context
+            part = cps[max(0, lo - order + 1) : lo + 4 * block]
+            here = np.flatnonzero(own[lo : lo + 4 * block]) + min(lo, order - 1)
+            if not len(here):
+                continue
+            g = grams(part, order)
+            for m in range(1, order + 1):
+                keys, first, n = np.unique(g[m][here], return_index=True, return_counts=True)
+                at = here[first]
+                found[m].append(np.stack([keys, g[m - 1][at - 1] if m > 1 else np.zeros(len(at), np.uint64), g[m - 1][at], n.astype(np.uint64)], 1))
+                if len(found[m]) > 15:
+                    found[m] = merge(found[m])
     out, longer = [], None
     for m in range(order, 0, -1):
-        if longer is None:
-            keys, first, count = np.unique(g[m][own], return_index=True, return_counts=True)
-            at = own[first]
-        else:
-            keys, first, count = np.unique(g[m][longer], return_index=True, return_counts=True)
-            at = longer[first]
-        out.append(pd.DataFrame({"m": m, "gram": keys.view(np.int64), "context": g[m - 1][at - 1].view(np.int64) if m > 1 else np.int64(0), "suffix": g[m - 1][at].view(np.int64), "n": count}))
-        longer = at
+        rows = merge(found[m])[0] if found[m] else np.zeros((0, 4), np.uint64)
+        if longer is not None:  # distinct characters to the left: distinct longer n-grams that end in this one
+            ends, n = np.unique(longer[:, 2], return_counts=True)
+            rows[:, 3] = n[np.searchsorted(ends, rows[:, 0])]
+        longer = rows
+        out.append(pd.DataFrame({"m": m, "gram": rows[:, 0].view(np.int64), "context": rows[:, 1].view(np.int64), "suffix": rows[:, 2].view(np.int64), "n": rows[:, 3].astype(np.int64)}))
     return pd.concat(out, ignore_index=True)
 
 
