@@ -118,19 +118,25 @@ def chunk_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def repeated_passages(docs: DataFrame, *, run: int = RUN, **options) -> DataFrame:
     """doc_id, start, end, n_chunks, first_doc_id, is_first of every passage that other documents hold too.
 
-    ``first_doc_id`` is the smallest id among the holders of the passage's chunks; ``is_first`` tells
-    whether this document holds the first copy of all of them. Null and empty texts and rows without
+    A passage is split where this document begins or ceases to be the first holder of its chunks; a first
+    part shorter than ``run`` beside a repeat stays in the text and isn't reported. ``first_doc_id`` is the smallest id among the holders of the part's
+    chunks; ``is_first`` tells whether this document holds the first copy of all of them: where the others
+    are cut, every chunk stays in its first holder. Null and empty texts and rows without
     an id have no passages; rows of one id are one document; an empty table gives no rows; other
     columns aren't read. A digest has 64 bits, and no single chunk is long enough for a passage.
     """
     rows = chunk_rows(docs, **options).where("doc_id IS NOT NULL")
     shared = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    hits = rows.join(shared, "digest").select("doc_id", "start", "end", "first")
-    before = F.max("end").over(Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    hits = rows.join(shared, "digest").select("doc_id", "start", "end", "first", (F.col("first") == F.col("doc_id")).alias("own"))
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.coalesce((F.col("start") > before).cast("int"), F.lit(1))
-    marked = hits.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
-    out = marked.groupBy("doc_id", "island").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.count("*").alias("n_chunks"), F.min("first").alias("first_doc_id"), F.min(F.col("first") == F.col("doc_id")).alias("is_first"))
-    return out.where(F.col("end") - F.col("start") >= run).drop("island")
+    turn = F.greatest("fresh", F.coalesce((F.col("own") != F.lag("own").over(order)).cast("int"), F.lit(1)))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    marked = hits.withColumn("fresh", fresh).withColumn("turn", turn).withColumn("island", F.sum("fresh").over(so_far)).withColumn("part", F.sum("turn").over(so_far))
+    parts = marked.groupBy("doc_id", "island", "part").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.count("*").alias("n_chunks"), F.min("first").alias("first_doc_id"), F.first("own").alias("is_first"))
+    whole = Window.partitionBy("doc_id", "island")
+    return parts.withColumn("size", F.max("end").over(whole) - F.min("start").over(whole)).where((F.col("size") >= run) & (~F.col("is_first") | (F.col("end") - F.col("start") >= run))).drop("island", "part", "size")
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

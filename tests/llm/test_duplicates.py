@@ -212,6 +212,29 @@ def test_repeated_passages(spark):
     assert chunking.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_repeats_stay_in_their_first_holder(spark):
+    """P / P+Q / Q, and copies of a text whose smallest id has an edit."""
+    rng = random.Random(8)
+    own = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    p, q, base = own(60), own(60), own(120)
+    near = base.split()
+    near[60] = "edited"
+    rows = [(1, f"{own(20)} {p} {own(20)}"), (2, f"{own(20)} {p} {q} {own(20)}"), (3, f"{own(20)} {q} {own(20)}"), (4, f"{q} {own(20)}")]
+    rows += [(10, " ".join(near)), (11, base), (12, base)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in chunking.without_repeats(df).collect()}
+    which, start, end, _ = chunking.chunks([t for _, t in rows])
+    for k, a, b in zip(which, start, end, strict=True):
+        piece = rows[k][1][a:b]
+        assert any(piece in t for t in clean.values()), (rows[k][0], piece)
+    inner = lambda t: t[100:-100]
+    assert [inner(p) in clean[k] for k in (1, 2)] == [True, False] and [inner(q) in clean[k] for k in (2, 3, 4)] == [True, False, False]
+    assert clean[12] == "" and base.split()[60] in clean[11] and len(clean[11]) < 250
+    got = chunking.repeated_passages(df).collect()
+    for r in got:
+        assert r.is_first == (r.first_doc_id == r.doc_id)
+
+
 # -- tiling
 
 
