@@ -87,15 +87,11 @@ FROM {peaks} p CROSS JOIN (VALUES
 WHERE p.peak_position % 5 <> 0 AND (p.peak_position + v.k) % 3 <> 0
 """
 
-#: Suppliers whose peaks are linked to one another.
-LINKED = 20
-
 LINKS = """
 SELECT DISTINCT t.peak_id, t.query_id AS source_query_id, t.target_id, o.query_id AS alternative_query_id
 FROM {targets} t JOIN {alignments} o ON o.target_id = t.target_id AND o.query_id <> t.query_id
 WHERE ((t.score_geometry = 'one_sided_end' AND t.enters_peak_end_count)
    OR (t.score_geometry = 'one_sided_start' AND t.enters_peak_start_count))
-  AND CAST(SUBSTRING(t.query_id, 2) AS INT) <= {linked} AND CAST(SUBSTRING(o.query_id, 2) AS INT) <= {linked}
 """
 
 QUARANTINED = """

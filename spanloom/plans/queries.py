@@ -101,7 +101,7 @@ class Stages:
 
     @cached_property
     def links(self) -> DataFrame:
-        return self.fixture(fx.LINKS, targets=self.targets, alignments=self.alignments, linked=fx.LINKED)
+        return self.fixture(fx.LINKS, targets=self.targets, alignments=self.alignments)
 
     @cached_property
     def quarantined(self) -> DataFrame:

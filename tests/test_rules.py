@@ -119,3 +119,18 @@ def test_representative_actions(spark):
     assert counts["matched_quarantine_rules", "two_sided_different_diamond_annotations"] == 3
     with pytest.raises(InputError):
         ru.peak_decisions(df.union(df), check=True)
+
+
+def test_links_take_all_queries(spark):
+    """A hot target on 30 queries of any id, and pairs of queries that share three."""
+    from spanloom.plans import fixtures as fx
+
+    ids = [f"Q{k}" for k in range(15, 45)]
+    held = {q: {"hot", *(f"t{n // 2}_{k}" for k in range(2))} for n, q in enumerate(ids)}
+    kind = {q: ("end", "start")[n % 2] for n, q in enumerate(ids)}
+    alignments = spark.createDataFrame([(q, t) for q in ids for t in sorted(held[q])], "query_id string, target_id string")
+    targets = spark.createDataFrame([(f"p{q}", q, t, f"one_sided_{kind[q]}", kind[q] == "end", kind[q] == "start") for q in ids for t in sorted(held[q])], "peak_id string, query_id string, target_id string, score_geometry string, enters_peak_end_count boolean, enters_peak_start_count boolean")
+    links = spark.sql(fx.LINKS, targets=targets, alignments=alignments)
+    assert {tuple(r) for r in links.collect()} == {(f"p{q}", q, t, o) for q in ids for o in ids if o != q for t in held[q] & held[o]}
+    got = {r.peak_id: (r.reciprocal_one_sided_peak_ids, r.maximum_reciprocal_shared_target_count) for r in ru.reciprocal_pairs(targets.select("peak_id", "score_geometry").distinct(), links).collect()}
+    assert got == {f"p{q}": ([f"p{ids[n ^ 1]}"], 3) for n, q in enumerate(ids)}
