@@ -1,9 +1,9 @@
 """Substring deduplication by content-defined chunking.
 
 A gear rolling hash over the last 16 characters decides where chunks end, so equal passages fall into
-equal chunks wherever they stand, and an insertion moves the cuts near it only. Chunks are counted by
-digest; a passage is repeated where chunks in a row, together long enough, all occur in some other
-document too.
+equal chunks wherever they stand, and an insertion moves the cuts near it only. Rows of neighbouring
+chunks that are just long enough are counted by digest; a passage is repeated where each of its chunks
+stands in such a row that another document holds in one piece.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.arrow import batch_of, columns, map_batches, text_of
-from spanloom.llm.bpe import CHUNK, _code_point_keys, code_points, groups, span_hashes
+from spanloom.llm.bpe import CHUNK, _code_point_keys, _mix, code_points, groups, span_hashes
 
 #: Characters of a chunk: at least, at most; leading bits of the gear hash that must be 0 at a cut.
 LEAST, MOST, BITS = 16, 96, 4
 #: Characters that repeated chunks in a row must have to count as a passage.
 RUN = 100
 _WINDOW = 16
+_P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def gear(cps: np.ndarray) -> np.ndarray:
@@ -96,47 +97,76 @@ def _long(text: str, number: int, sizes: dict) -> list:
     return out
 
 
+def stretches(texts: list[str], run: int = RUN, **sizes) -> tuple[np.ndarray, ...]:
+    """Text number, start, end, number of the first chunk, chunks and digest of rows of chunks.
+
+    From every chunk the shortest row onwards, and to every chunk the shortest row up to it, that has
+    ``run`` characters: the ones within a passage of that length together hold all of its chunks.
+    """
+    which, start, end, digest = chunks(texts, **sizes)
+    place = np.concatenate([[0], np.cumsum(end - start)])
+    n = np.arange(len(which))
+    begin, stop = np.searchsorted(which, which, "left"), np.searchsorted(which, which, "right")
+    onwards = np.searchsorted(place, place[:-1] + run, "left")
+    back = np.searchsorted(place, place[1:] - run, "right") - 1
+    on = onwards <= stop
+    up = back >= begin
+    up[up] = onwards[back[up]] != n[up] + 1  # the others are there already
+    lo, hi = np.concatenate([n[on], back[up]]), np.concatenate([onwards[on], n[up] + 1])
+    h = (hi - lo).astype(np.uint64)
+    for k in range(int((hi - lo).max(initial=0))):
+        more = np.flatnonzero(lo + k < hi)
+        h[more] = _mix(h[more] * _P + digest[lo[more] + k])
+    return which[lo], start[lo], end[hi - 1], lo - begin[lo], hi - lo, h
+
+
 # -- Spark ----------------------------------------------------------------------------------------
 
 
-def chunk_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
-    """doc_id, start, end (code points), digest of every chunk of every text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.int64())])
+def stretch_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, **sizes) -> DataFrame:
+    """doc_id, start, end (code points), chunk, chunks, digest of every row of chunks of every text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("chunk", pa.int32()), ("chunks", pa.int32()), ("digest", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, texts = columns(b, "k", "text")
-            which, start, end, h = chunks(texts, **sizes)
+            which, start, end, chunk, count, h = stretches(texts, run, **sizes)
             for lo in range(0, len(which), 100_000):
                 s = slice(lo, lo + 100_000)
-                yield batch_of(schema, doc_id=pa.array(keys, pa.int64()).take(pa.array(which[s])), start=start[s].astype(np.int32), end=end[s].astype(np.int32), digest=h[s].view(np.int64))
+                small = {k: v[s].astype(np.int32) for k, v in (("start", start), ("end", end), ("chunk", chunk), ("chunks", count))}
+                yield batch_of(schema, doc_id=pa.array(keys, pa.int64()).take(pa.array(which[s])), **small, digest=h[s].view(np.int64))
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), text_of(text_col).alias("text")).where("text <> ''")
-    return map_batches(rows, run, "doc_id long, start int, end int, digest long")
+    return map_batches(rows, find, "doc_id long, start int, end int, chunk int, chunks int, digest long")
 
 
 def repeated_passages(docs: DataFrame, *, run: int = RUN, **options) -> DataFrame:
     """doc_id, start, end, n_chunks, first_doc_id, is_first of every passage that other documents hold too.
 
-    A passage is split where this document begins or ceases to be the first holder of its chunks; a first
-    part shorter than ``run`` beside a repeat stays in the text and isn't reported. ``first_doc_id`` is the smallest id among the holders of the part's
-    chunks; ``is_first`` tells whether this document holds the first copy of all of them: where the others
-    are cut, every chunk stays in its first holder. Null and empty texts and rows without
-    an id have no passages; rows of one id are one document; an empty table gives no rows; other
-    columns aren't read. A digest has 64 bits, and no single chunk is long enough for a passage.
+    Every chunk of a passage stands in a row of chunks of at least ``run`` characters that one other
+    document holds in the same order. The passage is split where this document begins or ceases to be
+    the first holder of all such rows about a chunk; a first part shorter than ``run`` beside a repeat
+    stays in the text and isn't reported. ``first_doc_id`` is the smallest id among the holders of the
+    part's rows, and this document where it ``is_first``: where the others are cut, every passage
+    stays in a document that holds it first. Null and empty texts and rows without an id have no
+    passages; rows of one id are one document; an empty table gives no rows; other columns aren't
+    read. A digest has 64 bits.
     """
-    rows = chunk_rows(docs, **options).where("doc_id IS NOT NULL")
+    rows = stretch_rows(docs, run=run, **options).where("doc_id IS NOT NULL")
     shared = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    hits = rows.join(shared, "digest").select("doc_id", "start", "end", "first", (F.col("first") == F.col("doc_id")).alias("own"))
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.coalesce((F.col("start") > before).cast("int"), F.lit(1))
-    turn = F.greatest("fresh", F.coalesce((F.col("own") != F.lag("own").over(order)).cast("int"), F.lit(1)))
+    hits = rows.join(shared, "digest").drop("digest").repartition("doc_id").withColumn("later", (F.col("first") < F.col("doc_id")).cast("int"))
+    # Along each document: how many rows that it holds first, or later, are open from here on.
+    edge = lambda place, chunk, sign, first: F.struct(place.cast("long").alias("at"), chunk.alias("chunk"), (F.lit(sign) * (1 - F.col("later"))).alias("own"), (F.lit(sign) * F.col("later")).alias("later"), first.alias("first"))
+    edges = F.array(edge(F.col("start"), F.col("chunk"), 1, F.when(F.col("later") == 1, F.col("first"))), edge(F.col("end"), F.col("chunk") + F.col("chunks"), -1, F.lit(None).cast("long")))
+    steps = hits.select("doc_id", F.explode(edges).alias("e")).groupBy("doc_id", "e.at").agg(F.min("e.chunk").alias("chunk"), F.sum("e.own").alias("own"), F.sum("e.later").alias("later"), F.min("e.first").alias("first"))
+    order = Window.partitionBy("doc_id").orderBy("at")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    marked = hits.withColumn("fresh", fresh).withColumn("turn", turn).withColumn("island", F.sum("fresh").over(so_far)).withColumn("part", F.sum("turn").over(so_far))
-    parts = marked.groupBy("doc_id", "island", "part").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.count("*").alias("n_chunks"), F.min("first").alias("first_doc_id"), F.first("own").alias("is_first"))
-    whole = Window.partitionBy("doc_id", "island")
-    return parts.withColumn("size", F.max("end").over(whole) - F.min("start").over(whole)).where((F.col("size") >= run) & (~F.col("is_first") | (F.col("end") - F.col("start") >= run))).drop("island", "part", "size")
+    is_first = F.when(F.sum("later").over(so_far) > 0, False).when(F.sum("own").over(so_far) > 0, True)
+    open_ = steps.select("doc_id", "at", "chunk", "first", is_first.alias("is_first"), F.lead("at").over(order).alias("to"), F.lead("chunk").over(order).alias("next"))
+    part = F.sum((~F.col("is_first").eqNullSafe(F.col("was"))).cast("int")).over(so_far)
+    parts = open_.withColumn("was", F.lag("is_first").over(order)).withColumn("part", part).where("is_first IS NOT NULL")
+    out = parts.groupBy("doc_id", "part", "is_first").agg(F.min("at").alias("start"), F.max("to").alias("end"), (F.max("next") - F.min("chunk")).cast("long").alias("n_chunks"), F.coalesce(F.min("first"), F.col("doc_id")).alias("first_doc_id"))
+    return out.where(~F.col("is_first") | (F.col("end") - F.col("start") >= run)).select("doc_id", "start", "end", "n_chunks", "first_doc_id", "is_first")
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -235,6 +235,39 @@ def test_repeats_stay_in_their_first_holder(spark):
         assert r.is_first == (r.first_doc_id == r.doc_id)
 
 
+def test_chance_chunks_are_no_passage(spark):
+    """Chunks in a row that other documents hold one by one, or in another order."""
+    rng = random.Random(9)
+    texts = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(60)) for _ in range(12)]
+    which, start, end, _ = chunking.chunks(texts)
+    pieces = [[texts[k][a:b] for w, a, b in zip(which, start, end, strict=True) if w == k] for k in range(12)]
+    rows = [*enumerate(texts), (50, "".join(p[3] for p in pieces)), (51, "".join(reversed(pieces[0][:12]))), (52, "".join(pieces[1][2:12]))]
+    got = chunking.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.is_first, r.n_chunks, r.first_doc_id) for r in got) == [(1, True, 10, 1), (52, False, 10, 1)]
+
+
+def test_stretches_hold_every_chunk_of_a_long_run():
+    rng = random.Random(10)
+    texts = [prose(rng, rng.randint(1, 120)) for _ in range(10)] + ["", "x" * 500]
+    which, start, end, _ = chunking.chunks(texts)
+    names = defaultdict(set)
+    spans = set()
+    for w, a, b, chunk, n, h in zip(*chunking.stretches(texts), strict=True):
+        mine = np.flatnonzero(which == w)[chunk : chunk + n]
+        assert (start[mine[0]], end[mine[-1]]) == (a, b) and b - a >= chunking.RUN
+        names[int(h)].add(tuple(texts[w][start[k] : end[k]] for k in mine))
+        spans.add((w, a, b))
+    assert all(len(x) == 1 for x in names.values())
+    for w in range(len(texts)):
+        mine = np.flatnonzero(which == w)
+        for x in range(len(mine)):
+            for y in range(x, len(mine)):
+                a, b = start[mine[x]], end[mine[y]]
+                if b - a >= chunking.RUN:
+                    inside = [s for s in spans if s[0] == w and a <= s[1] and s[2] <= b]
+                    assert all(any(s[1] <= start[k] and end[k] <= s[2] for s in inside) for k in mine[x : y + 1])
+
+
 # -- tiling
 
 
