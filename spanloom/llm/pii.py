@@ -7,8 +7,8 @@ corpus we count the documents that hold an entity e, a term t, and t in the cont
     disclosure(t, e) = PMI(t; e) / IC(e),   PMI = log(n_te N / (n_t n_e)),   IC = log(N / n_e),
 
 the share of the information of e that knowing t reveals. A term of a disclosure over the threshold,
-seen with the entity in enough different contexts (copies of one text are one context), is marked in
-those contexts. ``sanitise`` replaces patterns by their kind and generalises such terms.
+seen with the entity in enough different texts (copies of one text count once), is marked in those
+texts. ``sanitise`` replaces patterns by their kind and generalises such terms.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from spanloom.runtime import written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Share of an entity's information that a term may reveal; different contexts needed to say so.
+#: Share of an entity's information that a term may reveal; different texts needed to say so.
 DISCLOSURE, SUPPORT = 0.8, 3
 #: Words to either side of an entity, and characters looked at for them.
 WINDOW, REACH = 6, 160
@@ -136,7 +136,8 @@ def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def contexts(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
-    """Terms near each entity: entity, term, a hash of the context, and where the term stands."""
+    """Terms near each entity: entity, term, a hash of the whole text, and where the term stands."""
+    context = xxhash.xxh3_64_intdigest(text) - (1 << 63)
     near: dict[int, dict[int, set[tuple[int, int]]]] = {}
     taken = sorted((a, b) for _, a, b in base)
     for kind, a, b in base:
@@ -161,7 +162,6 @@ def contexts(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
             here.setdefault(int(h[k].astype(np.int64)), set()).add((int(s[k]), int(e[k])))
     out = []
     for entity, terms in near.items():
-        context = xxhash.xxh3_64_intdigest(repr(sorted(terms))) - (1 << 63)
         out += [{"entity": entity, "term": t, "context": context, "start": [a for a, _ in sorted(at)], "end": [b for _, b in sorted(at)]} for t, at in terms.items()]
         if not terms:
             out.append({"entity": entity, "term": None, "context": context, "start": [], "end": []})

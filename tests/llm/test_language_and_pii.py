@@ -141,6 +141,14 @@ def test_copies_are_one_context(spark):
     assert pii.find(df).agg(F.sum("n_term")).first()[0] == 0
 
 
+def test_one_line_in_different_texts(spark):
+    """A signature counts once for each text that it stands in."""
+    line = "Contact Quux Roe, quux@corp.example.com"
+    df = spark.createDataFrame([(k, f"some text of number{chr(97 + k)}\n{line}\nmore words") for k in range(5)] + [(k + 100, f"other text {k}") for k in range(60)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all("Quux" not in got[k] and "Roe" not in got[k] for k in range(5))
+
+
 def test_disclosure_is_the_formula(spark):
     rows = rows_with_secrets()
     df = spark.createDataFrame(rows, "doc_id long, text string")
