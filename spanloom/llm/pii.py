@@ -1,14 +1,14 @@
 """Personal data: patterns, and terms that give protected entities away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Every distinct value is a
-protected entity. Words near an entity may disclose it though they match no pattern: from the whole
-corpus we count the documents that hold an entity e, a term t, and t in the context of e, and take
+protected entity. Words beside it may disclose it though they match no pattern: from the whole corpus
+we count the documents that hold an entity e, a term t, and both of them anywhere, and take
 
     disclosure(t, e) = PMI(t; e) / IC(e),   PMI = log(n_te N / (n_t n_e)),   IC = log(N / n_e),
 
 the share of the information of e that knowing t reveals. A term of a disclosure over the threshold,
-seen with the entity in enough different texts (copies of one text count once), is marked in those
-texts. ``sanitise`` replaces patterns by their kind and generalises such terms.
+seen with the entity in enough different texts (copies of one text count once), is marked wherever it
+stands in a document that holds the entity. ``sanitise`` replaces patterns by their kind and generalises such terms.
 """
 
 from __future__ import annotations
@@ -33,8 +33,6 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 #: Share of an entity's information that a term may reveal; different texts needed to say so.
 DISCLOSURE, SUPPORT = 0.8, 3
-#: Words to either side of an entity, and characters looked at for them.
-WINDOW, REACH = 6, 160
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -135,57 +133,70 @@ def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, span_hashes(low[cps], start, end)
 
 
-def contexts(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
-    """Terms near each entity: entity, term, a hash of the whole text, and where the term stands."""
-    context = xxhash.xxh3_64_intdigest(text) - (1 << 63)
-    near: dict[int, dict[int, set[tuple[int, int]]]] = {}
-    taken = sorted((a, b) for _, a, b in base)
-    for kind, a, b in base:
-        entity = xxhash.xxh3_64_intdigest(f"{kind}:{text[a:b].lower()}") - (1 << 63)
-        here = near.setdefault(entity, {})
-        left = max(text.rfind("\n", 0, a) + 1, a - REACH)
-        right = text.find("\n", b, b + REACH)
-        right = min(len(text), b + REACH) if right < 0 else right
-        s, e, h = words(text[left:right])
-        s, e = s + left, e + left
-        inside = np.ones(len(s), bool)
-        if left and text[left - 1 : left].isalpha():
-            inside &= s > left  # a word cut off by the reach
-        if right < len(text) and text[right].isalpha():
-            inside &= e < right
-        for x, y in taken:
-            if x < right and y > left:
-                inside &= (e <= x) | (s >= y)
-        before = np.flatnonzero(inside & (e <= a))[-WINDOW:]
-        after = np.flatnonzero(inside & (s >= b))[:WINDOW]
-        for k in (*before, *after):
-            here.setdefault(int(h[k].astype(np.int64)), set()).add((int(s[k]), int(e[k])))
-    out = []
-    for entity, terms in near.items():
-        out += [{"entity": entity, "term": t, "context": context, "start": [a for a, _ in sorted(at)], "end": [b for _, b in sorted(at)]} for t, at in terms.items()]
-        if not terms:
-            out.append({"entity": entity, "term": None, "context": context, "start": [], "end": []})
+def word_slices(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``words`` of a text of any length, a slice at a time."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + CHUNK)
+        if end < len(text):  # cut where no word is
+            back = end
+            while back > at and text[back].isalpha():
+                back -= 1
+            end = back if back > at else end
+        s, e, h = words(text[at:end])
+        yield s + at, e + at, h
+        at = end
+
+
+def terms_outside(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Start, end and hash of the words that no entity covers or overlaps, a slice at a time."""
+    a, b = np.sort([x for _, x, _ in base]), np.sort([y for _, _, y in base])
+    for s, e, h in word_slices(text):
+        # As many spans must have ended by the word's start as have begun before its end.
+        free = np.searchsorted(a, e, "left") == np.searchsorted(b, s, "right")
+        yield s[free], e[free], h[free]
+
+
+def places(text: str, base: list[tuple[str, int, int]], terms: list[int]) -> list[dict]:
+    """Where words of these hashes stand outside the entities."""
+    wanted, out = np.array(terms, np.int64).view(np.uint64), []
+    for s, e, h in terms_outside(text, base):
+        at = np.isin(h, wanted)
+        out += [{"start": x, "end": y} for x, y in zip(s[at].tolist(), e[at].tolist(), strict=True)]
     return out
 
 
-_CONTEXT = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("start", pa.list_(pa.int32())), ("end", pa.list_(pa.int32()))]))
-_FOUND = "__row long, __base string, __counts array<long>, __near array<struct<entity:long,term:long,context:long,start:array<int>,end:array<int>>>"
+def entities_of(text: str, base: list[tuple[str, int, int]]) -> list[int]:
+    return sorted({xxhash.xxh3_64_intdigest(f"{kind}:{text[a:b].lower()}") - (1 << 63) for kind, a, b in base})
+
+
+def _spans(base: str) -> list[tuple[str, int, int]]:
+    return [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base.split(",") if x)]
+
+
+_FOUND = "__row long, __base string, __counts array<long>, __context long, __entities array<long>, __words array<long>, __held string"
 
 
 def _found(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """``keep``, and of each row its spans; where there are any, also a hash of the text, the entities,
+    the distinct words outside them, and the text."""
     rows = docs.select(*keep, text_of(text_col).alias("__text"), F.monotonically_increasing_id().alias("__row"))
     schema = T.StructType([*docs.select(*keep).schema.fields, *T.StructType.fromDDL(_FOUND).fields])
+    long = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            base, counts, near = [], [], []
+            base, counts, context, entities, terms, held = [], [], [], [], [], []
             for text in columns(b, "__text")[0]:
                 spans = base_spans(text)
                 base.append(joined(spans))
                 counts.append([sum(k == kind for k, _, _ in spans) for kind in KINDS])
-                near.append(contexts(text, spans))
-            cols = [b.column(c) for c in [*keep, "__row"]] + [pa.array(base, pa.string()), pa.array(counts, pa.list_(pa.int64())), pa.array(near, _CONTEXT)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "__row", "__base", "__counts", "__near"])
+                context.append(xxhash.xxh3_64_intdigest(text) - (1 << 63) if spans else None)
+                entities.append(entities_of(text, spans))
+                terms.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for _, _, h in terms_outside(text, spans))])).view(np.int64) if spans else [])
+                held.append(text if spans else None)
+            new = [pa.array(base, pa.string()), pa.array(counts, long), pa.array(context, pa.int64()), pa.array(entities, long), pa.array(terms, long), pa.array(held, pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in [*keep, "__row"]] + new, names=[*keep, "__row", "__base", "__counts", "__context", "__entities", "__words", "__held"])
 
     return map_batches(rows, run, schema)
 
@@ -199,17 +210,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", most: int = 1
     def distinct(text: str) -> np.ndarray:
         if len(text) <= CHUNK:
             return np.unique(words(text)[2])
-        parts, at = [], 0
-        while at < len(text):
-            end = min(len(text), at + CHUNK)
-            if end < len(text):  # cut where no word is
-                back = end
-                while back > at and text[back].isalpha():
-                    back -= 1
-                end = back if back > at else end
-            parts.append(np.unique(words(text[at:end])[2]))
-            at = end
-        return np.unique(np.concatenate(parts))
+        return np.unique(np.concatenate([np.unique(h) for _, _, h in word_slices(text)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -245,10 +246,12 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", most: int = 1
 
 def disclosing(found: DataFrame, frequencies: DataFrame, n_docs: int, *, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """entity, term, disclosure of the pairs over the threshold."""
-    near = found.select(F.explode("__near").alias("x")).select("x.entity", "x.term", "x.context")
-    # A document has one row for each entity and term; copies share a context. All sums are partial first.
-    pairs = near.where("term IS NOT NULL").groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_pair")).where(F.col("contexts") >= support)
-    entities = found.select(F.explode(F.array_distinct(F.col("__near.entity"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    held = found.where(F.size("__entities") > 0).select("__context", F.explode("__entities").alias("entity"), "__words")
+    # A pair has no more contexts than its entity: most entities go before their words are looked at.
+    entities = held.groupBy("entity", "__context").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_entity")).where(F.col("contexts") >= support).select("entity", "n_entity")
+    near = held.join(entities.select("entity"), "entity").select("entity", "__context", F.explode("__words").alias("term"))
+    # A document has one row for each entity and term; copies share a context.
+    pairs = near.groupBy("entity", "term", "__context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_pair")).where(F.col("contexts") >= support)
     scored = pairs.join(entities, "entity").join(frequencies, "term")
     n = F.lit(float(n_docs))
     pmi = F.log2(F.col("n_pair") * n / (F.col("n_term") * F.col("n_entity")))
@@ -261,15 +264,21 @@ def _marked(docs: DataFrame, text_col: str, keep: list[str], **options) -> DataF
     spark = docs.sparkSession
     found = written(spark, _found(docs, text_col, keep), "pii-found")
     pairs = written(spark, disclosing(found, document_frequencies(docs, text_col), found.count(), **options), "pii-pairs")
-    some = F.size("__near") > 0
-    at = found.where(some).select("__row", F.explode("__near").alias("x")).select("__row", "x.entity", "x.term", F.arrays_zip(F.col("x.start").alias("start"), F.col("x.end").alias("end")).alias("at"))
-    terms = at.join(pairs.select("entity", "term"), ["entity", "term"]).groupBy("__row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("__terms"))
-    kind = "array<struct<start:int,end:int>>"
+    some = F.size("__entities") > 0
+    terms = found.where(some).select("__row", F.explode("__entities").alias("entity")).join(pairs.select("entity", "term"), "entity").groupBy("__row").agg(F.collect_set("term").alias("__disclosing"))
     out = [*keep, "__base", "__counts"]
-    # Documents without an entity have no contexts: they don't take part in the join.
-    plain = found.where(~some).select(*out, F.array().cast(kind).alias("__terms"))
-    held = found.where(some).join(terms, "__row", "left").select(*out, F.coalesce(F.col("__terms").cast(kind), F.array().cast(kind)).alias("__terms"))
-    return plain.unionByName(held)
+    schema = T.StructType([*found.select(*out).schema.fields, *T.StructType.fromDDL("__terms array<struct<start:int,end:int>>").fields])
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [places(t, _spans(s), d) if d else [] for t, s, d in zip(*columns(b, "__held", "__base", "__disclosing"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in out] + [pa.array(at, kind)], names=[*out, "__terms"])
+
+    # Documents without an entity disclose none: they don't take part in the join.
+    plain = found.where(~some).select(*out, F.array().cast(schema["__terms"].dataType).alias("__terms"))
+    held = found.where(some).join(terms, "__row", "left").select(*out, "__held", "__disclosing")
+    return plain.unionByName(map_batches(held, run, schema))
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -287,7 +296,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **o
 
 def replaced(text: str, base: str, terms: list[tuple[int, int]]) -> str:
     """The text with every span replaced; of overlapping ones the first, then the longest, counts."""
-    spans = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in base.split(",") if x)] + [(a, b, TERM) for a, b in terms]
+    spans = [(a, b, k) for k, a, b in _spans(base)] + [(a, b, TERM) for a, b in terms]
     out, at = [], 0
     for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
         if a >= at:

@@ -149,6 +149,31 @@ def test_one_line_in_different_texts(spark):
     assert all("Quux" not in got[k] and "Roe" not in got[k] for k in range(5))
 
 
+def test_words_in_slices_are_the_words(monkeypatch):
+    text = "Quux wrote x@corp.example.com, and Émile's 10.0.0.1 quux. " * 20
+    base = pii.base_spans(text)
+    whole = [np.concatenate(x) for x in zip(*pii.terms_outside(text, base), strict=True)]
+    monkeypatch.setattr(pii, "CHUNK", 40)
+    parts = list(pii.terms_outside(text, base))
+    assert len(parts) > 20 and all((np.concatenate(x) == y).all() for x, y in zip(zip(*parts, strict=True), whole, strict=True))
+    want = [m.span() for m in re.finditer(r"[^\W\d_]+", text) if not any(m.start() < b and a < m.end() for _, a, b in base)]
+    assert list(zip(whole[0].tolist(), whole[1].tolist(), strict=True)) == want
+    at = pii.places(text, base, [int(pii.words("quux")[2].view(np.int64)[0])])
+    assert [text[x["start"] : x["end"]] for x in at] == ["Quux", "quux"] * 20
+
+
+def test_terms_far_from_the_entity(spark):
+    """A term lines away from the entity counts, and is marked at all its places."""
+    text = lambda k: f"Quux wrote number{chr(97 + k)}\nwith many words in between them all and more\nmail q@corp.example.com now\nbest, quux"
+    df = spark.createDataFrame([(k, text(k)) for k in range(5)] + [(k + 100, f"with many words in between them all and more wrote mail now best {k}") for k in range(60)] + [(200, "Quux alone"), (201, "other@corp.example.com with")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    for k in range(5):
+        assert got[k] == text(k).replace("Quux", "[TERM]").replace("q@corp.example.com", "[EMAIL]").replace("quux", "[TERM]")
+    assert got[200] == "Quux alone" and got[201] == "[EMAIL] with"
+    found = {r.doc_id: r for r in pii.find(df).collect()}
+    assert [found[k].n_term for k in (0, 4, 100, 200, 201)] == [2, 2, 0, 0, 0]
+
+
 def test_disclosure_is_the_formula(spark):
     rows = rows_with_secrets()
     df = spark.createDataFrame(rows, "doc_id long, text string")
