@@ -260,25 +260,16 @@ def disclosing(found: DataFrame, frequencies: DataFrame, n_docs: int, *, disclos
 
 
 def _marked(docs: DataFrame, text_col: str, keep: list[str], **options) -> DataFrame:
-    """``keep``, __base, __counts, and __terms: sorted distinct (start, end) of disclosing terms."""
+    """``keep``, __base, __counts, __held (the text, if it holds an entity) and __disclosing: hashes of the terms to mark."""
     spark = docs.sparkSession
     found = written(spark, _found(docs, text_col, keep), "pii-found")
     pairs = written(spark, disclosing(found, document_frequencies(docs, text_col), found.count(), **options), "pii-pairs")
     some = F.size("__entities") > 0
     terms = found.where(some).select("__row", F.explode("__entities").alias("entity")).join(pairs.select("entity", "term"), "entity").groupBy("__row").agg(F.collect_set("term").alias("__disclosing"))
-    out = [*keep, "__base", "__counts"]
-    schema = T.StructType([*found.select(*out).schema.fields, *T.StructType.fromDDL("__terms array<struct<start:int,end:int>>").fields])
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = [places(t, _spans(s), d) if d else [] for t, s, d in zip(*columns(b, "__held", "__base", "__disclosing"), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in out] + [pa.array(at, kind)], names=[*out, "__terms"])
-
+    out = [*keep, "__base", "__counts", "__held"]
     # Documents without an entity disclose none: they don't take part in the join.
-    plain = found.where(~some).select(*out, F.array().cast(schema["__terms"].dataType).alias("__terms"))
-    held = found.where(some).join(terms, "__row", "left").select(*out, "__held", "__disclosing")
-    return plain.unionByName(map_batches(held, run, schema))
+    plain = found.where(~some).select(*out, F.lit(None).cast("array<long>").alias("__disclosing"))
+    return plain.unionByName(found.where(some).join(terms, "__row", "left").select(*out, "__disclosing"))
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -288,7 +279,17 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **o
     aren't read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    got = _marked(rows, "text", ["doc_id"], **options)
+    marked = _marked(rows, "text", ["doc_id"], **options)
+    keep = ["doc_id", "__base", "__counts"]
+    schema = T.StructType([*marked.select(*keep).schema.fields, *T.StructType.fromDDL("__terms array<struct<start:int,end:int>>").fields])
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [places(t, _spans(s), d) if d else [] for t, s, d in zip(*columns(b, "__held", "__base", "__disclosing"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(at, kind)], names=[*keep, "__terms"])
+
+    got = map_batches(marked, run, schema)
     extra = F.array_join(F.transform("__terms", lambda x: F.concat_ws(":", F.lit(TERM), x["start"], x["end"])), ",")
     spans = F.array_join(F.filter(F.array("__base", extra), lambda s: s != ""), ",")
     return got.select("doc_id", *(F.col("__counts")[k].alias(f"n_{kind}") for k, kind in enumerate(KINDS)), F.sha2(F.col("__base"), 256).alias("base_sha256"), spans.alias("spans"), F.size("__terms").cast("long").alias("n_term"))
@@ -315,10 +316,10 @@ def sanitise(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, base, terms = columns(b, text_col, "__base", "__terms")
-            new = [t if t is None or not s else replaced(t, s, [(x["start"], x["end"]) for x in m or []]) for t, s, m in zip(texts, base, terms, strict=True)]
+            texts, base, terms = columns(b, text_col, "__base", "__disclosing")
+            new = [t if t is None or not s else replaced(t, s, [(x["start"], x["end"]) for x in places(t, _spans(s), d)] if d else []) for t, s, d in zip(texts, base, terms, strict=True)]
             cols = [b.column(c) for c in keep]
             cols[place] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=keep)
 
-    return map_batches(marked.select(*keep, "__base", "__terms"), run, docs.schema)
+    return map_batches(marked.select(*keep, "__base", "__disclosing"), run, docs.schema)
