@@ -36,14 +36,16 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir``. Where the session names none (tests on one machine), a fresh
-    folder is made and set as the checkpoint folder.
+    It is ``spark.checkpoint.dir``. Where the session names none and runs on this machine alone (tests),
+    a fresh folder is made and set as the checkpoint folder; on a cluster that is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
@@ -63,6 +65,13 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a table is read from, as the planner knows them; 0 for other sources."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)  # an unknown size is told as a very large one
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a path of the shared folder through Hadoop's file system."""
     jvm = spark.sparkContext._jvm
