@@ -1,10 +1,11 @@
 """Byte-level BPE over whole documents with the ``tokenizers`` library.
 
-The library splits a text into pre-tokens and merges bytes within each of them only, so the ids of
-a text are the ids of its pre-tokens in a row. ``Encoder`` finds the pre-tokens of many documents at
-once with numpy and has the library encode every distinct one; repeated ones come from a table of
-bounded size in the worker. The result equals ``Tokenizer.encode(whole text).ids``; the tests hold
-it against that. The character classes come from the library's own regular expressions, so they
+The library cuts a text at the strings of its added tokens, splits the rest into pre-tokens and merges
+bytes within each of them only, so the ids of a text are the ids of these parts in a row. ``Encoder``
+finds the pre-tokens of many documents at once with numpy and has the library encode every distinct
+one; repeated ones of up to 64 characters come from a table of bounded size in the worker, longer ones
+are encoded where they stand. The result equals ``Tokenizer.encode(whole text).ids``; the tests hold
+it against that of a tokenizer of their own. The character classes come from the library's own regular expressions, so they
 follow its Unicode version. Tokenizers of another kind are given whole texts directly.
 """
 
@@ -17,75 +18,32 @@ from functools import lru_cache
 
 import numpy as np
 
+from spanloom.llm.hashing import CHUNK, LONG, code_points, groups, span_hashes
+
 O_, L_, N_, S_ = 0, 1, 2, 3
-#: Code points of one vectorised step; longer texts are cut between two words.
-CHUNK = 1 << 18
 #: Distinct pre-tokens kept in a worker; beyond it the table starts anew.
 TABLE = 3 << 18
-_PRIME = 0x9E3779B97F4A7C15
 _SAFE_CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(32))
-
-
-@lru_cache(1)
-def powers(n: int = CHUNK * 2) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd multiplier modulo 2^64, and those of its inverse."""
-    up, down = np.full(n, _PRIME, np.uint64), np.full(n, pow(_PRIME, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-@lru_cache(1)
-def _code_point_keys() -> np.ndarray:
-    return _mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(_PRIME))
-
-
-def span_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of a code-point array of at most 2 * CHUNK entries."""
-    up, down = powers()
-    total = np.zeros(len(cps) + 1, np.uint64)
-    np.cumsum(_code_point_keys()[cps] * up[: len(cps)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return _mix(h + (ends - starts).astype(np.uint64))
-
-
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
-
-
-def groups(texts: list[str], most: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` characters together; a longer text stands alone."""
-    at, size = 0, 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield at, k
-            at, size = k, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
-
-
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         spec = json.loads(self.tok.to_str())
         pre = spec["pre_tokenizer"] or {}
-        self.fast = spec["normalizer"] is None and spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        added = self.tok.get_added_tokens_decoder()
+        plain = not any(t.lstrip or t.rstrip or t.single_word or "\n" in t.content for t in added.values())
+        self.fast = plain and spec["normalizer"] is None and spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        self.added = {t.content: i for i, t in added.items()}
+        # Of several that begin at one place the longest counts.
+        self.at_added = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})") if added else None
         self.byte_level = pre.get("type") == "ByteLevel"
         if self.byte_level:
             self.id_bytes = np.zeros(max(self.tok.get_vocab().values()) + 1, np.int64)
             for word, i in self.tok.get_vocab().items():
-                self.id_bytes[i] = len(word)  # in a byte-level vocabulary one character stands for one byte
+                self.id_bytes[i] = len(word.encode()) if word in self.added else len(word)  # in a byte-level vocabulary one character stands for one byte
         if self.fast:
             self.kind = self._kinds()
             self.newline = self.tok.encode("\n", add_special_tokens=False).ids
@@ -218,10 +176,17 @@ class Encoder:
         first[begin[begin < len(cps)]] = True
         starts = self._starts(cps, first)
         ends = np.append(starts[1:], len(cps))
-        row = self._rows(joined, cps, starts, ends, span_hashes(cps, starts, ends))
+        long = ends - starts > LONG
+        some, row = np.flatnonzero(~long), np.zeros(len(starts), np.int64)
+        row[some] = self._rows(joined, cps, starts[some], ends[some], span_hashes(cps, starts[some], ends[some]))
+        alone = [np.array(self.tok.encode(joined[a:b], add_special_tokens=False).ids, np.uint32) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
         count = self.at[row + 1] - self.at[row]
         total = np.concatenate([[0], np.cumsum(count)])
         ids = self.flat[np.repeat(self.at[row] - total[:-1], count) + np.arange(total[-1])]
+        if alone:
+            ids = np.insert(ids, np.repeat(total[:-1][long], [len(x) for x in alone]), np.concatenate(alone))
+            count[long] = [len(x) for x in alone]
+            total = np.concatenate([[0], np.cumsum(count)])
         edge = np.searchsorted(starts, np.append(begin, len(cps)))
         return ids, np.diff(total[edge])
 
@@ -230,10 +195,28 @@ class Encoder:
         if not self.fast:
             each = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
             return np.concatenate(each or [np.zeros(0, np.uint32)]), np.array([len(x) for x in each], np.int64)
+        if self.at_added and any(map(self.at_added.search, texts)):
+            return self._around_added([self.at_added.split(t) for t in texts])
+        return self._encode(texts)
+
+    def _around_added(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that are given as parts: text, added token, text, ..., text."""
+        plain, n = self._encode([part for parts in split for part in parts[::2]])
+        own, counts, at = np.split(plain, np.cumsum(n)), [], 0
+        ids: list[np.ndarray] = [np.zeros(0, np.uint32)]
+        for parts in split:
+            begin = len(ids)
+            for k, part in enumerate(parts):
+                ids.append(np.array([self.added[part]], np.uint32) if k % 2 else own[at + k // 2])
+            at += len(parts) // 2 + 1
+            counts.append(sum(map(len, ids[begin:])))
+        return np.concatenate(ids), np.array(counts, np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(texts) == 1 and len(texts[0]) > CHUNK:
-            ids, counts = zip(*(self.encode([t]) if len(t) <= CHUNK else self._plain(t) for t in self._cut(texts[0])), strict=True)
+            ids, counts = zip(*(self._encode([t]) if len(t) <= CHUNK else self._plain(t) for t in self._cut(texts[0])), strict=True)
             return np.concatenate(ids), np.array([sum(int(c[0]) for c in counts)], np.int64)
-        parts = [self.encode(texts[a:b]) if b - a == 1 and len(texts[a]) > CHUNK else self._chunk(texts[a:b]) for a, b in groups(texts)]
+        parts = [self._encode(texts[a:b]) if b - a == 1 and len(texts[a]) > CHUNK else self._chunk(texts[a:b]) for a, b in groups(texts)]
         if not parts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         return np.concatenate([x for x, _ in parts]), np.concatenate([c for _, c in parts])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.arrow import batch_of, columns, map_batches, text_of
-from spanloom.llm.bpe import _mix, groups
+from spanloom.llm.hashing import groups, mix
 from spanloom.llm.components import connected_components
 from spanloom.llm.shingles import shingle_sets
 from spanloom.runtime import written
@@ -45,7 +45,7 @@ _BLOCK = 1 << 14
 
 def hash_functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers (odd) and offsets of n universal hash functions x -> (a x + b) mod 2^64."""
-    x = _mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    x = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return x[:n] | np.uint64(1), x[n:]
 
 
@@ -76,7 +76,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     parts = sig.reshape(len(sig), bands, rows).astype(np.uint64)
     key = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None], len(sig), 0)
     for r in range(rows):
-        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r])
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r])
     return key
 
 

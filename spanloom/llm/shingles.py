@@ -1,65 +1,35 @@
 """Word shingles of whole texts as sets of 64-bit hashes.
 
 Words are runs of other bytes than ASCII white space, A-Z lower-cased. All words of many texts are
-hashed at once from a running sum over their bytes.
+hashed at once.
 """
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
-import xxhash
 
-from spanloom.llm.bpe import CHUNK, _mix, powers
+from spanloom.llm.hashing import CHUNK, mix, span_hashes
 
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _MULTIPLIER = 0xC2B2AE3D27D4EB4F
 
 
 @lru_cache(1)
-def _bytes() -> tuple[np.ndarray, np.ndarray]:
-    """By byte: a random key of its lower case, and whether it is white space."""
-    key = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER))
-    key[65:91] = key[97:123]
-    space = np.zeros(256, bool)
+def _bytes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By byte: a random key, its lower case, and whether it is white space."""
+    low, space = np.arange(256, dtype=np.uint8), np.zeros(256, bool)
+    low[65:91] = low[97:123]
     space[[32, 9, 10, 11, 12, 13]] = True
-    return key, space
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER)), low, space
 
 
-def _spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    word = np.concatenate([[False], ~_bytes()[1][raw], [False]])
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of every word."""
+    keys, low, space = _bytes()
+    word = np.concatenate([[False], ~space[raw], [False]])
     edge = np.flatnonzero(word[1:] != word[:-1])
-    return edge[::2], edge[1::2]
-
-
-def _hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    up, down = powers()
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_bytes()[0][raw] * up[: len(raw)], out=total[1:])
-    return _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-
-
-def _long(text: bytes) -> np.ndarray:
-    """Word hashes of a long text, in slices cut at white space; a word longer than a slice has a hash of its own."""
-    out, at = [np.zeros(0, np.uint64)], 0
-    while at < len(text):
-        m = _SPACE.search(text, at + CHUNK) if at + CHUNK < len(text) else None
-        end = m.start() if m else len(text)
-        part = text[at:end]
-        if len(part) <= 2 * CHUNK:
-            raw = np.frombuffer(part, np.uint8)
-            out.append(_hash(raw, *_spans(raw)))
-        else:
-            for w in part.lower().split():
-                if len(w) <= CHUNK:
-                    raw = np.frombuffer(w, np.uint8)
-                    out.append(_hash(raw, np.zeros(1, np.int64), np.array([len(w)])))
-                else:
-                    out.append(np.array([xxhash.xxh3_64_intdigest(w)], np.uint64))
-        at = end
-    return np.concatenate(out)
+    return edge[::2], span_hashes(low[raw], edge[::2], edge[1::2], keys)
 
 
 def word_hashes(texts: list[str]) -> list[np.ndarray]:
@@ -68,17 +38,11 @@ def word_hashes(texts: list[str]) -> list[np.ndarray]:
     raws = [t.encode() for t in texts]
     at = 0
     while at < len(raws):
-        if len(raws[at]) > CHUNK:
-            out[at] = _long(raws[at])
-            at += 1
-            continue
-        end, size = at, 0
-        while end < len(raws) and size + len(raws[end]) + 1 <= CHUNK + 1 and len(raws[end]) <= CHUNK:
+        end, size = at + 1, len(raws[at])
+        while end < len(raws) and size + len(raws[end]) < CHUNK:
             size += len(raws[end]) + 1
             end += 1
-        raw = np.frombuffer(b"\n".join(raws[at:end]), np.uint8)
-        start, stop = _spans(raw)
-        h = _hash(raw, start, stop)
+        start, h = _words(np.frombuffer(b"\n".join(raws[at:end]), np.uint8))
         edge = np.searchsorted(start, np.cumsum([0] + [len(r) + 1 for r in raws[at:end]]))
         for k in range(at, end):
             out[k] = h[edge[k - at] : edge[k - at + 1]]
@@ -96,7 +60,7 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for j in range(k):
         total += words[j : n - k + 1 + j] * np.uint64(p)
         p = p * _MULTIPLIER % (1 << 64)
-    return _mix(total + np.uint64(k))
+    return mix(total + np.uint64(k))
 
 
 def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.llm.arrow import batch_of, columns, map_batches, text_of
-from spanloom.llm.bpe import encoder, groups, tokenizer_path
+from spanloom.llm.bpe import encoder, tokenizer_path
+from spanloom.llm.hashing import groups
 
 RULES = ("start", "end", "most", "share")
 

@@ -9,9 +9,9 @@ import pytest
 tokenizers = pytest.importorskip("tokenizers")
 pytest.importorskip("public_tokenizers")
 
-from spanloom.llm import bpe, packing, tokenbin, tokencount  # noqa: E402
+from spanloom.llm import bpe, hashing, packing, tokenbin, tokencount  # noqa: E402
 
-ODD = ["", "'s", " 's", "x's y'll z're", "it'sabc 'll!!'s", "\n\n a  b \n", "a\n\n", "  ", "\t x", "日本語 123½ ²", "''s", "a'", " '", "<|endoftext|> hi", "é  b", "don't!!", "'Sx", "a 'd'd'll", " x　y", "x" * 3000 + "  \n '", "😀 \U0010ffff", "a​b", "٣٤ ١"]
+ODD = ["", "'s", " 's", "x's y'll z're", "it'sabc 'll!!'s", "\n\n a  b \n", "a\n\n", "  ", "\t x", "日本語 123½ ²", "''s", "a'", " '", "<|endoftext|> hi", "é  b", "don't!!", "'Sx", "a 'd'd'll", " x　y", "x" * 3000 + "  \n '", "😀 \U0010ffff", "a​b", "٣٤ ١", "a <|endoftext|><|endoftext|>\n <|endoftext|> b", "<|endoftext|>", "<|endoftext", "x" * 64 + " " + "y" * 65 + "z" * 5000 + "!" * 70 + " " * 90 + "q"]
 
 
 def texts(n=300, seed=1):
@@ -27,14 +27,29 @@ def enc():
     return bpe.encoder(bpe.tokenizer_path())
 
 
+OWN: dict = {}
+
+
 def direct(enc, t):
-    return enc.tok.encode(t, add_special_tokens=False).ids
+    """By a tokenizer that nothing else has touched."""
+    name = "byte_bpe_50k.json" if enc.fast else "word_bpe_49k.json"
+    if name not in OWN:
+        OWN[name] = tokenizers.Tokenizer.from_file(bpe.tokenizer_path(name))
+    return OWN[name].encode(t, add_special_tokens=False).ids
+
+
+def thue_morse(n):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return [a, b]
 
 
 def test_encoding_is_the_library_on_whole_texts(enc, monkeypatch):
     every = texts()
     for chunk in (bpe.CHUNK, 50):
         monkeypatch.setattr(bpe, "CHUNK", chunk)
+        monkeypatch.setattr(hashing, "CHUNK", max(chunk, 70))
         ids, counts = enc.encode(every)
         at = 0
         for t, n in zip(every, counts, strict=True):
@@ -43,6 +58,15 @@ def test_encoding_is_the_library_on_whole_texts(enc, monkeypatch):
     assert enc.encode([])[0].tolist() == []
 
 
+def test_very_long_words(enc):
+    """Words that a polynomial hash can't tell apart, and one of a million letters."""
+    every = [*thue_morse(11), " ".join(thue_morse(12)), "w" * 1_000_000, "<|endoftext|> hi"]
+    ids, counts = enc.encode(every)
+    for t, part in zip(every, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert part.tolist() == direct(enc, t), t[:20]
+    assert direct(enc, every[-1]) == [50256, 23105] and int(enc.id_bytes[50256]) == 13
+
+
 def test_table_starts_anew_when_full(monkeypatch):
     monkeypatch.setattr(bpe, "TABLE", 1 << 11)
     monkeypatch.setattr(bpe, "CHUNK", 1000)
@@ -103,6 +127,10 @@ def test_section_tokens(spark, enc):
     docs = [(1, "one line\ntwo  \n\nend é", 0), (2, None, 0), (None, "x\n", 0), (2, "", 0), (3, "日本\n語", 0), (1, "one line\ntwo  \n\nend é", 0)]
     df = spark.createDataFrame(docs, "doc_id long, text string, section int")
     got = tokencount.section_tokens(df).collect()
+    brute = lambda t, rule: brute_attribution(np.cumsum([int(enc.id_bytes[i]) for i in direct(enc, t)]).tolist(), np.cumsum([len(x) for x in t.encode().splitlines(keepends=True)] or [0]).tolist(), rule)
+    for key, text in ((1, docs[0][1]), (3, docs[4][1])):  # as registered
+        rows = sorted({(r.section, r.n_tokens, r.crosses) for r in got if r.doc_id == key})
+        assert [r[1:] for r in rows] == list(zip(*brute(text, "most"), strict=True))
     for rule in ("start", "end", "share"):
         rows = tokencount.section_tokens(df, rule=rule).collect()
         assert len(rows) == len(got) and abs(sum(r.n_tokens for r in rows) - sum(r.n_tokens for r in got)) < 1e-9
@@ -157,7 +185,7 @@ def test_simple8b_packs_greedily():
         tokenbin.parse_shard(b"\0" * 64)
 
 
-DOCS = [(5, "hello world"), (2, None), (9, "'s don't\n\n x"), (2, ""), (None, "null id"), (7, "word " * 700), (5, "hello world")]
+DOCS = [(5, "hello <|endoftext|> world"), (2, None), (9, "'s don't\n\n x"), (2, ""), (None, "null id"), (7, "word " * 700), (5, "hello <|endoftext|> world")]
 
 
 def token_rows(enc):
