@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,3 +53,11 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
 def text_of(column: str = "text"):
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).alias(column)
+
+
+def fresh_name(stem: str, taken: Iterable[str]) -> str:
+    """A column name that no column has, whatever its case."""
+    name, there = f"__{stem}", {c.lower() for c in taken}
+    while name.lower() in there:
+        name += "_"
+    return name

@@ -5,15 +5,14 @@ share one sorted array of n-gram hashes for each order, with a row of log-probab
 language) beside it, and one of context hashes with back-off weights. A text goes to the language of
 the lowest cross-entropy per character. Held-back labelled texts calibrate two things: how sure a
 difference in cross-entropy makes the choice (``score``), and how high the cross-entropy of a genuine
-text of a language can be for its length; beyond it, and predicted worse than by a uniform guess, the
-text is ``rejected``.
+text of a language can be for its length; beyond it, and predicted worse than by a uniform guess among
+the language's own letters, the text is ``rejected``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -21,42 +20,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.arrow import batch_of, columns, map_batches, ready, text_of
-from spanloom.llm.bpe import _code_point_keys, _mix, groups
+from spanloom.llm.arrow import columns, fresh_name, map_batches, ready, text_of
+from spanloom.llm.hashing import code_point_keys, folded, groups, mix
 from spanloom.llm.lookup import Sorted
 
 if TYPE_CHECKING:
     import pandas as pd  # imported where it is used: scoring does without it
 
-#: Characters of a language's labelled texts that are learned from, at most, and as many for calibration.
+#: Characters of a language's labelled texts that are learned from, about, and as many for calibration.
 SAMPLE_CHARS = 1_000_000
+#: Texts of a language that the sample aims at, at least; no text gives more than its share of the characters.
+SAMPLE_TEXTS = 64
 ORDER = 4
 UND = "und"
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SLICE = 1 << 18
 
 
-@lru_cache(1)
-def _letters() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-
-
 def normalised(text: str) -> np.ndarray:
     """Code points of the lower-case text, runs of other characters than letters as one space."""
     cps = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    cps = np.where(_letters()[cps], cps, np.uint32(32))
+    cps = np.where(folded()[1][cps] == 1, cps, np.uint32(32))
     return cps[(cps != 32) | np.append(True, cps[:-1] != 32)] if len(cps) else cps
 
 
 def grams(cps: np.ndarray, order: int) -> list[np.ndarray]:
     """g[m][i]: hash of the m characters that end at i; g[0] is 0. Entries that reach before the start aren't used."""
-    key = _code_point_keys()[cps]
+    key = code_point_keys()[cps]
     out, power, total = [np.zeros(len(cps), np.uint64)], np.uint64(1), np.zeros(len(cps), np.uint64)
     for m in range(1, order + 1):
         total = total.copy()
         total[m - 1 :] += key[: len(key) - m + 1] * power
         power = np.uint64((int(power) * int(_P)) % (1 << 64))
-        out.append(_mix(total + np.uint64(m)))
+        out.append(mix(total + np.uint64(m)))
     return out
 
 
@@ -129,6 +125,7 @@ class Model:
     centre: np.ndarray = None
     spread: np.ndarray = None
     limit: np.ndarray = None
+    chance: np.ndarray = None  # bits per character of a uniform guess among a language's letters
     heat: float = 1.0
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +184,7 @@ class Model:
         score = np.where(size > 0, 1 / odds.sum(1), 0.0)
         z = (low - self.centre[best]) * np.sqrt(size) / self.spread[best]
         # A genuine text of mixed languages can deviate far; none is predicted worse than by chance.
-        rejected = (size == 0) | (z > self.limit[best]) & (low > -self.base)
+        rejected = (size == 0) | (z > self.limit[best]) & (low > self.chance[best])
         return [self.langs[k] if n else UND for k, n in zip(best, size, strict=True)], score, rejected, np.where(size > 0, low, 0.0)
 
 
@@ -226,15 +223,17 @@ def build(counts: dict[str, pd.DataFrame], order: int) -> Model:
         model.logp.append(np.append(logp, np.zeros((1, len(langs))), 0).astype(np.float32))
         model.backoff.append(np.append(backoff, np.zeros((1, len(langs))), 0).astype(np.float32))
         lower = logp
+    model.chance = np.array([np.log2(counts[k][counts[k].m == 1].gram.nunique() + 1) for k in langs])
     model.centre, model.spread, model.limit = np.zeros(len(langs)), np.ones(len(langs)), np.full(len(langs), np.inf)
     return model
 
 
-def calibrate(model: Model, texts: list[str], labels: list[str], slack: float = 1.3) -> Model:
+def calibrate(model: Model, texts: list[str], labels: list[str], slack: float = 1.3, quantile: float = 0.99) -> Model:
     """Set the rejection limits and the heat of the score from held-back labelled texts.
 
     The deviation from a language's usual cross-entropy shrinks with the square root of the length;
-    the limit is ``slack`` times the largest deviation seen, so genuine texts stay.
+    the limit is ``slack`` times a high quantile of the deviations seen, so that single texts with a
+    wrong label don't set it.
     """
     if not texts:
         return model
@@ -251,7 +250,7 @@ def calibrate(model: Model, texts: list[str], labels: list[str], slack: float =
             model.centre[k] = np.average(own[mine], weights=size[mine])
             dev = (own[mine] - model.centre[k]) * np.sqrt(size[mine])
             model.spread[k] = max(np.sqrt((dev**2).mean()), 1e-6)
-            model.limit[k] = slack * max(dev.max() / model.spread[k], 3.0)
+            model.limit[k] = slack * max(np.quantile(dev, quantile) / model.spread[k], 3.0)
     margin = (h - own[:, None]) * np.sqrt(size)[:, None]
     heats = 2.0 ** np.arange(-6, 5)
     loss = [np.log(np.exp2(np.clip(-margin * t, -1000, 60)).sum(1)).mean() for t in heats]
@@ -263,29 +262,32 @@ def calibrate(model: Model, texts: list[str], labels: list[str], slack: float =
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_chars: int = SAMPLE_CHARS) -> Model | None:
-    """Learn from labelled rows: a sample of ``sample_chars`` characters of each language at most.
+    """Learn from labelled rows: a sample of about ``sample_chars`` characters of each language.
 
     The sample takes distinct texts by their hash, so copies count once and rows of any place in
-    the table have the same chance. Rows without text or language are left out; without any others,
-    there is no model (None).
+    the table have the same chance. A text gives one stretch of at most 1 / ``SAMPLE_TEXTS`` of the
+    characters, at a place that its hash tells, and about ``SAMPLE_TEXTS`` texts are drawn at least,
+    so neither long texts nor copies can keep a language out. Half of the sample calibrates. Rows
+    without text or language are left out; without any others, there is no model (None). The model
+    has a column for each label: languages are meant to be few.
     """
     spark = docs.sparkSession
     ready(spark)
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
-    totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}  # one row a language
+    most = max(2 * sample_chars // SAMPLE_TEXTS, 1)
+    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0").withColumn("h", F.xxhash64("text"))
+    once = rows.groupBy("lang", "h").agg(F.first(F.least(F.length("text"), F.lit(most))).alias("n"))
+    totals = {r.lang: (r.chars, r.texts) for r in once.groupBy("lang").agg(F.sum("n").alias("chars"), F.count("*").alias("texts")).collect()}  # one row a language
     if not totals:
         return None
-    share = F.create_map(*(F.lit(x) for k, n in totals.items() for x in (k, min(1.0, 2 * sample_chars / n))))
-    h = F.xxhash64("text")
-    drawn = rows.withColumn("h", h).withColumn("u", F.pmod("h", F.lit(1 << 30)) / float(1 << 30)).where(F.col("u") < share[F.col("lang")])
-    drawn = drawn.groupBy("lang", "h").agg(F.first("text").alias("text"), F.first("u").alias("u"))
+    share = F.create_map(*(F.lit(x) for k, (chars, texts) in totals.items() for x in (k, min(1.0, max(2 * sample_chars / chars, 2 * SAMPLE_TEXTS / texts)))))
+    drawn = rows.withColumn("u", F.pmod("h", F.lit(1 << 30)) / float(1 << 30)).where(F.col("u") < share[F.col("lang")])
+    begin = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - most, F.lit(0)) + 1).cast("int") + 1
+    drawn = drawn.select("lang", "h", F.substring("text", begin, F.lit(most)).alias("text")).groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import pandas as pd
 
         pdf = pdf.sort_values("h")
-        size = pdf.text.str.len().cumsum().shift(fill_value=0)
-        pdf = pdf[size < 2 * sample_chars]  # the bound, whatever the lengths
         odd = np.arange(len(pdf)) % 2 == 1
         out = count_grams(pdf.text[~odd].tolist(), order).assign(lang=key[0], text=None)
         back = pd.DataFrame({"lang": key[0], "m": 0, "gram": 0, "context": 0, "suffix": 0, "n": 0, "text": pdf.text[odd]})
@@ -308,18 +310,33 @@ def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text", ke
     if model is None:
         return docs.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), F.lit(0.0).alias("bits_per_char"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-    rows = docs.select(*keep, text_of(text_col).alias("__text"))
+    text = fresh_name("text", docs.columns)
+    rows = docs.select(*keep, text_of(text_col).alias(text))
     out_schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean").add("bits_per_char", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, score, rejected, bits = shared.value.decide(columns(b, "__text")[0])
+            lang, score, rejected, bits = shared.value.decide(columns(b, text)[0])
             cols = [b.column(c) for c in keep] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()), pa.array(bits, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=keep + new)
 
     return map_batches(rows, run, out_schema)
 
 
+def accepted(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, all columns as they are."""
+    if model is None:
+        return docs.limit(0)
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rejected = shared.value.decide([t or "" for t in columns(b, text_col)[0]])[2]
+            yield b.select(names).filter(pa.array(~rejected))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that aren't learned from; false where the id is null."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
