@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.llm.arrow import columns, map_batches, text_of
-from spanloom.llm.bpe import CHUNK, code_points, groups, span_hashes
+from spanloom.llm.hashing import CHUNK, code_points, folded, groups, span_hashes
 from spanloom.runtime import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -110,24 +109,11 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 # -- terms ----------------------------------------------------------------------------------------
 
 
-@lru_cache(1)
-def _folded() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: its lower case (if that is one character), and whether it is part of a word."""
-    low, word = np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, bool)
-    for c in range(0x110000):
-        x = chr(c)
-        if x.isalpha():
-            word[c] = True
-            if len(y := x.lower()) == 1:
-                low[c] = ord(y)
-    return low, word
-
-
 def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and hash of every word (letters in a row, case ignored); text of at most 2 * CHUNK characters."""
+    """Start, end and hash of every word (letters in a row, case ignored); for texts of moderate length."""
     cps = code_points(text)
-    low, word = _folded()
-    is_word = np.concatenate([[False], word[cps], [False]])
+    low, kind = folded()
+    is_word = np.concatenate([[False], kind[cps] == 1, [False]])
     edge = np.flatnonzero(is_word[1:] != is_word[:-1])
     start, end = edge[::2], edge[1::2]
     return start, end, span_hashes(low[cps], start, end)
@@ -309,17 +295,21 @@ def replaced(text: str, base: str, terms: list[tuple[int, int]]) -> str:
 
 
 def sanitise(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the found spans replaced in the text; all columns stay, a null text stays null."""
-    keep = docs.columns
-    marked = _marked(docs, text_col, keep, **options)
-    place = keep.index(text_col)
+    """``docs`` with the found spans replaced in the text; all columns stay, whatever their names.
+
+    A null text stays null; repeated rows stay; an empty table gives no rows.
+    """
+    names, place = docs.columns, docs.columns.index(text_col)
+    rows = docs.toDF(*(f"c{k}" for k in range(len(names))))  # no name of a column of this table clashes with ours
+    keep = rows.columns
+    marked = _marked(rows, keep[place], keep, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, base, terms = columns(b, text_col, "__base", "__disclosing")
+            texts, base, terms = columns(b, keep[place], "__base", "__disclosing")
             new = [t if t is None or not s else replaced(t, s, [(x["start"], x["end"]) for x in places(t, _spans(s), d)] if d else []) for t, s, d in zip(texts, base, terms, strict=True)]
             cols = [b.column(c) for c in keep]
             cols[place] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=keep)
 
-    return map_batches(marked.select(*keep, "__base", "__disclosing"), run, docs.schema)
+    return map_batches(marked.select(*keep, "__base", "__disclosing"), run, rows.schema).toDF(*names)

@@ -72,6 +72,34 @@ def test_identify(spark):
     assert [tuple(r) for r in none] == [("und", True)]
 
 
+def test_accepted_keeps_all_columns(spark):
+    rows = [(k, t, lang, k + 100, "keep", k, 5) for k, t, lang in sentences(100, 7)] + [(500, None, None, 1, "x", 1, 5), (501, "日本語" * 50, None, 1, "x", 1, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, rejected string, __text int, n_chars int")
+    model = langid.fit(df)
+    got = langid.accepted(df, model)
+    assert got.schema == df.schema and sorted(map(tuple, got.collect())) == sorted(r for r in rows if r[0] < 500)
+    assert langid.identify(df, model).where("doc_id < 500").agg(F.sum("__text")).first()[0] == sum(range(100))
+    assert langid.accepted(df, None).count() == 0 and langid.accepted(df.limit(0), model).count() == 0
+
+
+def test_garbage_of_a_large_alphabet_is_rejected(spark):
+    """A learned language of many letters doesn't lift the floor of the others; one wrong label doesn't either."""
+    rng = random.Random(8)
+    han = [chr(0x4E00 + k) for k in range(3000)]
+    rows = [(t, lang) for _, t, lang in sentences(900, 9)] + [("".join(rng.choice(han) for _ in range(200)), "zh") for _ in range(300)]
+    rows.append(("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(300)), "en"))
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    garbage = ["".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(200)) for _ in range(20)]
+    assert all(model.decide(garbage)[2])
+    assert not any(model.decide([t for t, _ in rows[:300]])[2])
+
+
+def test_long_texts_and_copies_leave_all_languages_in(spark):
+    rows = [("the of and " * 30_000 + str(k), "en") for k in range(3)] + [("le de un " * 20, "fr")] * 3000 + [(f"el la de que y {'a ' * k}", "es") for k in range(40)]
+    got = langid.fit(spark.createDataFrame(rows, "text string, lang string").repartition(4), sample_chars=64_000)
+    assert got.langs == ["en", "es", "fr"] and got.decide(["the of and the", "le de un le de"])[0] == ["en", "fr"]
+
+
 def test_fit_keeps_its_bound_and_ignores_copies(spark):
     df = spark.createDataFrame([(t, lang) for _, t, lang in sentences(200, 4)] + [("the " * 50, "en")] * 500, "text string, lang string")
     model = langid.fit(df, sample_chars=2000)
@@ -193,4 +221,8 @@ def test_sanitise(spark):
     got = {r.doc_id: r for r in pii.sanitise(df).collect()}
     assert len(got) == len(rows) and got[200].text is None and got[201].text == "call [PHONE] or [CARD]!"
     assert "[TERM] [EMAIL]" in got[0].text and "Zorblax" not in got[0].text and got[1].text == rows[1][1]
+    clash = df.selectExpr("doc_id AS __row", "text", "source AS __base", "source AS __text", "source AS __held", "1 AS __entities")
+    again = pii.sanitise(clash)
+    assert again.schema == clash.schema and {r["__row"]: r.text for r in again.collect()} == {k: r.text for k, r in got.items()}
+    assert {tuple(r)[2:] for r in again.collect()} == {("s", "s", "s", 1)} and pii.sanitise(clash.limit(0)).count() == 0
     assert pii.replaced("abcdef", "x:1:3,y:2:5", []) == "a[X]f"
