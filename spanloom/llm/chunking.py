@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.arrow import batch_of, columns, map_batches, text_of
-from spanloom.llm.bpe import CHUNK, _code_point_keys, _mix, code_points, groups, span_hashes
+from spanloom.llm.arrow import batch_of, columns, fresh_name, map_batches, text_of
+from spanloom.llm.hashing import CHUNK, code_point_keys, code_points, groups, mix, span_hashes
+from spanloom.runtime import written
 
 #: Characters of a chunk: at least, at most; leading bits of the gear hash that must be 0 at a cut.
 LEAST, MOST, BITS = 16, 96, 4
@@ -28,7 +29,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 
 def gear(cps: np.ndarray) -> np.ndarray:
     """h[i] = (h[i-1] << 1) + key(c[i]) in 16 bits: a hash of the last 16 characters."""
-    h = (_code_point_keys()[cps] >> np.uint64(40)).astype(np.uint16)
+    h = (code_point_keys()[cps] >> np.uint64(40)).astype(np.uint16)
     for step in (1, 2, 4, 8):  # joins hashes of the last step characters to those of twice as many
         more = h.copy()
         more[step:] += h[:-step] << np.uint16(step)
@@ -63,8 +64,13 @@ def cuts(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int = LEA
     return np.array(out, np.int64)
 
 
+def _digests(cps: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """128 bits of each span, as two columns."""
+    return np.stack([span_hashes(cps, start, stop), span_hashes(cps, start, stop, seed=1)], 1)
+
+
 def chunks(texts: list[str], **sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, start, end and digest of every chunk."""
+    """Text number, start, end and digest (two columns) of every chunk."""
     parts = []
     for a, b in groups(texts):
         if b - a == 1 and len(texts[a]) > CHUNK:
@@ -76,9 +82,9 @@ def chunks(texts: list[str], **sizes) -> tuple[np.ndarray, np.ndarray, np.ndarra
         stop = cuts(cps, end - size, end, **sizes)
         start = np.concatenate([[0], stop[:-1]]) if len(stop) else stop
         which = np.searchsorted(end, start, "right")
-        parts.append((which + a, start - (end - size)[which], stop - (end - size)[which], span_hashes(cps, start, stop)))
+        parts.append((which + a, start - (end - size)[which], stop - (end - size)[which], _digests(cps, start, stop)))
     if not parts:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros((0, 2), np.uint64),)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -92,13 +98,13 @@ def _long(text: str, number: int, sizes: dict) -> list:
         if at + len(part) < len(text):
             stop = stop[stop <= len(part) - sizes.get("most", MOST)]  # the last ones depend on what follows
         start = np.concatenate([[0], stop[:-1]])
-        out.append((np.full(len(stop), number), start + at, stop + at, span_hashes(cps, start, stop)))
+        out.append((np.full(len(stop), number), start + at, stop + at, _digests(cps, start, stop)))
         at += int(stop[-1])
     return out
 
 
 def stretches(texts: list[str], run: int = RUN, **sizes) -> tuple[np.ndarray, ...]:
-    """Text number, start, end, number of the first chunk, chunks and digest of rows of chunks.
+    """Text number, start, end, number of the first chunk, chunks and digest (two columns) of rows of chunks.
 
     From every chunk the shortest row onwards, and to every chunk the shortest row up to it, that has
     ``run`` characters: the ones within a passage of that length together hold all of its chunks.
@@ -113,10 +119,10 @@ def stretches(texts: list[str], run: int = RUN, **sizes) -> tuple[np.ndarray, ..
     up = back >= begin
     up[up] = onwards[back[up]] != n[up] + 1  # the others are there already
     lo, hi = np.concatenate([n[on], back[up]]), np.concatenate([onwards[on], n[up] + 1])
-    h = (hi - lo).astype(np.uint64)
+    h = np.repeat((hi - lo).astype(np.uint64)[:, None], 2, 1)
     for k in range(int((hi - lo).max(initial=0))):
         more = np.flatnonzero(lo + k < hi)
-        h[more] = _mix(h[more] * _P + digest[lo[more] + k])
+        h[more] = mix(h[more] * _P + digest[lo[more] + k])
     return which[lo], start[lo], end[hi - 1], lo - begin[lo], hi - lo, h
 
 
@@ -124,23 +130,53 @@ def stretches(texts: list[str], run: int = RUN, **sizes) -> tuple[np.ndarray, ..
 
 
 def stretch_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, **sizes) -> DataFrame:
-    """doc_id, start, end (code points), chunk, chunks, digest of every row of chunks of every text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("chunk", pa.int32()), ("chunks", pa.int32()), ("digest", pa.int64())])
+    """doc_id, start, end (code points), chunk, chunks, digest, more (its other 64 bits), again of every row of chunks.
+
+    ``again``: the text has the same row further up.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("chunk", pa.int32()), ("chunks", pa.int32()), ("digest", pa.int64()), ("more", pa.int64()), ("again", pa.bool_())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, texts = columns(b, "k", "text")
             which, start, end, chunk, count, h = stretches(texts, run, **sizes)
+            order = np.lexsort((start, h[:, 0], which))
+            again = np.zeros(len(which), bool)
+            again[order[1:]] = (which[order[1:]] == which[order[:-1]]) & (h[order[1:]] == h[order[:-1]]).all(1)
             for lo in range(0, len(which), 100_000):
                 s = slice(lo, lo + 100_000)
                 small = {k: v[s].astype(np.int32) for k, v in (("start", start), ("end", end), ("chunk", chunk), ("chunks", count))}
-                yield batch_of(schema, doc_id=pa.array(keys, pa.int64()).take(pa.array(which[s])), **small, digest=h[s].view(np.int64))
+                yield batch_of(schema, doc_id=pa.array(keys, pa.int64()).take(pa.array(which[s])), **small, digest=h[s, 0].view(np.int64), more=h[s, 1].view(np.int64), again=again[s])
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), text_of(text_col).alias("text")).where("text <> ''")
-    return map_batches(rows, find, "doc_id long, start int, end int, chunk int, chunks int, digest long")
+    return map_batches(rows, find, "doc_id long, start int, end int, chunk int, chunks int, digest long, more long, again boolean")
+
+
+def _shared(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, and the smallest document, of the rows of chunks that several documents hold; whether their digests differ."""
+    held = rows.groupBy(*by).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("more") != F.max("more")).alias("mixed"))
+    return held.where("first < last").select(*by, "first", "mixed")
+
 
+def _hits(rows: DataFrame, within: bool) -> DataFrame:
+    """Rows of chunks that another document holds, with the smallest document that does.
 
-def repeated_passages(docs: DataFrame, *, run: int = RUN, **options) -> DataFrame:
+    Half of the digest deals the rows; the smallest and largest other half is kept with its count.
+    Where these differ, as they do by chance for some of 10^12 rows, whole digests are compared.
+    """
+    shared = written(rows.sparkSession, _shared(rows, ["digest"]), "shared-rows")
+    keep = ["doc_id", "start", "end", "chunk", "chunks", "again"]
+    how = "left" if within else "inner"
+    sure = shared.where("NOT mixed").select("digest", "first")
+    out = rows.select("digest", *keep).join(sure, "digest", how).where("again OR first IS NOT NULL" if within else "first IS NOT NULL").select(*keep, "first")
+    mixed = shared.where("mixed").select("digest")
+    if mixed.limit(1).count():
+        some = rows.join(mixed, "digest", "left_semi")
+        out = out.unionByName(some.join(_shared(some, ["digest", "more"]).drop("mixed"), ["digest", "more"]).select(*keep, "first"))
+    return out
+
+
+def repeated_passages(docs: DataFrame, *, run: int = RUN, within: bool = False, **options) -> DataFrame:
     """doc_id, start, end, n_chunks, first_doc_id, is_first of every passage that other documents hold too.
 
     Every chunk of a passage stands in a row of chunks of at least ``run`` characters that one other
@@ -148,13 +184,15 @@ def repeated_passages(docs: DataFrame, *, run: int = RUN, **options) -> DataFram
     the first holder of all such rows about a chunk; a first part shorter than ``run`` beside a repeat
     stays in the text and isn't reported. ``first_doc_id`` is the smallest id among the holders of the
     part's rows, and this document where it ``is_first``: where the others are cut, every passage
-    stays in a document that holds it first. Null and empty texts and rows without an id have no
+    stays in a document that holds it first. With ``within``, what a text holds further up is a repeat
+    too, whether other documents hold it or not. Null and empty texts and rows without an id have no
     passages; rows of one id are one document; an empty table gives no rows; other columns aren't
-    read. A digest has 64 bits.
+    read. A digest has 128 bits.
     """
     rows = stretch_rows(docs, run=run, **options).where("doc_id IS NOT NULL")
-    shared = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    hits = rows.join(shared, "digest").drop("digest").repartition("doc_id").withColumn("later", (F.col("first") < F.col("doc_id")).cast("int"))
+    again = F.col("again") if within else F.lit(False)
+    later = F.when((F.col("first") < F.col("doc_id")) | again, 1).otherwise(0)
+    hits = _hits(rows, within).withColumn("later", later).withColumn("first", F.coalesce("first", "doc_id")).repartition("doc_id")
     # Along each document: how many rows that it holds first, or later, are open from here on.
     edge = lambda place, chunk, sign, first: F.struct(place.cast("long").alias("at"), chunk.alias("chunk"), (F.lit(sign) * (1 - F.col("later"))).alias("own"), (F.lit(sign) * F.col("later")).alias("later"), first.alias("first"))
     edges = F.array(edge(F.col("start"), F.col("chunk"), 1, F.when(F.col("later") == 1, F.col("first"))), edge(F.col("end"), F.col("chunk") + F.col("chunks"), -1, F.lit(None).cast("long")))
@@ -170,14 +208,18 @@ def repeated_passages(docs: DataFrame, *, run: int = RUN, **options) -> DataFram
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with every repeated passage cut out of all documents but the first that holds it."""
+    """``docs`` with every repeated passage cut out of all documents but the first that holds it.
+
+    All columns stay, whatever their names; so do rows without an id, null texts and repeated rows.
+    """
     found = repeated_passages(docs, id_col=id_col, text_col=text_col, **options).where("NOT is_first")
-    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(spans, docs[id_col] == spans["__id"], "left")
+    key, held = fresh_name("id", docs.columns), fresh_name("spans", docs.columns)
+    spans = found.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(held))
+    joined = docs.join(spans, docs[id_col] == spans[key], "left")
     pieces = F.aggregate(
-        "__spans",
+        held,
         F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.struct(F.concat(acc["text"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))).alias("text"), s["end"].alias("at")),
         lambda acc: F.concat(acc["text"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.length(text_col))),
     )
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(pieces)).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(F.col(held).isNull(), F.col(text_col)).otherwise(pieces)).select(*docs.columns)
