@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from spanloom.llm import chunking, minhash, shingles, tiling
+from spanloom.llm import chunking, hashing, minhash, shingles, tiling
 from spanloom.llm.components import connected_components
 
 VOCABULARY = [f"w{k}" for k in range(400)]
@@ -32,13 +32,22 @@ def plain_set(text, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-ODD = ["", "  \t\n", "one", "One tWo", "É é É", "a\x0bb\x0cc\rd", "a a a a a", "x" * 500 + " y", " nbsp nbsp ", "日本 語 日本 語", "a b c d e f g " * 50]
+ODD = ["", "  \t\n", "one", "One tWo", "É é É", "a\x0bb\x0cc\rd", "a a a a a", "x" * 500 + " y", " nbsp nbsp ", "日本 語 日本 語", "a b c d e f g " * 50, "Long" * 30 + " x " + "lONG" * 30, "w" * 64 + " " + "w" * 65]
 
 
-@pytest.mark.parametrize("chunk", [None, 40])
+def thue_morse(n):
+    """Two words of 2^n letters that polynomials modulo 2^64 can't tell apart from n = 10 on."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("chunk", [None, 70])
 def test_shingle_sets_are_the_plain_sets(chunk, monkeypatch):
     if chunk:
         monkeypatch.setattr(shingles, "CHUNK", chunk)
+        monkeypatch.setattr(hashing, "CHUNK", chunk)
     rng = random.Random(1)
     texts = ODD + [prose(rng, rng.randint(1, 60)) for _ in range(50)]
     for k in (1, 2, 5):
@@ -54,6 +63,18 @@ def test_shingle_sets_are_the_plain_sets(chunk, monkeypatch):
         assert len(np.intersect1d(got[-1], got[-2])) == len(a & b)
 
 
+def test_words_of_any_length_have_one_hash():
+    """Whatever stands beside them, and however long they are."""
+    x, y = thue_morse(11)
+    long = "z" * 300_000
+    alone = shingles.word_hashes([long, x, y])
+    beside = shingles.word_hashes([f"{'q ' * 200_000}{long.upper()} {x}", f"{y} {long} {'r' * 600_000}"])
+    assert beside[0][-2] == beside[1][1] == alone[0][0] and beside[0][-1] == alone[1][0] and beside[1][0] == alone[2][0] != alone[1][0]
+    (h, *_), middle = tiling.words(f"{long}m{long}"), tiling.words(f"{long}n{long}")[0]
+    assert h[0] != middle[0] and tiling.words(x)[0][0] != tiling.words(y)[0][0]
+    assert (tiling.words(f"a {long} {x.upper()}")[0][1:] == [tiling.words(long)[0][0], tiling.words(x)[0][0]]).all()
+
+
 def test_signatures_are_plain_minima(monkeypatch):
     monkeypatch.setattr(minhash, "_BLOCK", 8)
     rng = np.random.default_rng(2)
@@ -154,7 +175,7 @@ def test_shuffled_ids_give_the_same(spark, monkeypatch):
 
 def plain_cuts(text, least, most, bits):
     """One character at a time."""
-    key = [int(x) for x in (chunking._code_point_keys()[[ord(c) for c in text]] >> np.uint64(40)).astype(np.uint16)] if text else []
+    key = [int(x) for x in (chunking.code_point_keys()[[ord(c) for c in text]] >> np.uint64(40)).astype(np.uint16)] if text else []
     out, at, h = [], 0, 0
     for k, g in enumerate(key):
         h = ((h << 1) + g) & 0xFFFF
@@ -168,7 +189,7 @@ def plain_cuts(text, least, most, bits):
 def test_chunks_are_the_plain_ones(chunk, monkeypatch):
     if chunk:
         monkeypatch.setattr(chunking, "CHUNK", chunk)
-        monkeypatch.setattr(chunking, "groups", lambda t, most=chunk: __import__("spanloom.llm.bpe", fromlist=["groups"]).groups(t, most))
+        monkeypatch.setattr(chunking, "groups", lambda t, most=chunk: hashing.groups(t, most))
     rng = random.Random(6)
     texts = ["", "short", "x" * 1000, "日本語" * 80] + [prose(rng, rng.randint(1, 300)) for _ in range(20)]
     which, start, end, digest = chunking.chunks(texts)
@@ -178,7 +199,7 @@ def test_chunks_are_the_plain_ones(chunk, monkeypatch):
         assert start[mine].tolist() == [0, *end[mine].tolist()[:-1]][: mine.sum()]
     seen = defaultdict(set)
     for k, a, b, h in zip(which, start, end, digest, strict=True):
-        seen[int(h)].add(texts[k][a:b])
+        seen[h.tobytes()].add(texts[k][a:b])
     assert all(len(s) == 1 for s in seen.values())
     with pytest.raises(ValueError):
         chunking.cuts(np.zeros(3, np.uint32), np.zeros(1, np.int64), np.array([3]), least=4)
@@ -235,6 +256,40 @@ def test_repeats_stay_in_their_first_holder(spark):
         assert r.is_first == (r.first_doc_id == r.doc_id)
 
 
+def test_repeats_within_a_text(spark):
+    """Only when asked for: what stands further up stays, later places go."""
+    rng = random.Random(12)
+    own = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    p, q = own(60), own(60)
+    rows = [(1, f"{own(20)} {p} {own(20)} {p} {own(9)}"), (2, f"{own(20)} {p} {own(9)}"), (3, f"{q} {own(9)} {q}"), (4, own(80))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in chunking.repeated_passages(df).collect()} == {1, 2}
+    got = chunking.repeated_passages(df, within=True).collect()
+    assert {(r.doc_id, r.first_doc_id, r.is_first) for r in got} == {(1, 1, True), (1, 1, False), (2, 1, False), (3, 3, False)}
+    clean = {r.doc_id: r.text for r in chunking.without_repeats(df, within=True).collect()}
+    inner = lambda t: t[100:-100]
+    assert [clean[k].count(inner(p)) for k in (1, 2)] == [1, 0] and clean[3].count(inner(q)) == 1 and clean[4] == rows[3][1]
+
+
+def test_digests_that_agree_by_half(spark, monkeypatch):
+    """Rows of one first half and different second halves are told apart."""
+    rng = random.Random(13)
+    texts = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(60)) for _ in range(4)]
+    rows = [*enumerate(texts), (10, texts[0]), (11, texts[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, chunking.repeated_passages(df).collect()))
+    real = chunking.stretch_rows
+    monkeypatch.setattr(chunking, "stretch_rows", lambda *a, **k: real(*a, **k).selectExpr("doc_id", "start", "end", "chunk", "chunks", "chunk % 3L AS digest", "digest ^ more AS more", "again"))
+    assert sorted(map(tuple, chunking.repeated_passages(df).collect())) == want and {r[0] for r in want} == {0, 2, 10, 11}
+
+
+def test_columns_of_other_names_stay(spark):
+    rows = [(1, "same words " * 30, 7, 8), (2, "same words " * 30, 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __spans int, __id int")
+    got = chunking.without_repeats(df).orderBy("doc_id").collect()
+    assert [tuple(r)[2:] for r in got] == [(7, 8)] * 2 and got[0].text == rows[0][1] != got[1].text
+
+
 def test_chance_chunks_are_no_passage(spark):
     """Chunks in a row that other documents hold one by one, or in another order."""
     rng = random.Random(9)
@@ -255,7 +310,7 @@ def test_stretches_hold_every_chunk_of_a_long_run():
     for w, a, b, chunk, n, h in zip(*chunking.stretches(texts), strict=True):
         mine = np.flatnonzero(which == w)[chunk : chunk + n]
         assert (start[mine[0]], end[mine[-1]]) == (a, b) and b - a >= chunking.RUN
-        names[int(h)].add(tuple(texts[w][start[k] : end[k]] for k in mine))
+        names[h.tobytes()].add(tuple(texts[w][start[k] : end[k]] for k in mine))
         spans.add((w, a, b))
     assert all(len(x) == 1 for x in names.values())
     for w in range(len(texts)):
@@ -308,11 +363,11 @@ def plain_contamination(doc, item, k, coverage):
     return bool(got) and got >= coverage * len(a)
 
 
-@pytest.mark.parametrize("block", [tiling.BLOCK_WORDS, 20])
-def test_contamination_is_brute_force(spark, block, monkeypatch):
-    """Whole, upper-case, reordered, partial and short items; also with the benchmark in several blocks."""
-    blocks = tiling.blocks
-    monkeypatch.setattr(tiling, "blocks", lambda *a, **k: blocks(*a, **k, most=block))
+@pytest.mark.parametrize("small", [tiling.SMALL, 0])
+def test_contamination_is_brute_force(spark, small, monkeypatch):
+    """Whole, upper-case, reordered, partial and short items; also by a join of seeds."""
+    monkeypatch.setattr(tiling, "SMALL", small)
+    monkeypatch.setattr(tiling, "FILTER", 1 << 12)
     rng = random.Random(9)
     items = [(k, prose(rng, n)) for k, n in enumerate([12, 30, 18, 40])] + [(10, "three words here"), (11, None), (12, ""), (13, "...")]
     docs = [(k, prose(rng, 60)) for k in range(20)]
@@ -334,3 +389,16 @@ def test_contamination_is_brute_force(spark, block, monkeypatch):
     assert sorted(str(r.doc_id) for r in kept) == sorted(str(d) for d, t in docs if not any(plain_contamination(t, x, 5, 0.5) for _, x in items))
     assert tiling.contaminated(df, bench.limit(0)).count() == 0 and tiling.contaminated(df.limit(0), bench).count() == 0
     assert tiling.decontaminated(df, bench.limit(0)).count() == len(docs)
+
+
+def test_words_that_repeat_take_little_memory():
+    """A text and an item of one word, and of two in turn."""
+    import tracemalloc
+
+    block = tiling.block_of([(1, "same " * 1000), (2, "one two " * 300), (3, "other words that are not there at all")], 5)
+    tracemalloc.start()
+    for text in ("same " * 20_000, "one two " * 8_000):
+        found = tiling.matches(text, block, 5, 0.5)
+        assert [(m["item"], m["matched"] == m["words"]) for m in found] == [(0 if "same" in text else 1, True)]
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
