@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.arrow import batch_of, columns, map_batches, text_of
+from spanloom.runtime import written
 
 # Fixed values of the public Matroska and EBML formats: element ids.
 EBML, SEGMENT, INFO, TRACKS, TRACK, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0x1F43B675, 0x1C53BB6B
+SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
 EBML_VERSION, EBML_READ_VERSION, MAX_ID_LENGTH, MAX_SIZE_LENGTH, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, AUDIO, RATE, CHANNELS, BIT_DEPTH = 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
@@ -32,6 +34,9 @@ AUDIO_TRACK, PCM = 2, b"A_PCM/INT/LIT"
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
 SAMPLE_RATE, FRAME, FRAMES_PER_BLOCK, BLOCKS_PER_CLUSTER = 8000, 512, 8, 64
+#: What a segment consists of: any of these ends a cluster of unknown size; a new file ends a segment of one.
+_TOP = {SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES, CHAPTERS, TAGS, ATTACHMENTS}
+_ENDS = {CLUSTER: _TOP | {EBML, SEGMENT}, SEGMENT: {EBML, SEGMENT}}
 _PARENTS = {EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS}
 
 
@@ -137,20 +142,22 @@ def elements(data: bytes, at: int = 0, end: int | None = None) -> Iterator[tuple
         stop = end if unknown else at + size
         if stop > end:
             raise Damaged(f"element {ident:#x} at {at} is cut off")
-        if unknown and ident == CLUSTER:  # ends where the next one of its level begins
-            stop = next((begin for inner, begin in _children(data, at, end) if inner in (CLUSTER, CUES)), end)
+        if unknown and ident in _ENDS:  # ends where the next one of its level begins
+            stop = _stop(data, at, end, _ENDS[ident])
         yield ident, at, stop
         at = stop
 
 
-def _children(data: bytes, at: int, end: int) -> Iterator[tuple[int, int]]:
-    """(id, place) of elements in a row, without a look into them."""
+def _stop(data: bytes, at: int, end: int, ends: set[int]) -> int:
+    """Where the first element of these ids begins, in a row of elements; an unknown size within goes by its own rule."""
     while at < end:
         begin = at
         ident, at, _ = _vint(data, at, True)
+        if ident in ends:
+            return begin
         size, at, unknown = _vint(data, at)
-        yield ident, begin
-        at = end if unknown else at + size
+        at = (_stop(data, at, end, _ENDS[ident]) if ident in _ENDS else end) if unknown else at + size
+    return end
 
 
 def _number(data: bytes, a: int, b: int) -> int:
@@ -252,17 +259,35 @@ def feature(samples: bytes, found: list[Packet], about: dict) -> str:
 # -- Spark ----------------------------------------------------------------------------------------
 
 
+#: Bytes of files that a batch holds, about.
+_BATCH = 4 << 20
+
+
 def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media binary: each text as UTF-8, zero bytes up to a positive multiple of 64, as a file."""
+    """doc_id, n_bytes, media binary: each text as UTF-8, zero bytes up to a positive multiple of 64, as a file.
+
+    The table is written to the shared folder and read again. Null and empty texts give 64 zero bytes;
+    repeated rows and null ids stay; an empty table gives no rows; other columns aren't read. A long
+    text is one cell; batches are cut by bytes.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows: list[tuple] = []
+            size = 0
             for key, text in zip(*columns(b, "doc_id", "text"), strict=True):
                 raw = text.encode()
-                yield batch_of(schema, doc_id=[key], n_bytes=[len(raw)], media=[mux(raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw)))])
-
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), run, "doc_id long, n_bytes long, media binary")
+                rows.append((key, len(raw), mux(raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw)))))
+                size += len(rows[-1][2])
+                if size >= _BATCH:
+                    yield batch_of(schema, **dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)))
+                    rows, size = [], 0
+            if rows:
+                yield batch_of(schema, **dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)))
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    return written(docs.sparkSession, map_batches(rows, run, "doc_id long, n_bytes long, media binary"), "media")
 
 
 def packet_table(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
