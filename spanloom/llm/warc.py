@@ -29,6 +29,8 @@ DATE = "1970-01-01T00:00:00Z"
 _CRLF = b"\r\n"
 #: Compressed bytes of an archive; a partition writes as many as it needs.
 ARCHIVE = 64 << 20
+#: Repeated payloads (some 80 bytes each) that are sent to all tasks at most.
+REPEATED = 1 << 18
 _READ = 1 << 16
 
 
@@ -168,16 +170,21 @@ def read_records(f: BinaryIO) -> Iterator[Record]:
 
 
 def plan_records(pages: DataFrame, *, min_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """key, url, html, digest columns, and ``first``: the smallest id of an equal payload, if another.
+    """key, url, body, size, and ``first``: the smallest id of an equal payload that occurs more than once.
 
-    Equal payloads are found by two digests of the bytes (SHA-1 and a 64-bit hash), counted with
-    partial aggregation, and joined back; only the digests that occur twice take part in the join.
+    Equal payloads are those of one SHA-1, one 64-bit hash and one length. Only these and the ids are
+    counted, with partial aggregation. The repeated ones go to all tasks if they are few, which is
+    counted first; the pages then stay where they are. Beyond ``REPEATED``, the pages are dealt by them.
     """
+    spark = pages.sparkSession
     body = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).alias("url"), body.alias("body")).withColumn("sha", F.sha1("body")).withColumn("size", F.length("body").cast("long"))
-    light = rows.where(F.col("size") >= min_revisit_bytes).select("sha", "key")
-    first = light.groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
-    return rows.join(first, "sha", "left").withColumn("first", F.when(F.col("size") >= min_revisit_bytes, F.col("first")))
+    rows = pages.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).alias("url"), body.alias("body"))
+    digests = [F.sha1("body").alias("sha"), F.xxhash64("body").alias("hash"), F.length("body").cast("long").alias("size")]
+    light = rows.select("key", *digests).where(F.col("size") >= min_revisit_bytes)
+    first = light.groupBy("sha", "hash", "size").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = written(spark, first, "warc-repeated")
+    few = first.limit(REPEATED + 1).count() <= REPEATED
+    return rows.select("*", *digests).join(F.broadcast(first) if few else first, ["sha", "hash", "size"], "left").drop("sha", "hash")
 
 
 def write_archives(pages: DataFrame, target: str, *, min_revisit_bytes: int = 0, level: int = 6, archive: int = ARCHIVE, **cols) -> DataFrame:
