@@ -11,6 +11,7 @@ and each rank maps to one slot of one sequence by arithmetic, so no group is gat
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -53,7 +54,8 @@ def solve(demand: np.ndarray, capacity: int, rounds: int = 5000, tolerance: floa
     """Column generation: patterns (rows) and how often the linear program uses each.
 
     ``demand[k]`` items of size k + 1. Starts from patterns of one class each and stops when the dual
-    bound (value of the program divided by the best pattern's worth) is within ``tolerance``.
+    bound (value of the program divided by the best pattern's worth) is within ``tolerance``; if
+    ``rounds`` end first, a warning tells the gap that is left.
     """
     live = np.flatnonzero(demand)
     m = len(live)
@@ -103,6 +105,8 @@ def solve(demand: np.ndarray, capacity: int, rounds: int = 5000, tolerance: floa
             error = np.einsum("ij,jk->ik", basis, inverse)  # a Newton step takes out what rounding has added up
             inverse = 2 * inverse - np.einsum("ij,jk->ik", inverse, error)
             x = np.maximum(times(inverse, need), 0)
+    else:
+        warnings.warn(f"{rounds} rounds left a gap of {float((cost * x).sum()) / max(bound, 1e-9) - 1:.2%} to the bound", stacklevel=2)
     used = cost > 0
     patterns = np.zeros((int(used.sum()), len(demand)), np.int64)
     patterns[:, live] = basis[:, used].T.astype(np.int64)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.arrow import batch_of, columns, map_batches, text_of
 from spanloom.llm.bpe import encoder, tokenizer_path
-from spanloom.runtime import fresh_path, written
+from spanloom.runtime import fresh_path, plan_bytes, written
 
 # Fixed values of the public Simple-8b format: ids in a word, and bits of each, by selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
@@ -35,6 +35,8 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int
 MAGIC, VERSION, BLOCK = int.from_bytes(b"S8BTOKEN", "little"), 1, 4096
 #: Ids of a shard; a partition writes as many shards as it needs.
 SHARD = 1 << 22
+#: Bytes of input for a range of ids; ranges are as many as the input needs.
+RANGE = 128 << 20
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
@@ -138,14 +140,14 @@ MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long, n_bytes
 def write_tokens(docs: DataFrame, target: str, *, tokenizer: str | None = None, end_id: int = 0, partitions: int | None = None, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode ``docs`` and write shards in ascending ``id_col`` order below ``target``; the manifest.
 
-    Rows are dealt by ranges of the id. Each task writes files of its own name and renames nothing:
+    Rows are dealt by ranges of the id, one for each ``RANGE`` bytes of input at least. Each task writes files of its own name and renames nothing:
     the manifest lists the files of the attempt that was kept, and only those are read. Null texts
     count as empty, null ids come first (written as the smallest integer), repeated rows are kept,
     an empty table gives an empty manifest. Other columns aren't read.
     """
     spark = docs.sparkSession
     path = tokenizer or tokenizer_path()
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(docs) // RANGE), 1)
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
     end = np.array([end_id], np.uint64)
 
@@ -190,8 +192,8 @@ def write_tokens(docs: DataFrame, target: str, *, tokenizer: str | None = None,
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from the shards listed.
 
-    The manifest has one row for each shard of millions of ids; its running total is made by a
-    window over these few rows.
+    The manifest has one row for each shard of millions of ids. Totals run along the shards of each
+    range, and along the ranges.
     """
     from pyspark.sql import Window
 
@@ -209,8 +211,10 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 null = doc_ids == -(1 << 63)
                 yield batch_of(schema, doc_id=pa.array(doc_ids, mask=null), start=spans[:, 0] + base, n_tokens=spans[:, 1] - spans[:, 0], ids_crc32=crc)
 
-    w = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    listed = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
+    earlier = (Window.unboundedPreceding, -1)
+    ranges = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*earlier)), F.lit(0)).alias("before"))
+    own = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(*earlier)), F.lit(0))
+    listed = manifest.withColumn("own", own).join(ranges, "part").withColumn("base", F.col("before") + F.col("own"))
     return map_batches(listed.select("path", "base").repartition(n, "path"), rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -54,6 +54,21 @@ def test_stages_and_run(spark, tables):
     assert all(sum(r.length for r in rows) == rows[0].doc_tokens for rows in by.values())
 
 
+def test_stages_keep_columns_of_any_name(spark, tables):
+    """Names that the operators use themselves, and an empty table."""
+    d, full = tables
+    extra = {"score": "doc_id + 100", "rejected": "'r'", "__text": "doc_id", "__row": "1L", "kept": "'k'", "n_shingles": "2", "__base": "3", "id": "4"}
+    docs = spark.read.parquet(f"{d}/documents.parquet").selectExpr("*", *(f"{x} AS {n}" for n, x in extra.items()))
+    for empty in (docs.limit(0), docs):
+        now = empty
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = corpus_pipeline.written(spark, stage(spark, now, d), name)
+            assert now.columns == docs.columns and now.dtypes == docs.dtypes
+        assert corpus_pipeline.STAGES[-1][1](spark, now, d).columns[0] == "doc_id"
+    rows = now.collect()
+    assert len(rows) > 70 and all((r.score, r.rejected, r["__text"], r["__row"], r.kept, r.n_shingles, r["__base"], r.id) == (r.doc_id + 100, "r", r.doc_id, 1, "k", 2, 3, 4) for r in rows)
+
+
 def test_queries_of_the_operators(spark, tables):
     d, full = tables
     queries = entry.queries()
