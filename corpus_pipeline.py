@@ -16,7 +16,7 @@ from spanloom.runtime import table, written
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the languages of the labelled ones; rejected texts go."""
     model = langid.fit(docs.where(~langid.held_out()).select("text", "lang"))
-    return langid.identify(docs, model).where("NOT rejected").select(*docs.columns)
+    return langid.accepted(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
