@@ -29,20 +29,21 @@ _SAFE_CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.tok = Tokenizer.from_file(path)
-        spec = json.loads(self.tok.to_str())
-        pre = spec["pre_tokenizer"] or {}
+        pre = json.loads(self.tok.pre_tokenizer.__getstate__()) if self.tok.pre_tokenizer else {}
         added = self.tok.get_added_tokens_decoder()
         plain = not any(t.lstrip or t.rstrip or t.single_word or "\n" in t.content for t in added.values())
-        self.fast = plain and spec["normalizer"] is None and spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        self.fast = plain and self.tok.normalizer is None and isinstance(self.tok.model, BPE) and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.added = {t.content: i for i, t in added.items()}
         # Of several that begin at one place the longest counts.
         self.at_added = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})") if added else None
         self.byte_level = pre.get("type") == "ByteLevel"
         if self.byte_level:
-            self.id_bytes = np.zeros(max(self.tok.get_vocab().values()) + 1, np.int64)
-            for word, i in self.tok.get_vocab().items():
+            self.id_bytes = np.zeros(max(self.tok.get_vocab_size(), *self.added.values(), 0) + 1, np.int64)
+            for i in range(len(self.id_bytes)):
+                word = self.tok.id_to_token(i) or ""
                 self.id_bytes[i] = len(word.encode()) if word in self.added else len(word)  # in a byte-level vocabulary one character stands for one byte
         if self.fast:
             self.kind = self._kinds()

@@ -29,7 +29,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 
 def gear(cps: np.ndarray) -> np.ndarray:
     """h[i] = (h[i-1] << 1) + key(c[i]) in 16 bits: a hash of the last 16 characters."""
-    h = (code_point_keys()[cps] >> np.uint64(40)).astype(np.uint16)
+    h = (code_point_keys(cps) >> np.uint64(40)).astype(np.uint16)
     for step in (1, 2, 4, 8):  # joins hashes of the last step characters to those of twice as many
         more = h.copy()
         more[step:] += h[:-step] << np.uint16(step)

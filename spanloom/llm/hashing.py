@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,21 +33,42 @@ def _powers(n: int = CHUNK + LONG) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(2)
-def code_point_keys(seed: int = 0) -> np.ndarray:
-    return mix(np.arange(1 + (seed << 32), 0x110001 + (seed << 32), dtype=np.uint64) * np.uint64(PRIME))
+def _table(seed: int) -> np.ndarray:
+    return _keys(np.arange(1 << 16, dtype=np.uint64), seed)
+
+
+def _keys(codes: np.ndarray, seed: int) -> np.ndarray:
+    return mix((codes.astype(np.uint64) + np.uint64(1 + (seed << 32))) * np.uint64(PRIME))
+
+
+def code_point_keys(codes: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A random key of each code point; from a table where all are below 65,536."""
+    return _table(seed)[codes] if codes.max(initial=0) < 1 << 16 else _keys(codes, seed)
 
 
 @lru_cache(1)
-def folded() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: its lower case (if one character), and 1 for letters, 2 for other alphanumeric characters, else 0."""
-    low, kind = np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        x = chr(c)
-        if x.isalnum():
-            kind[c] = 1 if x.isalpha() else 2
-            if len(y := x.lower()) == 1:
-                low[c] = ord(y)
-    return low, kind
+def _folded() -> tuple[np.ndarray, np.ndarray]:
+    low, kind, word = np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, np.uint8), re.compile(r"[^\W_]")
+    for base in range(0, 0x110000, 1 << 10):
+        block = "".join(map(chr, range(base, base + (1 << 10))))
+        if not word.search(block):
+            continue
+        for c, x in enumerate(block, base):
+            if x.isalnum():
+                kind[c] = 1 if x.isalpha() else 2
+                if len(y := x.lower()) == 1:
+                    low[c] = ord(y)
+    top = int(np.flatnonzero(kind)[-1]) + 2  # the last entry stands for all that follow: no word has them
+    return low[:top].copy(), kind[:top].copy()
+
+
+def folded(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower case of each code point (if one character), and 1 for letters, 2 for other alphanumeric characters, else 0.
+
+    The first is right for code points of a kind above 0 only.
+    """
+    low, kind = _folded()
+    return low.take(codes, mode="clip"), kind.take(codes, mode="clip")
 
 
 def code_points(text: str) -> np.ndarray:
@@ -61,26 +83,26 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: n
     The array can have any length. The kind of hash goes by the span's own length alone: up to ``LONG``
     entries a polynomial in random keys, beyond it xxh3 of the entries.
     """
-    keys = code_point_keys(seed) if keys is None else keys
     size = ends - starts
     short = size <= LONG
     if short.all():
-        return _polynomial(codes, starts, ends, keys)
+        return _polynomial(codes, starts, ends, keys, seed)
     out = np.empty(len(starts), np.uint64)
-    out[short] = _polynomial(codes, starts[short], ends[short], keys)
+    out[short] = _polynomial(codes, starts[short], ends[short], keys, seed)
     for k in np.flatnonzero(~short).tolist():
         out[k] = xxhash.xxh3_64_intdigest(codes[starts[k] : ends[k]].tobytes(), seed)
     return out
 
 
-def _polynomial(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def _polynomial(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray | None, seed: int) -> np.ndarray:
     up, down = _powers()
     out, at = np.empty(len(starts), np.uint64), 0
     while at < len(starts):
         upto = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK, "right")))
         low, high = int(starts[at]), int(ends[upto - 1])
         total = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(keys[codes[low:high]] * up[: high - low], out=total[1:])
+        part = codes[low:high]
+        np.cumsum((code_point_keys(part, seed) if keys is None else keys[part]) * up[: high - low], out=total[1:])
         a, b = starts[at:upto] - low, ends[at:upto] - low
         out[at:upto] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
         at = upto

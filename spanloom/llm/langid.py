@@ -40,13 +40,13 @@ _SLICE = 1 << 18
 def normalised(text: str) -> np.ndarray:
     """Code points of the lower-case text, runs of other characters than letters as one space."""
     cps = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    cps = np.where(folded()[1][cps] == 1, cps, np.uint32(32))
+    cps = np.where(folded(cps)[1] == 1, cps, np.uint32(32))
     return cps[(cps != 32) | np.append(True, cps[:-1] != 32)] if len(cps) else cps
 
 
 def grams(cps: np.ndarray, order: int) -> list[np.ndarray]:
     """g[m][i]: hash of the m characters that end at i; g[0] is 0. Entries that reach before the start aren't used."""
-    key = code_point_keys()[cps]
+    key = code_point_keys(cps)
     out, power, total = [np.zeros(len(cps), np.uint64)], np.uint64(1), np.zeros(len(cps), np.uint64)
     for m in range(1, order + 1):
         total = total.copy()

@@ -33,7 +33,7 @@ from spanloom.runtime import written
 
 BANDS, ROWS = 40, 5
 #: Ids that are broadcast at most (16 bytes each); beyond it, they are joined by a shuffle.
-BROADCAST_IDS = 1 << 20
+BROADCAST_IDS = 1 << 18
 #: Standard deviations below the threshold at which a signature rules a pair out.
 SIGMAS = 6.0
 #: Pairs between components that a bucket gives by itself; beyond it, its members take the prefix filter.

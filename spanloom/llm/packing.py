@@ -220,12 +220,13 @@ def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, grain: int = GR
     # rank = pieces of the class in earlier tasks + number within the task
     before = counted.withColumn("before", F.sum("n").over(Window.partitionBy("size_class").orderBy("part")) - F.col("n")).drop("n")
     ranked = cut.join(before, ["size_class", "part"]).withColumn("rank", F.col("before") + F.col("idx"))
-    schema = "size_class int, ranges array<struct<lo:long,hi:long,sequence:long,each:long,slot:long>>"
+    names = ("lo", "hi", "sequence", "each", "slot")
     by_class: dict[int, list] = {}
     for k, *rest in slots:
-        by_class.setdefault(k, []).append(tuple(rest))
+        by_class.setdefault(k, []).append(dict(zip(names, rest, strict=True)))
     # Bounded by the number of classes, not by the data: a basis has a pattern for each class at most.
-    ranges = spark.createDataFrame(list(by_class.items()), schema)
+    kind = pa.list_(pa.struct([(n, pa.int64()) for n in names]))
+    ranges = spark.createDataFrame(pa.table({"size_class": pa.array(list(by_class), pa.int32()), "ranges": pa.array(list(by_class.values()), kind)}))
     first_of = F.expr("filter(ranges, r -> r.lo <= rank AND rank < r.hi)[0]")
     placed = ranked.join(F.broadcast(ranges), "size_class").withColumn("r", first_of)
     step = F.col("rank") - F.col("r.lo")

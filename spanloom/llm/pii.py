@@ -112,11 +112,11 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and hash of every word (letters in a row, case ignored); for texts of moderate length."""
     cps = code_points(text)
-    low, kind = folded()
-    is_word = np.concatenate([[False], kind[cps] == 1, [False]])
+    low, kind = folded(cps)
+    is_word = np.concatenate([[False], kind == 1, [False]])
     edge = np.flatnonzero(is_word[1:] != is_word[:-1])
     start, end = edge[::2], edge[1::2]
-    return start, end, span_hashes(low[cps], start, end)
+    return start, end, span_hashes(low, start, end)
 
 
 def word_slices(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -43,11 +43,11 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of each word (letters and digits in a row, case ignored)."""
     cps = code_points(text)
-    low, kind = folded()
-    is_word = np.concatenate([[False], kind[cps] > 0, [False]])
+    low, kind = folded(cps)
+    is_word = np.concatenate([[False], kind > 0, [False]])
     edge = np.flatnonzero(is_word[1:] != is_word[:-1])
     start, end = edge[::2], edge[1::2]
-    return span_hashes(low[cps], start, end), start, end
+    return span_hashes(low, start, end), start, end
 
 
 class _Windows:

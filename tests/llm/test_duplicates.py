@@ -63,6 +63,18 @@ def test_shingle_sets_are_the_plain_sets(chunk, monkeypatch):
         assert len(np.intersect1d(got[-1], got[-2])) == len(a & b)
 
 
+def test_tables_by_code_point():
+    """Beyond the tables too."""
+    every = np.arange(0x110000, dtype=np.uint32)
+    low, kind = hashing.folded(every)
+    for c in [*range(0x3000), 0x10400, 0x1D7CE, 0x1F600, 0x2F00, 0x323AF, 0x323B0, 0xE0100, 0x10FFFF]:
+        x = chr(c)
+        assert kind[c] == (1 if x.isalpha() else 2 if x.isalnum() else 0)
+        assert not kind[c] or chr(low[c]) == (x.lower() if len(x.lower()) == 1 else x)
+    keys = hashing.code_point_keys(every)
+    assert len(np.unique(keys)) == 0x110000 and (hashing.code_point_keys(every[:500]) == keys[:500]).all() and (hashing.code_point_keys(every, 1) != keys).all()
+
+
 def test_words_of_any_length_have_one_hash():
     """Whatever stands beside them, and however long they are."""
     x, y = thue_morse(11)
@@ -175,7 +187,7 @@ def test_shuffled_ids_give_the_same(spark, monkeypatch):
 
 def plain_cuts(text, least, most, bits):
     """One character at a time."""
-    key = [int(x) for x in (chunking.code_point_keys()[[ord(c) for c in text]] >> np.uint64(40)).astype(np.uint16)] if text else []
+    key = [int(x) for x in (chunking.code_point_keys(np.array([ord(c) for c in text], np.uint32)) >> np.uint64(40)).astype(np.uint16)] if text else []
     out, at, h = [], 0, 0
     for k, g in enumerate(key):
         h = ((h << 1) + g) & 0xFFFF
