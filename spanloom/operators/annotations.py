@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.titles import is_missing_label, joined_tokens, role, role_is_ambiguous, trimmed
+from spanloom.functions.titles import MISSING_LABELS, joined_tokens, role, role_is_ambiguous, trimmed
 from spanloom.schemas import ANNOTATION_COLUMNS, ANNOTATION_TEXT, SUMMARISED, InputError, require_columns
 
-_TITLE = "best_viral_title"
+_TITLE, _ROLE = "best_viral_title", "viral_protein_role"
 #: What the summary and the audit read of annotated targets.
 SUMMARY_INPUT = ("peak_id", "target_id", "enters_peak_end_count", "enters_peak_start_count", "has_spanning_alignment", "has_diamond_hit", "has_viral_hit", "best_hit_is_viral", *ANNOTATION_TEXT)
 _SIDES = {"end": "enters_peak_end_count", "start": "enters_peak_start_count"}
@@ -57,31 +57,38 @@ def side_counts(sides: DataFrame) -> DataFrame:
     return sides.groupBy("peak_id", "peak_side").agg(*(c.alias(n) for n, c in zip(_SIDE_COUNTS, counts, strict=True)))
 
 
+def _missing(value: Column) -> Column:
+    """Whether a trimmed value stands for none; most are longer than any that does."""
+    return (F.length(value) <= max(map(len, MISSING_LABELS))) & F.upper(value).isin(*MISSING_LABELS)
+
+
+def _present(value: Column, name: str) -> Column:
+    """The trimmed value, null if missing."""
+    bare = trimmed(value)
+    return bare if name == _ROLE else F.when(~_missing(bare), bare)
+
+
 def annotation_long(sides: DataFrame) -> DataFrame:
     """peak_id, peak_side, target_id, annotation_name, annotation_value of every value that isn't missing."""
     rows = sides.select("peak_id", "peak_side", "target_id", *(F.col(c).cast("string").alias(c) for c in SUMMARISED))
     long = rows.unpivot(["peak_id", "peak_side", "target_id"], list(SUMMARISED), "annotation_name", "annotation_value").where("annotation_value IS NOT NULL")
     bare = long.withColumn("annotation_value", trimmed(F.col("annotation_value")))
-    return bare.where((F.col("annotation_name") == "viral_protein_role") | ~is_missing_label(F.col("annotation_value")))
+    return bare.where((F.col("annotation_name") == _ROLE) | ~_missing(F.col("annotation_value")))
 
 
 def dominant_value(long: DataFrame, by: list[str], value: str, member: str, *, repeats: bool = True) -> DataFrame:
     """The value that most distinct members of each group have; of equals, the first by its text.
 
     by, value, value_count, fraction (of the sum of all values' counts), distinct_count. Members are
-    made distinct before they are counted, so a hot value is added up in parts. Without ``repeats``
-    (a member has a value of a group once) they needn't be, and only counts are shuffled.
+    made distinct before they are counted, so a hot value is added up in parts; so are the counts of a
+    group of very many values. Without ``repeats`` (a member has a value of a group once) members
+    needn't be made distinct, and only counts are shuffled.
     """
     rows = long.select(*by, value, member)
     n = (rows.distinct() if repeats else rows).groupBy(*by, value).agg(F.count(member).alias("value_count"))
-    group = Window.partitionBy(*by)
-    ranked = n.select(
-        *by, value, "value_count",
-        (F.col("value_count") / F.sum("value_count").over(group)).alias("fraction"),
-        F.count("*").over(group).alias("distinct_count"),
-        F.row_number().over(group.orderBy(F.desc("value_count"), F.asc(value))).alias("value_rank"),
-    )
-    return ranked.where("value_rank = 1").drop("value_rank")
+    top = F.min_by(F.struct(F.col(value).alias("v"), "value_count"), F.struct(-F.col("value_count"), value))
+    out = n.groupBy(*by).agg(top.alias("top"), F.sum("value_count").alias("total"), F.count("*").alias("distinct_count"))
+    return out.select(*by, F.col("top.v").alias(value), "top.value_count", (F.col("top.value_count") / F.col("total")).alias("fraction"), "distinct_count")
 
 
 def dominant_annotations(long: DataFrame) -> DataFrame:
@@ -89,12 +96,22 @@ def dominant_annotations(long: DataFrame) -> DataFrame:
     return dominant_value(long, ["peak_id", "peak_side", "annotation_name"], "annotation_value", "target_id", repeats=False)
 
 
+def _slots(labelled: DataFrame) -> DataFrame:
+    """peak_id, slot (side and annotation as a number), value of every value that isn't missing: ``annotation_long`` with short keys."""
+    bare = labelled.select("peak_id", "target_id", *_SIDES.values(), *(_present(F.col(c).cast("string"), c).alias(str(k)) for k, c in enumerate(SUMMARISED)))
+    side = F.explode(F.array_compact(F.array(*(F.when(F.col(flag), F.lit(k * len(SUMMARISED))) for k, flag in enumerate(_SIDES.values())))))
+    names = [str(k) for k in range(len(SUMMARISED))]
+    long = bare.select("peak_id", "target_id", side.alias("side"), *names).unpivot(["peak_id", "target_id", "side"], names, "name", "value").where("value IS NOT NULL")
+    return long.select("peak_id", "target_id", (F.col("side") + F.col("name").cast("int")).alias("slot"), "value")
+
+
 def _pivoted(dominant: DataFrame) -> DataFrame:
+    """One row a peak of ``dominant`` (peak_id, slot, value and its counts)."""
     picked = []
-    for side in _SIDES:
-        for name in SUMMARISED:
-            here = (F.col("peak_side") == side) & (F.col("annotation_name") == name)
-            for column, source in ((f"{side}_dominant_{name}", "annotation_value"), (f"{side}_dominant_{name}_target_count", "value_count"), (f"{side}_dominant_{name}_fraction_among_nonmissing", "fraction"), (f"{side}_distinct_{name}_count", "distinct_count")):
+    for k, side in enumerate(_SIDES):
+        for j, name in enumerate(SUMMARISED):
+            here = F.col("slot") == k * len(SUMMARISED) + j
+            for column, source in ((f"{side}_dominant_{name}", "value"), (f"{side}_dominant_{name}_target_count", "value_count"), (f"{side}_dominant_{name}_fraction_among_nonmissing", "fraction"), (f"{side}_distinct_{name}_count", "distinct_count")):
                 picked.append(F.max(F.when(here, F.col(source))).alias(column))
     return dominant.groupBy("peak_id").agg(*picked)
 
@@ -107,13 +124,15 @@ def _filled(column: str) -> Column:
 
 def peak_annotation_summary(peaks: DataFrame, annotated: DataFrame) -> DataFrame:
     """All columns of the peaks, counts of each side, the dominant annotations, and spanning counts."""
-    sides = by_side(with_title_labels(annotated))
+    labelled = with_title_labels(annotated)
+    sides = by_side(labelled)
     counted = side_counts(sides)
     name = lambda side, c: f"{side}_{'observed_target_count' if c == 'target_count' else c}"
     totals = counted.groupBy("peak_id").agg(*(F.max(F.when(F.col("peak_side") == s, F.col(c))).alias(name(s, c)) for s in _SIDES for c in _SIDE_COUNTS))
     hit = F.col("has_diamond_hit")
     spanning = annotated.where("has_spanning_alignment").groupBy("peak_id").agg(F.count("*").alias("spanning_observed_target_count"), F.count_if(hit).alias("spanning_diamond_hit_target_count"), F.count_if(~hit).alias("spanning_no_diamond_hit_target_count"), F.count_if(F.coalesce("has_viral_hit", F.lit(False))).alias("spanning_viral_hit_target_count"))
-    dominant = _pivoted(dominant_annotations(annotation_long(sides)))
+    # Annotated targets have one row for each peak and target, and a side once.
+    dominant = _pivoted(dominant_value(_slots(labelled), ["peak_id", "slot"], "value", "target_id", repeats=False))
     wide = peaks.join(totals, "peak_id", "left").join(dominant, "peak_id", "left").join(spanning, "peak_id", "left")
     order = []
     for side in _SIDES:
