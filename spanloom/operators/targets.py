@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.profile import GEOMETRIES
+from spanloom.runtime import written
 from spanloom.schemas import require_columns
 
 #: Stored count of a peak, and the flag whose sum over its targets must equal it.
 COUNT_FLAGS = {f"{g}_{side}_target_count": f"contributes_{g}_{side}" for g in ("local", "directional", "overlap", "internal") for side in ("end", "start")} | {"spanning_target_count": "has_spanning_alignment"}
 #: Peaks (some 100 bytes each) that are sent to all tasks at most.
 PEAKS = 200_000
+#: Alignments of a query beyond which it is dealt in parts.
+HOT = 1_000_000
 PEAK_KEYS = ("peak_id", "query_id", "query_length", "peak_position", "radius_nt", "score_geometry")
 
 
@@ -29,20 +32,32 @@ def _flags(f, t, b, r, n) -> dict:
     }
 
 
+def hot_queries(rows: DataFrame) -> DataFrame:
+    """query_id, parts of the queries with more than ``HOT`` alignments; at most ``PEAKS`` of them."""
+    counted = written(rows.sparkSession, rows.groupBy("query_id").agg(F.count("*").alias("n")), "alignments-by-query")
+    most = max(HOT, (counted.agg(F.sum("n")).first()[0] or 0) // PEAKS)
+    return counted.where(F.col("n") > most).select("query_id", F.ceil(F.col("n") / most).alias("parts"))
+
+
 def peak_targets(peaks: DataFrame, alignments: DataFrame) -> DataFrame:
     """One row for each peak and target of its query, with 23 measures and whether it enters the counts.
 
     The join multiplies a query's peaks by its alignments. Where the peaks are few enough to be sent to
     all tasks (``PEAKS``), the alignments are dealt by query and target before it: four narrow columns
     are shuffled, groups are complete within their task, and a hot query spreads over its targets. Beyond
-    that, the join is dealt by query, and aggregation is partial right after it.
+    that, a query with very many alignments is dealt by its targets too, with a copy of its peaks to
+    each part, and aggregation is partial right after the join.
     """
     require_columns(peaks, PEAK_KEYS, "peaks")
     rows, keys = alignments.select("query_id", "target_id", "query_from", "query_to"), peaks.select(*PEAK_KEYS)
     if keys.limit(PEAKS + 1).count() <= PEAKS:
         rows = rows.repartition("query_id", "target_id").join(F.broadcast(keys), "query_id")
     else:
-        rows = rows.join(keys, "query_id")
+        parts = hot_queries(rows)
+        own = F.pmod(F.xxhash64("target_id"), F.coalesce("parts", F.lit(1)))
+        rows = rows.join(F.broadcast(parts), "query_id", "left").withColumn("part", own).drop("parts")
+        keys = keys.join(F.broadcast(parts), "query_id", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        rows = rows.join(keys, ["query_id", "part"])
     f, t, b = F.col("query_from"), F.col("query_to"), F.col("peak_position")
     flags = _flags(f, t, b, F.col("radius_nt"), F.col("query_length"))
     count = lambda name, flag: F.count_if(flags[flag]).alias(name)

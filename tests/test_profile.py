@@ -6,6 +6,7 @@ import pytest
 
 from spanloom.operators import intervals as iv
 from spanloom.operators import profile as pr
+from spanloom.operators import targets as tg
 from spanloom.operators.alignments import counts, normalised, typed
 from spanloom.schemas import MEASURES
 
@@ -123,3 +124,24 @@ def test_normalising(spark):
     assert (c.input_alignments, c.self_alignments, c.alignments_without_id, c.normalized_alignments) == (3, 1, 1, 1)
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         typed(raw.withColumn("query_end", raw.query_id)).collect()
+
+
+@pytest.mark.parametrize(("peaks", "hot"), [(tg.PEAKS, tg.HOT), (3, 40), (0, 1)])
+def test_peak_targets_of_a_hot_query(spark, monkeypatch, peaks, hot):
+    """A query with most of the rows gives the same whether peaks are sent to all tasks or it is dealt in parts."""
+    rng = random.Random(11)
+    rows = [("hot" if k % 3 else f"q{k % 7}", f"t{rng.randrange(40)}", f, f + rng.randint(5, 60)) for k in range(600) for f in [rng.randint(1, 300)]]
+    found = [(f"{q}:{p}", q, 400, p, 10, "local") for q in ("hot", "q0", "q3", "none") for p in (30, 90, 200)]
+    alignments = spark.createDataFrame(rows, "query_id string, target_id string, query_from int, query_to int")
+    keys = spark.createDataFrame(found, "peak_id string, query_id string, query_length long, peak_position long, radius_nt long, score_geometry string")
+    monkeypatch.setattr(tg, "PEAKS", max(peaks, 1))
+    monkeypatch.setattr(tg, "HOT", hot)
+    got = {(r.peak_id, r.target_id): r for r in tg.peak_targets(keys, alignments).collect()}
+    assert set(got) == {(p[0], r[1]) for p in found for r in rows if r[0] == p[1]}
+    for (peak, target), r in got.items():
+        q, b = peak.split(":")
+        own = [x for x in rows if x[0] == q and x[1] == target]
+        assert (r.alignment_count, r.crossing_alignment_count) == (len(own), sum(x[2] < int(b) < x[3] for x in own))
+        assert r.contributes_local_start == any(abs(x[2] - int(b)) <= 10 for x in own)
+    if peaks == 3:
+        assert {r.query_id for r in tg.hot_queries(alignments).collect()} >= {"hot"}
