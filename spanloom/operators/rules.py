@@ -137,10 +137,12 @@ def nearby_layouts(layouts: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     return out.select("peak_id", "nearby_two_sided_alternative_count", *(F.col(f"b.{c}").alias(f"best_nearby_alternative_{n}") for n, c in names.items()))
 
 
-def reciprocal_pairs(peaks: DataFrame, links: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+def reciprocal_pairs(peaks: DataFrame, links: DataFrame, t: Thresholds = DEFAULTS, *, check: bool = False) -> DataFrame:
     """One row for each one-sided peak with partners: an end peak of one query and a start peak of another that
-    reach each other through enough shared targets."""
+    reach each other through enough shared targets. ``check`` makes sure of one row a peak first."""
     require_columns(links, LINK_COLUMNS, "alternative links")
+    if check:
+        require_key(peaks, "peak_id", name="peaks")
     routes = links.select(*LINK_COLUMNS).distinct().join(peaks.select("peak_id", "score_geometry"), "peak_id")
     ends = routes.where("score_geometry = 'one_sided_end'").select(F.col("peak_id").alias("end_peak_id"), F.col("source_query_id").alias("end_query_id"), F.col("alternative_query_id").alias("start_query_id"), "target_id")
     starts = routes.where("score_geometry = 'one_sided_start'").select(F.col("peak_id").alias("start_peak_id"), F.col("source_query_id").alias("start_query_id"), F.col("alternative_query_id").alias("end_query_id"), "target_id")
@@ -191,8 +193,14 @@ def query_actions(decisions: DataFrame) -> DataFrame:
     return out.select("query_id", "peak_count", "quarantine_peak_count", "review_peak_count", F.when(some, "quarantine").otherwise("review").alias("representative_action"), F.transform(F.when(some, F.col("__q")).otherwise(F.col("__r")), lambda x: x["peak_id"]).alias("action_peak_ids"), *LISTS)
 
 
-def representative_actions(boundary_summary: DataFrame, actions: DataFrame) -> DataFrame:
-    """Every representative; those without a peak are ``no_selected_boundary``."""
+def representative_actions(boundary_summary: DataFrame, actions: DataFrame, *, check: bool = False) -> DataFrame:
+    """Every representative; those without a peak are ``no_selected_boundary``.
+
+    ``check`` makes sure of one row a representative on either side first.
+    """
+    if check:
+        require_key(boundary_summary, "representative_contig_id", name="boundary summary")
+        require_key(actions, "query_id", name="query actions")
     rows = boundary_summary.withColumnRenamed("representative_contig_id", "query_id").join(actions, "query_id", "left")
     counts, lists = ("peak_count", "quarantine_peak_count", "review_peak_count"), ("action_peak_ids", *LISTS)
     return rows.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in counts} | {c: F.coalesce(c, F.array().cast("array<string>")) for c in lists} | {"representative_action": F.coalesce("representative_action", F.lit("no_selected_boundary"))})

@@ -115,6 +115,8 @@ def test_representative_actions(spark):
     assert (got["A"].representative_action, got["A"].action_peak_ids, got["A"].quarantine_peak_count, got["A"].review_peak_count) == ("quarantine", ["p1", "p0"], 2, 1)
     assert (got["B"].representative_action, got["B"].action_peak_ids) == ("review", ["p3"])
     assert (got["C"].representative_action, got["C"].peak_count, got["C"].matched_review_rules) == ("no_selected_boundary", 0, [])
+    with pytest.raises(InputError):
+        ru.representative_actions(summary.union(summary), ru.query_actions(decisions), check=True)
     counts = {(r.rule_kind, r.rule_name): r.peak_count for r in ru.rule_match_counts(decisions).collect()}
     assert counts["matched_quarantine_rules", "two_sided_different_diamond_annotations"] == 3
     with pytest.raises(InputError):
