@@ -11,6 +11,7 @@ import shutil
 import subprocess
 from collections.abc import Iterable
 from datetime import UTC, datetime
+from inspect import Parameter, signature
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,10 +60,15 @@ def _command(tool: str, verb: str, *places, threads: int | None = None, **option
     return args + (["--threads", str(threads)] if threads else [])
 
 
+def _places(out: Path) -> dict[str, Path]:
+    """Where a run leaves its results."""
+    return {"sequences": out / "db/sequences", "hits": out / "db/hits", "clusters": out / "db/clusters", "heads": out / "db/heads", "members": out / "members.tsv", "fasta": out / "heads.fasta"}
+
+
 def search_commands(contigs: Path, out: Path, scratch: Path, *, tool: str = "mmseqs", threads: int = 32, identity: float = 0.9, length: int = 300, target_coverage: float = 0.8, sensitivity: float = 7.5, max_hits: int = 1_000, max_length: int = 1_000_000, reuse_database: bool = False) -> tuple[list[list[str]], dict[str, Path]]:
     """Commands of a search of all against all and its clustering, and where their results are."""
-    at = {"sequence_database": out / "db/contigs", "result_database": out / "db/raw_to_raw", "cluster_database": out / "db/clusters", "representative_database": out / "db/representatives", "clusters_tsv": out / "clusters.tsv", "representatives_fasta": out / "representatives.fasta"}
-    db, hits, clusters = at["sequence_database"], at["result_database"], at["cluster_database"]
+    at = _places(out)
+    db, hits = at["sequences"], at["hits"]
     create = _command(tool, "createdb", contigs, db, threads=threads)
     search = _command(tool, "search", db, db, hits, scratch / "search", search_type=SEARCH_TYPE_NUCLEOTIDE, alignment_mode=ALIGNMENT_MODE_COVERAGE_AND_IDENTITY, min_seq_id=identity, min_aln_len=length, c=target_coverage, cov_mode=COVERAGE_OF_TARGET, s=sensitivity, max_seqs=max_hits, max_seq_len=max_length, threads=threads) + ["--remove-tmp-files", "1"]
     return [*([] if reuse_database else [create]), search, *cluster_commands(db, hits, at, tool=tool, threads=threads, mode=CLUSTER_BY_LENGTH)], at
@@ -71,24 +77,30 @@ def search_commands(contigs: Path, out: Path, scratch: Path, *, tool: str = "mms
 def cluster_commands(db: Path, hits: Path, at: dict[str, Path], *, tool: str, threads: int, mode: int) -> list[list[str]]:
     if mode not in CLUSTER_MODES:
         raise InputError(f"cluster mode must be one of {CLUSTER_MODES}")
-    clusters = at["cluster_database"]
+    clusters = at["clusters"]
     return [
         _command(tool, "clust", db, hits, clusters, cluster_mode=mode, threads=threads),
-        _command(tool, "createtsv", db, db, clusters, at["clusters_tsv"], threads=threads),
-        _command(tool, "createsubdb", clusters, db, at["representative_database"]),
-        _command(tool, "convert2fasta", at["representative_database"], at["representatives_fasta"]),
+        _command(tool, "createtsv", db, db, clusters, at["members"], threads=threads),
+        _command(tool, "createsubdb", clusters, db, at["heads"]),
+        _command(tool, "convert2fasta", at["heads"], at["fasta"]),
     ]
 
 
 def recluster_commands(db: Path, hits: Path, out: Path, *, any_quarantined: bool, tool: str = "mmseqs", threads: int = 32, mode: int = CLUSTER_BY_LENGTH) -> tuple[list[list[str]], dict[str, Path]]:
-    """Commands that keep the allowed queries, drop quarantined targets, and cluster what is left."""
-    at = {"sequence_database": out / "db/contigs", "allowed_queries": out / "db/allowed_query_alignments", "result_database": out / "db/raw_to_raw", "cluster_database": out / "db/clusters", "representative_database": out / "db/representatives", "clusters_tsv": out / "clusters.tsv", "representatives_fasta": out / "representatives.fasta", "retained_keys": out / "retained_sequence_keys.txt", "quarantine_keys": out / "quarantine_sequence_keys.txt"}
-    steps = [_command(tool, "createsubdb", at["retained_keys"], db, at["sequence_database"]), _command(tool, "createsubdb", at["retained_keys"], hits, at["allowed_queries"])]
-    used = at["allowed_queries"]
+    """Commands that keep the allowed queries, drop quarantined targets, and cluster what is left.
+
+    ``at["hits"]`` is the filtered result in either case; without quarantined sequences there are no
+    targets to drop, and no table between.
+    """
+    at = _places(out) | {"kept_keys": out / "kept.keys", "gone_keys": out / "gone.keys"}
+    steps = [_command(tool, "createsubdb", at["kept_keys"], db, at["sequences"])]
     if any_quarantined:
-        used = at["result_database"]
-        steps.append(_command(tool, "filterdb", at["allowed_queries"], used, filter_file=at["quarantine_keys"], filter_column=1, positive_filter=0, threads=threads))
-    return steps + cluster_commands(at["sequence_database"], used, at, tool=tool, threads=threads, mode=mode), at
+        at["hits_of_kept_queries"] = out / "db/hits-of-kept-queries"
+        steps.append(_command(tool, "createsubdb", at["kept_keys"], hits, at["hits_of_kept_queries"]))
+        steps.append(_command(tool, "filterdb", at["hits_of_kept_queries"], at["hits"], filter_file=at["gone_keys"], filter_column=1, positive_filter=0, threads=threads))
+    else:
+        steps.append(_command(tool, "createsubdb", at["kept_keys"], hits, at["hits"]))
+    return steps + cluster_commands(at["sequences"], at["hits"], at, tool=tool, threads=threads, mode=mode), at
 
 
 def export_command(db: Path, hits: Path, tsv: Path, *, tool: str = "mmseqs", threads: int = 32) -> list[str]:
@@ -106,9 +118,19 @@ def run_commands(commands: list[list[str]]) -> None:
 # -- runs -----------------------------------------------------------------------------------------
 
 
+def _parts(place: Path) -> list[Path]:
+    """Files of a database: its data, whole or in numbered parts, and what goes with it."""
+    place = Path(place)
+    return [p for p in place.parent.glob(f"{place.name}*") if p.name == place.name or p.name[len(place.name)] == "."] if place.parent.is_dir() else []
+
+
 def database_exists(place: Path) -> bool:
-    """Whether the tool's database is there: its data and its type."""
-    return Path(place).exists() and Path(f"{place}.dbtype").exists()
+    """Whether the tool's database is there: its data and its type. One of which only some files are there is an error."""
+    there = _parts(place)
+    whole = Path(f"{place}.dbtype").exists() and any(p == Path(place) or p.name[len(Path(place).name) + 1 :].isdigit() for p in there)
+    if there and not whole:
+        raise FileExistsError(f"{place} is incomplete: {sorted(p.name for p in there)}")
+    return whole
 
 
 def _lines(path: Path, prefix: str = "") -> int:
@@ -118,10 +140,10 @@ def _lines(path: Path, prefix: str = "") -> int:
 
 def _finish(commands: list[list[str]], at: dict[str, Path], manifest: Path, **more) -> dict:
     run_commands(commands)
-    for name in ("clusters_tsv", "representatives_fasta"):
+    for name in ("members", "fasta"):
         if not at[name].exists():
             raise RuntimeError(f"the tool made no {at[name]}")
-    out = {"created_at": datetime.now(UTC).isoformat(), "commands": commands, "outputs": {k: str(v) for k, v in at.items()}, "members": _lines(at["clusters_tsv"]), "representatives": _lines(at["representatives_fasta"], ">"), **more}
+    out = {"created_at": datetime.now(UTC).isoformat(), "commands": commands, "outputs": {k: str(v) for k, v in at.items()}, "members": _lines(at["members"]), "representatives": _lines(at["fasta"], ">"), **more}
     manifest.write_text(json.dumps(out, indent=2, sort_keys=True) + "\n", encoding="utf-8")
     return out
 
@@ -131,12 +153,14 @@ def run_search(contigs: Path, out: Path, scratch: Path, **options) -> dict:
     contigs, out = Path(contigs), Path(out)
     if not contigs.is_file():
         raise FileNotFoundError(contigs)
-    commands, at = search_commands(contigs, out, Path(scratch), reuse_database=database_exists(out / "db/contigs"), **options)
-    if database_exists(at["result_database"]):
-        raise FileExistsError(at["result_database"])
+    reuse = database_exists(_places(out)["sequences"])
+    commands, at = search_commands(contigs, out, Path(scratch), reuse_database=reuse, **options)
+    if left := [str(p) for n, p in at.items() if n != "sequences" and _parts(p)]:
+        raise FileExistsError(f"results of an earlier run: {left}")
     for d in (out / "db", Path(scratch)):
         d.mkdir(parents=True, exist_ok=True)
-    return _finish(commands, at, out / "search.manifest.json")
+    settings = {k: v.default for k, v in signature(search_commands).parameters.items() if v.kind is Parameter.KEYWORD_ONLY} | options | {"reuse_database": reuse}
+    return _finish(commands, at, out / "search.manifest.json", settings=settings)
 
 
 def run_export(db: Path, hits: Path, tsv: Path, **options) -> Path:
@@ -167,7 +191,7 @@ def run_recluster(spark: SparkSession, db: Path, hits: Path, quarantine: Path, o
         raise FileExistsError(out)
     kept, gone = split_keys(read_lookup(spark, f"{db}.lookup"), read_id_list(spark, quarantine))
     (out / "db").mkdir(parents=True, exist_ok=True)
-    n_kept, n_gone = (write_keys(out / name, (r.sequence_key for r in keys.orderBy("sequence_key").toLocalIterator())) for name, keys in (("retained_sequence_keys.txt", kept), ("quarantine_sequence_keys.txt", gone)))
+    n_kept, n_gone = (write_keys(out / name, (r.sequence_key for r in keys.orderBy("sequence_key").toLocalIterator())) for name, keys in (("kept.keys", kept), ("gone.keys", gone)))
     if not n_kept:
         raise InputError("quarantine leaves no sequence")
     commands, at = recluster_commands(Path(db), Path(hits), out, any_quarantined=n_gone > 0, **options)
