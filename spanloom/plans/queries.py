@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +19,13 @@ from spanloom.operators import profile as pr
 from spanloom.operators import rules as ru
 from spanloom.operators import targets as tg
 from spanloom.plans import fixtures as fx
-from spanloom.runtime import table, written
+from spanloom.plans.screen import Publisher, run_screen
+from spanloom.runtime import fresh_path, table, written
 from spanloom.schemas import key_faults
+from spanloom.sources import readers as rd
 
 LIMITS = pk.thresholds()
+SOME_LIMITS = pk.thresholds(local=None, directional=3, overlap=None, one_sided=12)
 REVIEW_THRESHOLDS = ru.Thresholds(max_spanning_target_count=1_000_000)
 
 
@@ -52,7 +56,7 @@ class Stages:
 
     @cached_property
     def hits(self) -> DataFrame:
-        return pr.selected(self.alignments, self.representatives)
+        return written(self.spark, pr.selected(self.alignments, self.representatives), "selected-alignments")
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -113,6 +117,63 @@ def flat(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.array_join(f.name, ",") for f in df.schema if f.dataType.typeName() == "array"})
 
 
+# -- files: written to the shared folder and read back ------------------------------------------------
+
+
+def _text(s: Stages, name: str, lines: DataFrame, **options) -> str:
+    """The lines as a folder of text files."""
+    place = fresh_path(s.spark, "files") + f"/{name}"
+    lines.write.options(**options).text(place)
+    return place
+
+
+def _alignment_file(s: Stages) -> str:
+    line = F.concat_ws("\t", *(F.col(c).cast("string") for c in s.raw.columns))
+    return _text(s, "alignments.tsv.gz", s.raw.select(line.alias("value")), compression="gzip")
+
+
+def _fasta_file(s: Stages) -> str:
+    """Headers with a remark, sequences over two lines, blank lines."""
+    record = F.concat(F.lit(">"), "representative_contig_id", F.lit(" a remark\nACGT\n\nAC"))
+    return _text(s, "representatives.fa.gz", s.representatives.select(record.alias("value")), compression="gzip")
+
+
+def _id_file(s: Stages) -> str:
+    return _text(s, "ids.txt", s.quarantined.select(F.concat(F.lit("  "), "contig_id", F.lit(" \n")).alias("value")))
+
+
+def _lookup_file(s: Stages) -> str:
+    """Also rows of one field, which don't count, and of three."""
+    row = F.concat_ws("\t", "sequence_key", "contig_id", F.lit("0"))
+    return _text(s, "db.lookup", s.fixture(fx.LOOKUP).select(F.concat(row, F.lit("\nodd")).alias("value")))
+
+
+def _screened(s: Stages) -> dict:
+    """The whole run from files to files; its manifest."""
+    notes = fresh_path(s.spark, "files") + "/notes.parquet"
+    s.annotations.write.parquet(notes)
+    return run_screen(s.spark, representatives=_fasta_file(s), alignments=_alignment_file(s), annotations=notes, output=fresh_path(s.spark, "screen"))
+
+
+def _counts(spark: SparkSession, manifest: dict) -> DataFrame:
+    """part, name, n of the counts in the manifest."""
+    stages = manifest["stages"]
+    parts = {"action": manifest["representative_action_counts"], "peaks": stages["peaks"], **{k: v for k, v in stages["decisions"].items()}}
+    parts["alignment"] = {k: stages["alignment_preparation"][k] for k in ("input_alignments", "self_alignments", "normalized_alignments")}
+    parts["targets"] = {k: stages["targets"][k] for k in ("peak_target_rows", "distinct_targets")}
+    rows = [(part, name, int(n)) for part, found in parts.items() for name, n in found.items()]
+    return spark.createDataFrame(pa.table({"part": [x[0] for x in rows], "name": [x[1] for x in rows], "n": [x[2] for x in rows]}))
+
+
+def _quarantine_file(s: Stages) -> DataFrame:
+    ids = ru.query_actions(s.decisions).where("representative_action = 'quarantine'").select("query_id")
+    place = Publisher(s.spark, fresh_path(s.spark, "published")).lines("quarantine_query_ids.txt", ids)
+    return rd.read_id_list(s.spark, place).select("contig_id")
+
+
+_DESCRIBED = ("peak_id", "nearby_two_sided_alternative_count", "best_nearby_alternative_query_id", "best_nearby_alternative_gap_kind", "best_nearby_alternative_gap_nt", "reciprocal_one_sided_pair_count", "maximum_reciprocal_shared_target_count", "reciprocal_one_sided_peak_ids", "reciprocal_one_sided_query_ids", "rule_nearby_two_sided_alternative", "rule_reciprocal_one_sided_pair", "peak_action", "decision_reason")
+
+
 def _titles(s: Stages) -> DataFrame:
     t = F.col("best_viral_title")
     return s.annotations.select(t).distinct().select(t, *(c.alias(n) for n, c in ti.title_labels(t).items()))
@@ -162,6 +223,18 @@ QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "reciprocal_pairs": lambda s: flat(ru.reciprocal_pairs(s.peaks, s.links)),
     "recluster_retained": lambda s: cl.split_keys(s.fixture(fx.LOOKUP), s.quarantined, check=False)[0],
     "recluster_filtered_alignments": lambda s: cl.filtered_alignments(s.alignments, s.quarantined).select("query_id", "target_id", "query_from", "query_to", "relative_orientation"),
+    "alignment_file": lambda s: al.typed(rd.read_alignment_text(s.spark, _alignment_file(s))),
+    "representative_fasta": lambda s: rd.read_representatives(s.spark, _fasta_file(s)),
+    "representative_list": lambda s: rd.read_representatives(s.spark, _text(s, "ids.ids", s.representatives.select(F.col("representative_contig_id").alias("value")))),
+    "quarantine_list": lambda s: rd.read_id_list(s.spark, _id_file(s)).select("contig_id"),
+    "lookup_file": lambda s: rd.read_lookup(s.spark, _lookup_file(s)),
+    "quarantine_file": _quarantine_file,
+    "missing_lookup_ids": lambda s: cl.missing_ids(s.fixture(fx.LOOKUP), s.representatives.withColumnRenamed("representative_contig_id", "contig_id")),
+    "score_peaks_some": lambda s: pk.score_peaks(pr.boundary_profile(s.hits, thresholds=SOME_LIMITS), SOME_LIMITS),
+    "score_peaks_none": lambda s: pk.score_peaks(s.passing.where("query_length < 0"), LIMITS),
+    "peak_decisions_described": lambda s: flat(ru.peak_decisions(s.described, s.layouts, s.links).select(*_DESCRIBED)),
+    "screen_run": lambda s: flat(s.spark.read.parquet(_screened(s)["representative_actions"])),
+    "screen_manifest": lambda s: _counts(s.spark, _screened(s)),
     "coverage_counts": lambda s: iv.coverage_counts(s.fixture(fx.ORDER_SPANS), "axis", "member", "length"),
     "dominant_value": lambda s: an.dominant_value(table(s.spark, s.sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_partkey"), ["l_suppkey"], "l_returnflag", "l_partkey"),
 }
