@@ -65,6 +65,31 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables between the steps of one function: written like ``written``, removed at its end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            drop_path(self.spark, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all that this application has left in the shared folder; results that read it must be saved before."""
+    drop_path(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Bytes of the files that a table is read from, as the planner knows them; 0 for other sources."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
