@@ -29,7 +29,7 @@ from spanloom.llm.arrow import batch_of, columns, map_batches, text_of
 from spanloom.llm.hashing import groups, mix
 from spanloom.llm.components import connected_components
 from spanloom.llm.shingles import shingle_sets
-from spanloom.runtime import written
+from spanloom.runtime import Scratch, written
 
 BANDS, ROWS = 40, 5
 #: Ids that are broadcast at most (16 bytes each); beyond it, they are joined by a shuffle.
@@ -38,6 +38,8 @@ BROADCAST_IDS = 1 << 18
 SIGMAS = 6.0
 #: Pairs between components that a bucket gives by itself; beyond it, its members take the prefix filter.
 LIGHT = 32
+#: Members of a shingle that one task of the prefix filter joins.
+PART = 1 << 10
 #: Counters that rank shingles by how rare they are; any ranking gives all pairs.
 COUNTERS = 1 << 18
 _BLOCK = 1 << 14
@@ -112,7 +114,8 @@ def _only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 class _Verifier:
-    def __init__(self, docs: DataFrame, sketch: DataFrame, shingle: int, percent: int, n: int, id_col: str, text_col: str):
+    def __init__(self, docs: DataFrame, sketch: DataFrame, shingle: int, percent: int, n: int, id_col: str, text_col: str, scratch: Scratch):
+        self.scratch = scratch
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
         self.sketch, self.shingle, self.percent, self.n = sketch, shingle, percent, n
 
@@ -126,7 +129,7 @@ class _Verifier:
                 for lo, hi in groups(texts):
                     yield batch_of(schema, doc_id=keys[lo:hi], members=[s.tobytes() for s in shingle_sets(texts[lo:hi], shingle)])
 
-        return written(ids.sparkSession, map_batches(_only(self.docs, ids, "doc_id"), run, "doc_id long, members binary"), "minhash-sets")
+        return self.scratch(map_batches(_only(self.docs, ids, "doc_id"), run, "doc_id long, members binary"), "minhash-sets")
 
     def prefix_pairs(self, named: DataFrame) -> DataFrame:
         """u, v of every pair of ``named`` (doc_id, c) of different c that could overlap enough.
@@ -161,18 +164,21 @@ class _Verifier:
                     x = x[: n + (-percent * n // 100) + 1].view(np.int64)  # no partner needs more of it
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), key)), pa.array(x), pa.array(np.full(len(x), n)), pa.array(np.arange(len(x)))], names=["doc_id", "token", "n", "at"])
 
-        rows = written(spark, map_batches(sets, prefixes, "doc_id long, token long, n long, at long").join(named, "doc_id"), "minhash-prefixes")
+        rows = self.scratch(map_batches(sets, prefixes, "doc_id long, token long, n long, at long").join(named, "doc_id"), "minhash-prefixes")
         # A token that one component alone has joins nothing; a pair has a member outside its main one.
-        main = rows.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "c")).alias("main"), F.count("*").alias("several")).where("several > 1").select("token", F.col("main.c").alias("main"))
-        held = rows.join(main, "token")
-        y, x = (held.select("token", "main", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "c", "at"))) for s in "yx")
+        sizes = rows.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "c")).alias("main"), F.sum("k").alias("all"), F.count("*").alias("several")).where("several > 1")
+        mixed = self.scratch(sizes.select("token", F.col("main.c").alias("main"), F.ceil(F.col("all") / PART).alias("parts")), "minhash-tokens")
+        held = self.scratch(rows.join(mixed, "token"), "minhash-held")
+        # A frequent token is dealt in parts: each member outside the main component to one, all members to every one.
+        y, x = (held.select("token", "main", "parts", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "c", "at"))) for s in "yx")
+        y = y.where("c_y <> main").withColumn("part", F.pmod(F.xxhash64("doc_id_y"), F.col("parts"))).drop("main", "parts")
+        x = x.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("main", "parts")
         need = F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / (100 + percent) - 1e-9)
         close = (F.col("c_y") != F.col("c_x")) & (F.col("at_x") <= F.col("n_x") - need) & (F.col("at_y") <= F.col("n_y") - need)
-        return y.where("c_y <> main").join(x.drop("main"), "token").where(close).select(F.greatest("doc_id_y", "doc_id_x").alias("u"), F.least("doc_id_y", "doc_id_x").alias("v")).distinct()
+        return y.join(x, ["token", "part"]).where(close).select(F.greatest("doc_id_y", "doc_id_x").alias("u"), F.least("doc_id_y", "doc_id_x").alias("v")).distinct()
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The (u, v) of ``pairs`` whose sets overlap enough; a written table."""
-        spark = pairs.sparkSession
         t = self.percent / 100
         least = int(np.floor(self.n * t - SIGMAS * np.sqrt(self.n * t * (1 - t))))
         ids = lambda p: p.select(F.explode(F.array("u", "v")).alias("id")).distinct()
@@ -182,9 +188,9 @@ class _Verifier:
                 x, y = (np.frombuffer(b"".join(c), np.uint32).reshape(b.num_rows, -1) for c in columns(b, "su", "sv"))
                 yield b.select(["u", "v"]).filter(pa.array(((x == y).sum(1) >= least) if b.num_rows else [], pa.bool_()))
 
-        sig = written(spark, _only(self.sketch.select("doc_id", "sig"), ids(pairs), "doc_id"), "minhash-sig")
+        sig = self.scratch(_only(self.sketch.select("doc_id", "sig"), ids(pairs), "doc_id"), "minhash-sig")
         joined = pairs.join(sig.select(F.col("doc_id").alias("u"), F.col("sig").alias("su")), "u").join(sig.select(F.col("doc_id").alias("v"), F.col("sig").alias("sv")), "v")
-        likely = written(spark, map_batches(joined, near, "u long, v long"), "minhash-likely")
+        likely = self.scratch(map_batches(joined, near, "u long, v long"), "minhash-likely")
 
         percent = self.percent
 
@@ -199,7 +205,7 @@ class _Verifier:
 
         full = self.sets(ids(likely))
         joined = likely.join(full.select(F.col("doc_id").alias("u"), F.col("members").alias("mu")), "u").join(full.select(F.col("doc_id").alias("v"), F.col("members").alias("mv")), "v")
-        return written(spark, map_batches(joined, exact, "u long, v long"), "minhash-links")
+        return self.scratch(map_batches(joined, exact, "u long, v long"), "minhash-links")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,39 +213,40 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
 
     Documents are linked where 100 * |A & B| >= percent * |A | B|. Texts that are null or have no words
     link with nothing, not even with each other; a null doc_id isn't part of any link and is kept.
-    Ids name documents: rows of one id and text are one document, each row is returned. An empty table
-    gives no rows; other columns aren't read.
+    Ids name documents: rows of one id are one document, which has the links of all its texts; each row
+    is returned. An empty table gives no rows; other columns aren't read.
     """
     spark = docs.sparkSession
     sketch = written(spark, sketched(docs, shingle=shingle, bands=bands, rows=rows, id_col=id_col, text_col=text_col), "minhash-sketch")
     some = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("top"))
-    heads = classes.select(F.col("top").alias("doc_id"))
-    banded = some.select("doc_id", "bands").join(heads, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    members = written(spark, banded.join(shared, "key"), "minhash-buckets")
-    check = _Verifier(docs, some, shingle, percent, bands * rows, id_col, text_col)
-
-    stars = members.select(F.explode(F.array(F.struct(F.col("doc_id").alias("u"), F.col("lo").alias("v")), F.struct(F.col("hi").alias("u"), F.col("doc_id").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-    stars = written(spark, stars, "minhash-stars")
-    first = check.links(stars)
-    label = connected_components(first)
-
-    named = members.join(label, members.doc_id == label.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    named = written(spark, named, "minhash-named")
-    sizes = named.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("several"), F.sum("n").alias("m"), F.max(F.struct("n", "c")).alias("main")).where("several > 1")
-    sizes = written(spark, sizes.select("key", F.col("main.c").alias("main"), ((F.col("m") - F.col("main.n")) * F.col("m") <= LIGHT).alias("light")), "minhash-mixed")
-    left = named.join(sizes, "key")
-    # Pairs between components have a member outside the main one.
-    x = left.where("light AND c <> main").select("key", F.col("doc_id").alias("d1"), F.col("c").alias("c1"))
-    y = left.where("light").select("key", F.col("doc_id").alias("d2"), F.col("c").alias("c2"))
-    across = x.join(y, "key").where("c1 <> c2").select(F.greatest("d1", "d2").alias("u"), F.least("d1", "d2").alias("v")).distinct()
-    crowded = written(spark, left.where("NOT light").select("doc_id", "c").distinct(), "minhash-crowded")
-    if crowded.limit(1).count():
-        across = across.unionByName(check.prefix_pairs(crowded)).distinct()
-    across = across.join(stars, ["u", "v"], "left_anti")
-    second = check.links(written(spark, across, "minhash-across"))
-    label = connected_components(first.unionByName(second))
+    with Scratch(spark) as scratch:
+        heads = classes.select(F.col("top").alias("doc_id"))
+        banded = some.select("doc_id", "bands").join(heads, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
+        shared = banded.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+        members = scratch(banded.join(shared, "key"), "minhash-buckets")
+        check = _Verifier(docs, some, shingle, percent, bands * rows, id_col, text_col, scratch)
+
+        stars = members.select(F.explode(F.array(F.struct(F.col("doc_id").alias("u"), F.col("lo").alias("v")), F.struct(F.col("hi").alias("u"), F.col("doc_id").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        stars = scratch(stars, "minhash-stars")
+        first = check.links(stars)
+        label = connected_components(first)
+
+        named = members.join(label, members.doc_id == label.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+        named = scratch(named, "minhash-named")
+        sizes = named.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("several"), F.sum("n").alias("m"), F.max(F.struct("n", "c")).alias("main")).where("several > 1")
+        sizes = scratch(sizes.select("key", F.col("main.c").alias("main"), ((F.col("m") - F.col("main.n")) * F.col("m") <= LIGHT).alias("light")), "minhash-mixed")
+        left = named.join(sizes, "key")
+        # Pairs between components have a member outside the main one.
+        x = left.where("light AND c <> main").select("key", F.col("doc_id").alias("d1"), F.col("c").alias("c1"))
+        y = left.where("light").select("key", F.col("doc_id").alias("d2"), F.col("c").alias("c2"))
+        across = x.join(y, "key").where("c1 <> c2").select(F.greatest("d1", "d2").alias("u"), F.least("d1", "d2").alias("v")).distinct()
+        crowded = scratch(left.where("NOT light").select("doc_id", "c").distinct(), "minhash-crowded")
+        if crowded.limit(1).count():
+            across = across.unionByName(check.prefix_pairs(crowded)).distinct()
+        across = across.join(stars, ["u", "v"], "left_anti")
+        second = check.links(scratch(across, "minhash-across"))
+        label = connected_components(first.unionByName(second))
 
     heads = classes.join(label, classes.top == label.node, "left").select("fp1", "fp2", F.coalesce("component", "top").alias("c"))
     out = sketch.select("doc_id", "n_shingles", "fp1", "fp2").join(heads, ["fp1", "fp2"], "left")

@@ -28,7 +28,7 @@ from spanloom.llm.arrow import batch_of, columns, map_batches, text_of
 from spanloom.llm.hashing import code_points, folded, span_hashes
 from spanloom.llm.lookup import Sorted
 from spanloom.llm.shingles import shingle_hashes
-from spanloom.runtime import written
+from spanloom.runtime import Scratch, written
 
 MIN_MATCH, COVERAGE = 5, 0.5
 #: Characters of a benchmark that is sent to all tasks; its index takes some 10 bytes for each.
@@ -198,8 +198,8 @@ def matches(text: str, block: Block, min_match: int, coverage: float) -> list[di
 
 # -- Spark ----------------------------------------------------------------------------------------
 
-_FOUND = {"item_id": pa.int64(), "n_tiles": pa.int64(), "matched_words": pa.int64(), "item_words": pa.int64(), "coverage": pa.float64(), "spans": pa.string()}
-_FOUND_DDL = "item_id long, n_tiles long, matched_words long, item_words long, coverage double, spans string"
+_RESULT = {"item_id": pa.int64(), "n_tiles": pa.int64(), "matched_words": pa.int64(), "item_words": pa.int64(), "coverage": pa.float64(), "spans": pa.string()}
+_RESULT_DDL = "item_id long, n_tiles long, matched_words long, item_words long, coverage double, spans string"
 
 
 def _small(benchmark: DataFrame, min_match: int, item_col: str, item_text_col: str) -> Block | None:
@@ -212,7 +212,7 @@ def _small(benchmark: DataFrame, min_match: int, item_col: str, item_text_col: s
 
 def _results(keys: str, got: list[tuple], ids: list) -> pa.RecordBatch:
     """A row for each (key, match)."""
-    schema = pa.schema([(keys, pa.string() if keys == "key" else pa.int64()), *_FOUND.items()])
+    schema = pa.schema([(keys, pa.string() if keys == "key" else pa.int64()), *_RESULT.items()])
     return batch_of(schema, **{keys: [k for k, _ in got]}, item_id=[ids[m["item"]] for _, m in got], n_tiles=[m["tiles"] for _, m in got], matched_words=[m["matched"] for _, m in got], item_words=[m["words"] for _, m in got], coverage=[m["coverage"] for _, m in got], spans=[m["spans"] for _, m in got])
 
 
@@ -286,15 +286,20 @@ def _chosen(items: DataFrame, counted: DataFrame, min_match: int, coverage: floa
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, min_match: int, coverage: float, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    with Scratch(docs.sparkSession) as scratch:
+        return _found(docs, benchmark, min_match, coverage, text_col, item_col, item_text_col, scratch)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, min_match: int, coverage: float, text_col: str, item_col: str, item_text_col: str, scratch: Scratch) -> DataFrame:
     """key (MD5 of the text) and the columns of a result, for each text and item found in it; by a join of seeds."""
     spark = docs.sparkSession
-    items = written(spark, benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t"), F.monotonically_increasing_id().alias("item")).where("t <> ''"), "tiling-items")
+    items = scratch(benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t"), F.monotonically_increasing_id().alias("item")).where("t <> ''"), "tiling-items")
     texts = docs.select(F.md5(F.col(text_col)).alias("key"), F.col(text_col).alias("t")).where("t <> ''")
-    held = written(spark, _item_seeds(items, min_match), "tiling-item-seeds")
-    seeds = written(spark, _document_seeds(texts, [r["size"] for r in held.select("size").distinct().collect()], _seed_filter(held)).distinct(), "tiling-seeds")
+    held = scratch(_item_seeds(items, min_match), "tiling-item-seeds")
+    seeds = scratch(_document_seeds(texts, [r["size"] for r in held.select("size").distinct().collect()], _seed_filter(held)).distinct(), "tiling-seeds")
     counted = held.join(seeds.groupBy("seed").agg(F.count("*").alias("n")), "seed")
     chosen = _chosen(items, counted, min_match, coverage)
-    pairs = written(spark, seeds.join(chosen, "seed").select("key", "item").distinct(), "tiling-pairs")
+    pairs = scratch(seeds.join(chosen, "seed").select("key", "item").distinct(), "tiling-pairs")
     once = texts.join(pairs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     rows = pairs.join(items.withColumnRenamed("t", "item_text"), "item").join(once, "key").select("key", "t", "i", "item_text")
 
@@ -306,7 +311,7 @@ def _joined(docs: DataFrame, benchmark: DataFrame, min_match: int, coverage: flo
                 ids.append(i)
             yield _results("key", got, ids)
 
-    return map_batches(rows, run, f"key string, {_FOUND_DDL}")
+    return written(spark, map_batches(rows, run, f"key string, {_RESULT_DDL}"), "tiling-found")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -320,7 +325,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_
     block = _small(benchmark, min_match, item_col, item_text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     if block is None:
-        found = written(docs.sparkSession, _joined(docs, benchmark, min_match, coverage, text_col, item_col, item_text_col), "tiling-found")
+        found = _joined(docs, benchmark, min_match, coverage, text_col, item_col, item_text_col)
         return rows.select("doc_id", F.md5("text").alias("key")).join(found, "key").drop("key")
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -329,7 +334,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_
         for b in batches:
             yield _results("doc_id", [(key, m) for key, text in zip(*columns(b, "doc_id", "text"), strict=True) for m in matches(text, block, min_match, coverage)], block.ids)
 
-    return map_batches(rows, run, f"doc_id long, {_FOUND_DDL}")
+    return map_batches(rows, run, f"doc_id long, {_RESULT_DDL}")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -340,7 +345,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MI
     names = docs.columns
     block = _small(benchmark, min_match, item_col, item_text_col)
     if block is None:
-        found = written(docs.sparkSession, _joined(docs, benchmark, min_match, coverage, text_col, item_col, item_text_col).select("key").distinct(), "tiling-found")
+        found = _joined(docs, benchmark, min_match, coverage, text_col, item_col, item_text_col).select("key").distinct()
         return docs.join(found, F.md5(F.col(text_col)) == found["key"], "left_anti").select(*names)
     shared = docs.sparkSession.sparkContext.broadcast(block)
 

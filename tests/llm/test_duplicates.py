@@ -414,3 +414,21 @@ def test_words_that_repeat_take_little_memory():
         assert [(m["item"], m["matched"] == m["words"]) for m in found] == [(0 if "same" in text else 1, True)]
     assert tracemalloc.get_traced_memory()[1] < 200e6
     tracemalloc.stop()
+
+
+@pytest.mark.parametrize("part", [minhash.PART, 2])
+def test_frequent_shingles_are_split(spark, monkeypatch, part):
+    """Every bucket through the prefix filter, frequent shingles dealt in parts; tables between the steps go."""
+    from spanloom.runtime import shared_dir
+
+    monkeypatch.setattr(minhash, "LIGHT", 0)
+    monkeypatch.setattr(minhash, "PART", part)
+    rng = random.Random(14)
+    base = prose(rng, 30)
+    rows = [(k, edited(rng, base, rng.randint(1, 9))) for k in range(60)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()}
+    assert got == brute_links(rows, 2, 80)
+    import pathlib
+
+    left = {p.name.rsplit("-", 1)[0] for p in pathlib.Path(shared_dir(spark).removeprefix("file://"), spark.sparkContext.applicationId).glob("minhash-*")}
+    assert left <= {"minhash-sketch"}
