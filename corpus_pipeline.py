@@ -14,13 +14,21 @@ from spanloom.runtime import table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the languages of the labelled ones; rejected texts go."""
+    """Documents whose text is in one of the languages of the labelled ones; rejected texts go.
+
+    Rejected are null and empty texts, texts without letters, and texts unlike all of the languages;
+    without any label, all texts. Repeated rows and rows without an id stay; an empty table gives no rows.
+    """
     model = langid.fit(docs.where(~langid.held_out()).select("text", "lang"))
     return langid.accepted(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    Rows of one id are one document, and those of one text one row. Null and empty texts and rows without
+    an id stay; an empty table gives no rows.
+    """
     rows = written(spark, minhash.near_duplicates(docs, shingle=5, percent=80).select("doc_id", "kept"), "near-duplicates")
     gone = rows.where("NOT kept").select("doc_id").distinct()
     twice = rows.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
@@ -37,18 +45,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item. Null and empty texts stay, and so do repeated rows; so does all, if there are no items."""
     return tiling.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced; ``n_chars`` follows the text."""
+    """Texts with personal data replaced; ``n_chars`` follows the text.
+
+    Null texts stay null; repeated rows stay; an empty table gives no rows. Other columns stay as they are.
+    """
     out = pii.sanitise(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, packed."""
+    """The documents' pieces, packed. Null and empty texts are documents of one id; repeated rows are packed each; an empty table gives no rows."""
     return packing.pack_documents(docs)
 
 
