@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+#: Bytes of input for a file of a table between steps.
+FILE = 64 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -58,11 +60,31 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a table is read from, as the planner knows them; 0 for other sources."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)  # an unknown size is told as a very large one
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than its input needs: one for each ``FILE`` bytes of it, two for each core at least.
+
+    Shuffles of small tables into very many partitions would leave as many files, each of which costs
+    calls to the store (and, on a local file system without native code, programs started by the executor).
+    """
+    least = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(least, -(-plan_bytes(df) // FILE)))
+
+
+def _saved(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    settled(df).write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it again."""
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _saved(spark, df, fresh_path(spark, name))
 
 
 class Scratch:
@@ -77,8 +99,7 @@ class Scratch:
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         path = fresh_path(self.spark, name)
         self.paths.append(path)
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return _saved(self.spark, df, path)
 
     def __exit__(self, *_) -> None:
         for path in self.paths:
@@ -90,13 +111,6 @@ def clean(spark: SparkSession) -> None:
     drop_path(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Bytes of the files that a table is read from, as the planner knows them; 0 for other sources."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
-    return sum(x for x in sizes if x < 1 << 60)  # an unknown size is told as a very large one
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a path of the shared folder through Hadoop's file system."""
     jvm = spark.sparkContext._jvm
