@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import langid, minhash, packing, pii, tiling
-from spanloom.runtime import table, written
+from spanloom.runtime import settled, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +63,12 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", sanitisation), ("packing", sequences)]
+def _settled(stage):
+    """The stage's rows in no more partitions than the input needs."""
+    return lambda spark, docs, sf_dir: settled(stage(spark, docs, sf_dir))
+
+
+STAGES = [(name, _settled(stage)) for name, stage in (("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", sanitisation), ("packing", sequences))]
 
 #: SQL can't express the language models, tokenizer or packing; tests hold the stages against brute force.
 ORACLE_SQL = None
