@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.runtime import drop_path, fresh_path
+from spanloom.runtime import Scratch
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -19,13 +19,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     a, b = edges.columns
     now = edges.where(f"`{a}` <> `{b}`").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    path, seen = None, None
+    before, seen = None, None
     while True:
-        new = fresh_path(spark, "components")
-        now.write.parquet(new)
-        if path:
-            drop_path(spark, path)
-        path, now = new, spark.read.parquet(new)
+        round_ = Scratch(spark)
+        now = round_(now, "components")
+        if before:
+            before.__exit__()
+        before = round_
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
