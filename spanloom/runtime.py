@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 #: Bytes of input for a file of a table between steps.
-FILE = 16 << 20
+FILE = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
