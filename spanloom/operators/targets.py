@@ -35,7 +35,7 @@ def _flags(f, t, b, r, n) -> dict:
 def hot_queries(rows: DataFrame) -> DataFrame:
     """query_id, parts of the queries with more than ``HOT`` alignments; at most ``PEAKS`` of them."""
     counted = written(rows.sparkSession, rows.groupBy("query_id").agg(F.count("*").alias("n")), "alignments-by-query")
-    most = max(HOT, (counted.agg(F.sum("n")).first()[0] or 0) // PEAKS)
+    most = max(HOT, (counted.agg(F.sum("n")).first()[0] or 0) // max(PEAKS, 1))
     return counted.where(F.col("n") > most).select("query_id", F.ceil(F.col("n") / most).alias("parts"))
 
 
