@@ -38,10 +38,15 @@ def gear(cps: np.ndarray) -> np.ndarray:
 
 
 def cuts(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int = LEAST, most: int = MOST, bits: int = BITS) -> np.ndarray:
-    """Ends of chunks of several texts that stand in a row; ``least`` is at least the hash's window."""
+    """Ends of chunks of several texts that stand in a row; ``least`` is at least the hash's window.
+
+    Where ``most`` characters have no cut, the first place of the smallest hash among those allowed is
+    one: it depends on the content too, so texts of one repeated word or line fall into equal chunks.
+    """
     if least < _WINDOW:
         raise ValueError("least must cover the rolling hash's window")
-    place = np.flatnonzero(gear(cps) >> np.uint16(16 - bits) == 0) + 1
+    h = gear(cps)
+    place = np.flatnonzero(h >> np.uint16(16 - bits) == 0) + 1
     edge = np.searchsorted(place, starts), np.searchsorted(place, ends)
     out: list[int] = []
     places = place.tolist()
@@ -51,13 +56,13 @@ def cuts(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int = LEA
             if p - at < least:
                 continue
             while p - at > most:
-                at += most
+                at += least + int(h[at + least - 1 : at + most].argmin())
                 out.append(at)
             if p - at >= least:
                 at = p
                 out.append(at)
         while b - at > most:
-            at += most
+            at += least + int(h[at + least - 1 : at + most].argmin())
             out.append(at)
         if at < b:
             out.append(b)

@@ -188,12 +188,16 @@ def test_shuffled_ids_give_the_same(spark, monkeypatch):
 def plain_cuts(text, least, most, bits):
     """One character at a time."""
     key = [int(x) for x in (chunking.code_point_keys(np.array([ord(c) for c in text], np.uint32)) >> np.uint64(40)).astype(np.uint16)] if text else []
-    out, at, h = [], 0, 0
+    out, at, h, seen = [], 0, 0, []
     for k, g in enumerate(key):
         h = ((h << 1) + g) & 0xFFFF
-        if (h >> (16 - bits) == 0 and k + 1 - at >= least) or k + 1 - at == most:
+        seen.append(h)
+        if h >> (16 - bits) == 0 and k + 1 - at >= least:
             at = k + 1
             out.append(at)
+        elif k + 1 - at == most and k + 1 < len(text):  # no cut: the first of the smallest hashes
+            at = min(range(at + least, at + most + 1), key=lambda c: seen[c - 1])
+            out.append(at)
     return out + [len(text)] * (at < len(text))
 
 
@@ -217,6 +221,24 @@ def test_chunks_are_the_plain_ones(chunk, monkeypatch):
         chunking.cuts(np.zeros(3, np.uint32), np.zeros(1, np.int64), np.array([3]), least=4)
 
 
+def test_passages_of_one_word_or_line_share_chunks():
+    """Forced cuts go by the content: they fall into place wherever such a passage begins.
+
+    Passages with cuts of their own are left to the plain rule: several in one period needn't meet.
+    """
+    rng, forced = random.Random(15), 0
+    for _ in range(60):
+        unit = prose(rng, rng.choice([1, 1, 3, 8]))
+        passage = "\n".join([unit] * (60 // len(unit.split()) + 1))
+        if (chunking.gear(np.array([ord(c) for c in passage], np.uint32))[16:] >> np.uint16(16 - chunking.BITS) == 0).any():
+            continue
+        forced += 1
+        which, _, _, digest = chunking.chunks([f"{prose(rng, 30)}\n{passage}\n{prose(rng, 30)}", f"{prose(rng, 37)}\n{passage}\n{prose(rng, 21)}"])
+        first, second = ({h.tobytes() for h in digest[which == k]} for k in (0, 1))
+        assert first & second
+    assert forced > 5
+
+
 def test_repeated_passages(spark):
     rng = random.Random(7)
     passages = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(51)) for _ in range(6)]
