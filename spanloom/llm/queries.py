@@ -73,12 +73,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"))
+
+
 def _settled(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: settled(query(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _settled(f) for f in (op1_language_id, op2_token_counts, op3_token_ids, op4_substring_dedup, op5_decontamination, op6_minhash, op7_media_columns, op8_warc, op9_pii, op10_packing)}
+    return {f.__name__: _settled(f) for f in (op1_language_id, op2_token_counts, op3_token_ids, op4_substring_dedup, op5_decontamination, op6_minhash, op7_media_columns, op8_warc, op9_pii, op10_packing, op11_token_alignment)}
 
 
 #: Components by brute force over all pairs that share a shingle, and reachability.
