@@ -35,7 +35,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--annotations", required=True, help="Parquet, one row for each annotated target, key qseqid")
     p.add_argument("--alternative-layouts", default=None, help="Parquet, optional: layouts of peaks on other queries")
     p.add_argument("--alternative-links", default=None, help="Parquet, optional: targets that link one-sided peaks to other queries")
-    p.add_argument("--output-directory", required=True, help="new or empty folder")
+    p.add_argument("--output-directory", required=True, help="new or empty folder; results are a version below it")
+    p.add_argument("--force", action="store_true", help="add a version to results that are there; until it is complete, the version before it is current")
+    p.add_argument("--round-integers", action="store_true", help="take decimal numbers for integers in text: 12.6 is 13, 1e2 is 100")
     p.add_argument("--master", default=None, help="Spark master; by default the one that is configured")
     p.add_argument("--threads", type=_positive, default=8, help="shuffle partitions and, without a master, local threads (default %(default)s)")
     p.add_argument("--workers", type=_positive, default=1, help="tasks at a time, without a master, if more than --threads (default %(default)s)")
@@ -55,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
         builder = builder.master(args.master or f"local[{max(args.threads, args.workers)}]")
     spark = builder.getOrCreate()
     try:
-        result = run_screen(spark, representatives=args.representatives, alignments=args.alignments, annotations=args.annotations, output=args.output_directory, settings=Settings(args.radius_nt, args.min_two_sided_peak_score, args.min_one_sided_peak_score), layouts=args.alternative_layouts, links=args.alternative_links)
+        result = run_screen(spark, representatives=args.representatives, alignments=args.alignments, annotations=args.annotations, output=args.output_directory, settings=Settings(args.radius_nt, args.min_two_sided_peak_score, args.min_one_sided_peak_score), layouts=args.alternative_layouts, links=args.alternative_links, force=args.force, rounding=args.round_integers)
     except (OSError, ValueError, AuditError, PySparkException) as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1
@@ -63,5 +65,5 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{action}: {result['representative_action_counts'].get(action, 0)} representatives")
     print(f"Representative actions: {result['representative_actions']}")
     print(f"Quarantine ids: {result['quarantine_query_ids']}")
-    print(f"Manifest: {args.output_directory}/screen.manifest.json")
+    print(f"Manifest: {result['version']}/screen.manifest.json")
     return 0

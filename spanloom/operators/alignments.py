@@ -2,16 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.schemas import RAW_ALIGNMENT
 
 
-def typed(raw: DataFrame) -> DataFrame:
-    """The 14 columns with their types. Text that isn't a number of its type is an error (ANSI casts)."""
-    return raw.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(RAW_ALIGNMENT)))
+_NUMBER = r"^([+-]?)(\d*)(?:\.(\d*))?(?:[eE]([+-]?\d+))?$"
+
+
+def _spelled(text: Column) -> Column:
+    """The number without blanks around it and single underscores between its digits."""
+    return F.regexp_replace(F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", ""), r"(?<=\d)_(?=\d)", "")
+
+
+def rounded(text: Column, to: str) -> Column:
+    """Text as a number of an integral type, rounded half away from zero: '12.6' is 13, '1e2' 100, '.5' 1.
+
+    Text that isn't a decimal number, or is beyond the type, is an error; null stays null. Without an
+    exponent the first digit after the point decides, however many follow. Hexadecimal and binary numbers
+    aren't read.
+    """
+    bare = _spelled(text)
+    sign, whole, part, power = (F.regexp_extract(bare, _NUMBER, k) for k in (1, 2, 3, 4))
+    some = (F.length(whole) > 0) | (F.length(part) > 0)
+    plain = F.when(F.length(whole) > 0, whole).otherwise("0").cast("decimal(38,0)") + F.when(F.substring(part, 1, 1) >= "5", 1).otherwise(0)
+    near = F.when(F.length(power) > 0, F.round(bare.cast("decimal(38,18)"), 0).cast("decimal(38,0)")).otherwise(F.when(sign == "-", -plain).otherwise(plain))
+    # Other text is left to the cast, which names it in its error.
+    return F.when(bare.rlike(_NUMBER) & some, near.cast(to)).otherwise(F.when(bare.rlike("[.eE]"), F.concat(bare, F.lit("?"))).otherwise(bare).cast(to))
+
+
+def typed(raw: DataFrame, *, rounding: bool = False) -> DataFrame:
+    """The 14 columns with their types. Text that isn't a number of its type is an error (ANSI casts).
+
+    With ``rounding``, integers can be written as decimal numbers (``rounded``).
+    """
+    cast = lambda f: rounded(F.col(f.name), "int") if rounding and f.dataType == T.IntegerType() else F.col(f.name).cast(f.dataType)
+    if rounding:
+        raw = raw.withColumns({f.name: _spelled(F.col(f.name)) for f in T.StructType.fromDDL(RAW_ALIGNMENT) if f.dataType == T.DoubleType()})
+    return raw.select(*(cast(f).alias(f.name) for f in T.StructType.fromDDL(RAW_ALIGNMENT)))
 
 
 def normalised(raw: DataFrame) -> DataFrame:

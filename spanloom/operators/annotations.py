@@ -13,6 +13,8 @@ from spanloom.schemas import ANNOTATION_COLUMNS, ANNOTATION_TEXT, SUMMARISED, In
 _TITLE, _ROLE = "best_viral_title", "viral_protein_role"
 #: What the summary and the audit read of annotated targets.
 SUMMARY_INPUT = ("peak_id", "target_id", "enters_peak_end_count", "enters_peak_start_count", "has_spanning_alignment", "has_diamond_hit", "has_viral_hit", "best_hit_is_viral", *ANNOTATION_TEXT)
+#: Stored count of a peak, and the flag whose sum over its annotated targets must equal it.
+COUNT_FLAGS = {"end_target_count": "enters_peak_end_count", "start_target_count": "enters_peak_start_count", "spanning_target_count": "has_spanning_alignment"}
 _SIDES = {"end": "enters_peak_end_count", "start": "enters_peak_start_count"}
 _SIDE_COUNTS = ("target_count", "diamond_hit_target_count", "no_diamond_hit_target_count", "viral_hit_target_count", "best_hit_viral_target_count", "best_hit_not_viral_target_count", "ambiguous_viral_protein_role_target_count")
 
@@ -30,10 +32,9 @@ def annotated_targets(targets: DataFrame, annotations: DataFrame) -> DataFrame:
 
 def annotation_mismatches(peaks: DataFrame, annotated: DataFrame) -> DataFrame:
     """One row, mismatches: peaks whose annotated targets don't add up to their three counts."""
-    flags = {"end_target_count": "enters_peak_end_count", "start_target_count": "enters_peak_start_count", "spanning_target_count": "has_spanning_alignment"}
-    seen = annotated.groupBy("peak_id").agg(*(F.count_if(f).alias(f"seen_{c}") for c, f in flags.items()))
-    both = peaks.select("peak_id", *flags).join(seen, "peak_id", "left")
-    wrong = reduce(lambda a, b: a | b, (F.col(c) != F.coalesce(f"seen_{c}", F.lit(0)) for c in flags))
+    seen = annotated.groupBy("peak_id").agg(*(F.count_if(f).alias(f"seen_{c}") for c, f in COUNT_FLAGS.items()))
+    both = peaks.select("peak_id", *COUNT_FLAGS).join(seen, "peak_id", "left")
+    wrong = reduce(lambda a, b: a | b, (F.col(c) != F.coalesce(f"seen_{c}", F.lit(0)) for c in COUNT_FLAGS))
     return both.agg(F.count_if(wrong).alias("mismatches"))
 
 
@@ -140,13 +141,17 @@ def peak_annotation_summary(peaks: DataFrame, annotated: DataFrame) -> DataFrame
     return wide.select(*peaks.columns, *(_filled(c) for c in [*order, *spanning.columns[1:]]))
 
 
-def summary_mismatches(summary: DataFrame) -> DataFrame:
-    """One row, mismatches: peaks whose summary counts contradict each other."""
+def contradicted() -> Column:
+    """Whether the counts of a peak's summary contradict each other."""
     sums = [(f"{s}_target_count", [f"{s}_observed_target_count"]) for s in ("end", "start", "spanning")]
     sums += [(f"{s}_observed_target_count", [f"{s}_diamond_hit_target_count", f"{s}_no_diamond_hit_target_count"]) for s in ("end", "start", "spanning")]
     sums += [(f"{s}_diamond_hit_target_count", [f"{s}_best_hit_viral_target_count", f"{s}_best_hit_not_viral_target_count"]) for s in ("end", "start")]
-    wrong = reduce(lambda a, b: a | b, (F.col(total) != reduce(lambda x, y: x + y, map(F.col, parts)) for total, parts in sums))
-    return summary.agg(F.count_if(wrong).alias("mismatches"))
+    return reduce(lambda a, b: a | b, (F.col(total) != reduce(lambda x, y: x + y, map(F.col, parts)) for total, parts in sums))
+
+
+def summary_mismatches(summary: DataFrame) -> DataFrame:
+    """One row, mismatches: peaks whose summary counts contradict each other."""
+    return summary.agg(F.count_if(contradicted()).alias("mismatches"))
 
 
 def summary_diagnostics(summary: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.intervals import islands
 from spanloom.operators.profile import GEOMETRIES
 from spanloom.runtime import ship
 from spanloom.schemas import PROFILE_COLUMNS, PROFILE_MEASURES, InputError, require_columns
@@ -55,34 +59,78 @@ def pick(position: np.ndarray, own: np.ndarray, paired: np.ndarray, geometry: st
 _METHOD = {"local": "directional_or_overlap_within_local_region", "one_sided_end": "weighted_center", "one_sided_start": "weighted_center"}
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of sorted rows, with the places where groups begin; one group at least is held back until it ends."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def begins(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows - 1, bool)
+        for k in keys:
+            c = table.column(k).combine_chunks()
+            null = np.asarray(c.is_null())
+            new |= np.asarray(pc.fill_null(pc.not_equal(c[1:], c[:-1]), False)) | (null[1:] != null[:-1])
+        return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = tuple(batch.column(k)[-1].as_py() for k in keys)
+        held.append(batch)
+        if ends == last:
+            continue  # still the group that is held
+        last = ends
+        table = pa.Table.from_batches(held)
+        at = begins(table)
+        if len(at) > 1:
+            yield table.slice(0, int(at[-1])), at[:-1]
+        held = table.slice(int(at[-1])).to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, begins(table)
+
+
+_KINDS = {"query_id": "string", "query_length": "long", "radius_nt": "long", "score_geometry": "string", "peak_selection_rank": "long", "score_max_position": "long", "score_max_value": "long", "peak_position": "long", "peak_score": "long", **dict.fromkeys(PROFILE_MEASURES, "long")}
+
+
+def passing_islands(positions: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """Rows of the profile for each geometry whose threshold they reach: with score_geometry, own (its score) and island.
+
+    Places of a geometry that lie farther apart than the least distance of two peaks, twice the radius, can't
+    influence each other: islands are selected from one by one.
+    """
+    each = F.array_compact(F.array(*(F.when(F.col(GEOMETRIES[g]) >= n, F.struct(F.lit(g).alias("score_geometry"), F.col(GEOMETRIES[g]).cast("long").alias("own"))) for g, n in limits.items())))
+    long = positions.select(*PROFILE_COLUMNS, F.inline(each))
+    return islands(long, ["query_id", "score_geometry"], "boundary_position", F.col("radius_nt") * 2)
+
+
 def score_peaks(positions: DataFrame, limits: dict[str, int]) -> DataFrame:
     """Peaks of every geometry from profile rows (at least those that reach a threshold).
 
-    Each query's passing positions are one group of a grouped map: no more than its length. Distance
-    is twice the radius, as the rows say it.
+    The selection runs on islands: a task gets them sorted and holds one at a time. The order of selection
+    of a query and geometry is that of the maxima by score and position, whatever their islands.
     """
     ship(positions.sparkSession)
     require_columns(positions, PROFILE_COLUMNS, "profile")
-    kinds = {"query_id": "string", "query_length": "long", "radius_nt": "long", "score_geometry": "string", "peak_selection_rank": "long", "score_max_position": "long", "score_max_value": "long", "peak_position": "long", "peak_score": "long", **dict.fromkeys(PROFILE_MEASURES, "long")}
-    schema = pa.schema([(n, pa.string() if k == "string" else pa.int64()) for n, k in kinds.items()])
-
-    def select(rows: pa.Table) -> pa.Table:
-        col = {n: rows.column(n).to_numpy() for n in ("boundary_position", "directional_b_score", "overlap_b_score", *GEOMETRIES.values())}
-        order = np.argsort(col["boundary_position"], kind="stable")
-        parts = []
-        for geometry, least in limits.items():
-            some = order[col[GEOMETRIES[geometry]][order] >= least]
-            if not len(some):
-                continue
-            position, own = col["boundary_position"][some].astype(np.int64), col[GEOMETRIES[geometry]][some].astype(np.int64)
-            paired = np.maximum(col["directional_b_score"], col["overlap_b_score"])[some]
-            top, at = np.array(pick(position, own, paired, geometry, 2 * rows.column("radius_nt")[0].as_py())).T
-            stored = rows.take(pa.array(some[at]))
-            new = {"score_geometry": [geometry] * len(at), "peak_selection_rank": np.arange(1, len(at) + 1), "score_max_position": position[top], "score_max_value": own[top], "peak_position": position[at], "peak_score": own[at]}
-            parts.append(pa.table([pa.array(new[f.name], f.type) if f.name in new else stored.column(f.name).cast(f.type) for f in schema], schema=schema))
-        return pa.concat_tables(parts) if parts else schema.empty_table()
-
-    found = positions.groupBy("query_id").applyInArrow(select, ", ".join(f"{n} {k}" for n, k in kinds.items()))
+    found = {n: k for n, k in _KINDS.items() if n != "peak_selection_rank"}
+    schema = pa.schema([(n, pa.string() if k == "string" else pa.int64()) for n, k in found.items()])
+    keys = ("query_id", "score_geometry", "island")
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, begin in _groups(batches, keys):
+            position, own, directional, overlap = (rows.column(n).to_numpy().astype(np.int64) for n in ("boundary_position", "own", "directional_b_score", "overlap_b_score"))
+            paired = np.maximum(directional, overlap)
+            geometry, radius = rows.column("score_geometry").take(pa.array(begin)).to_pylist(), rows.column("radius_nt").take(pa.array(begin)).to_pylist()
+            pairs = [(lo + a, lo + b) for lo, hi, g, r in zip(begin.tolist(), [*begin[1:].tolist(), rows.num_rows], geometry, radius, strict=True) for a, b in pick(position[lo:hi], own[lo:hi], paired[lo:hi], g, 2 * r)]
+            top, at = np.array(pairs, np.int64).reshape(-1, 2).T
+            stored = rows.take(pa.array(at))
+            new = {"score_max_position": position[top], "score_max_value": own[top], "peak_position": position[at], "peak_score": own[at]}
+            yield from pa.table([pa.array(new[f.name], f.type) if f.name in new else stored.column(f.name).cast(f.type) for f in schema], schema=schema).to_batches()
+
+    dealt = passing_islands(positions, limits).repartition(*keys).sortWithinPartitions(*keys, "boundary_position")
+    found = dealt.mapInArrow(select, ", ".join(f"{n} {k}" for n, k in found.items()))
+    selected = Window.partitionBy("query_id", "score_geometry").orderBy(F.desc("score_max_value"), "score_max_position")
+    found = found.withColumn("peak_selection_rank", F.row_number().over(selected).cast("long"))
     order = Window.partitionBy("query_id", "score_geometry").orderBy("peak_position")
     named = found.withColumn("peak_index", F.row_number().over(order).cast("long"))
     end, start = ({g: c[k] for g, c in COUNTS.items()} for k in (0, 1))

@@ -104,3 +104,14 @@ def profile_audit(profile: DataFrame, summary: DataFrame) -> DataFrame:
     found = profile.agg(F.count_distinct("query_id").alias("scored_queries"), F.count("*").alias("profile_rows"))
     due = summary.agg(F.count_if("has_nonself_alignments").alias("expected_queries"), F.coalesce(F.sum("query_length"), F.lit(0)).cast("long").alias("expected_rows"))
     return found.crossJoin(due)  # one row each
+
+
+def profile_watch() -> dict[str, Column]:
+    """What tells, of a profile as it is written, that each query has a row for each coordinate: rows, queries (by their first row), and a sum by query."""
+    return {"rows": F.count(F.lit(1)), "queries": F.count_if(F.col("boundary_position") == 1), "sums": F.sum(F.xxhash64("query_id").cast("decimal(20,0)"))}
+
+
+def profile_expected(summary: DataFrame) -> dict:
+    """The same of the summary: a query's rows are its length."""
+    own = F.xxhash64("representative_contig_id").cast("decimal(20,0)") * F.col("query_length").cast("decimal(15,0)")
+    return summary.where("has_nonself_alignments").agg(F.coalesce(F.sum("query_length"), F.lit(0)).cast("long").alias("rows"), F.count("*").alias("queries"), F.sum(own).alias("sums")).first().asDict()

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.runtime import written
 from spanloom.schemas import LAYOUT_COLUMNS, LINK_COLUMNS, InputError, require_columns, require_key
 
 
@@ -137,17 +138,37 @@ def nearby_layouts(layouts: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     return out.select("peak_id", "nearby_two_sided_alternative_count", *(F.col(f"b.{c}").alias(f"best_nearby_alternative_{n}") for n, c in names.items()))
 
 
+def routes(peaks: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of end peaks and of start peaks: peak, its query, the query reached, and the target."""
+    own = links.select(*LINK_COLUMNS).distinct().join(peaks.select("peak_id", "score_geometry"), "peak_id")
+    side = lambda a, b: own.where(f"score_geometry = 'one_sided_{a}'").select(F.col("peak_id").alias(f"{a}_peak_id"), F.col("source_query_id").alias(f"{a}_query_id"), F.col("alternative_query_id").alias(f"{b}_query_id"), "target_id")
+    return side("end", "start"), side("start", "end")
+
+
+def viable_pairs(ends: DataFrame, starts: DataFrame, least: int) -> DataFrame:
+    """end_peak_id, start_peak_id, end_query_id, start_query_id of peaks that reach each other's queries by ``least`` targets each.
+
+    Only these can share as many: routes are counted before any target is joined, so a target that very many
+    queries have costs no more than its links.
+    """
+    queries = ["end_query_id", "start_query_id"]
+    enough = lambda rows, peak: rows.groupBy(peak, *queries).agg(F.count("target_id").alias("n")).where(F.col("n") >= least).drop("n")
+    return enough(ends, "end_peak_id").join(enough(starts, "start_peak_id"), queries)
+
+
 def reciprocal_pairs(peaks: DataFrame, links: DataFrame, t: Thresholds = DEFAULTS, *, check: bool = False) -> DataFrame:
     """One row for each one-sided peak with partners: an end peak of one query and a start peak of another that
     reach each other through enough shared targets. ``check`` makes sure of one row a peak first."""
     require_columns(links, LINK_COLUMNS, "alternative links")
     if check:
         require_key(peaks, "peak_id", name="peaks")
-    routes = links.select(*LINK_COLUMNS).distinct().join(peaks.select("peak_id", "score_geometry"), "peak_id")
-    ends = routes.where("score_geometry = 'one_sided_end'").select(F.col("peak_id").alias("end_peak_id"), F.col("source_query_id").alias("end_query_id"), F.col("alternative_query_id").alias("start_query_id"), "target_id")
-    starts = routes.where("score_geometry = 'one_sided_start'").select(F.col("peak_id").alias("start_peak_id"), F.col("source_query_id").alias("start_query_id"), F.col("alternative_query_id").alias("end_query_id"), "target_id")
-    shared = ends.join(starts, ["end_query_id", "start_query_id", "target_id"])
-    pairs = shared.groupBy("end_peak_id", "start_peak_id", "end_query_id", "start_query_id").agg(F.count_distinct("target_id").alias("n")).where(F.col("n") >= t.min_end_start_target_count)
+    spark = links.sparkSession
+    ends, starts = (written(spark, rows, name) for rows, name in zip(routes(peaks, links), ("end-routes", "start-routes"), strict=True))
+    viable = written(spark, viable_pairs(ends, starts, t.min_end_start_target_count), "viable-pairs")
+    keys = ["end_query_id", "start_query_id"]
+    held = [rows.join(viable, [f"{side}_peak_id", *keys], "left_semi") for side, rows in (("end", ends), ("start", starts))]
+    # A route is there once, so rows are targets.
+    pairs = held[0].join(held[1], [*keys, "target_id"]).groupBy("end_peak_id", "start_peak_id", *keys).agg(F.count("target_id").alias("n")).where(F.col("n") >= t.min_end_start_target_count)
     view = F.explode(F.array(
         F.struct(F.col("end_peak_id").alias("peak_id"), F.col("start_peak_id").alias("other"), F.col("start_query_id").alias("query")),
         F.struct(F.col("start_peak_id").alias("peak_id"), F.col("end_peak_id").alias("other"), F.col("end_query_id").alias("query")),

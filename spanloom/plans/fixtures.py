@@ -42,13 +42,12 @@ FROM (
       l_returnflag AS rf, 800 + (l_suppkey % 5) * 100 AS len,
       (l_orderkey * 7 + l_linenumber * 3) % 21 - 10 AS j,
       (l_suppkey % 8 = 4 AND l_quantity > 45) AS full_len
-    FROM {lineitem}
-    WHERE l_quantity > 25) b) g
+    FROM {lineitem}) b) g
 """
 
 REPRESENTATIVES = """
 SELECT 'Q' || CAST(s_suppkey AS STRING) AS representative_contig_id FROM {supplier}
-UNION ALL SELECT 'N' || CAST(n_nationkey AS STRING) FROM {nation} WHERE n_nationkey < 5
+UNION ALL SELECT 'N' || CAST(n_nationkey AS STRING) FROM {nation}
 """
 
 ANNOTATIONS = """
@@ -64,7 +63,7 @@ SELECT 'T' || CAST(p_partkey AS STRING) AS qseqid,
        WHEN p_size % 13 = 0 THEN 'hypothetical protein VP' || CAST(p_size AS STRING) || ' [Virus X]'
        WHEN p_partkey % 4 < 2 THEN 'RNA-dependent RNA polymerase, segment L [Virus ' || p_brand || ']'
        ELSE 'nucleocapsid protein NSs [Virus ' || p_brand || ']' END AS best_viral_title
-FROM {part} WHERE p_partkey % 10 <> 9
+FROM {part} WHERE p_type <> 'PROMO'
 """
 
 #: Variants of an alternative layout, dealt to peaks: target counts, coverage, orientation, order, two gaps.
@@ -84,7 +83,6 @@ FROM {peaks} p CROSS JOIN (VALUES
   (6, 5, 3, 0.7, 'reverse', 'start_before_end', 900, 301),
   (7, 2, 8, 0.8, 'same', 'end_before_start', 5, 900),
   (8, 6, 6, 0.8, 'same', 'other', 5, 5)) v(k, e, s, cov, orientation, ordering, linear_gap, end_gap)
-WHERE p.peak_position % 5 <> 0 AND (p.peak_position + v.k) % 3 <> 0
 """
 
 LINKS = """
@@ -95,7 +93,7 @@ WHERE ((t.score_geometry = 'one_sided_end' AND t.enters_peak_end_count)
 """
 
 QUARANTINED = """
-SELECT DISTINCT query_id AS contig_id FROM {alignments} WHERE CAST(SUBSTRING(query_id, 2) AS INT) % 3 = 0
+SELECT query_id AS contig_id FROM {alignments} GROUP BY query_id HAVING max(query_length) = 800
 """
 
 LOOKUP = """
@@ -111,6 +109,28 @@ FROM {orders}
 """
 
 
+#: Numbers as text, in spellings that only rounding casts take.
+ROUGH_ALIGNMENTS = """
+SELECT 'Q' || CAST(l_suppkey AS STRING) AS query_id, 'T' || CAST(l_partkey AS STRING) AS target_id,
+  ' 9' || CAST(l_linenumber AS STRING) || '.5 ' AS identity_pct,
+  CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING) AS aligned_length,
+  CAST(l_partkey AS STRING) || 'e' || CAST(l_linenumber % 3 AS STRING) AS query_start,
+  ' +' || CAST(l_suppkey AS STRING) || '.50 ' AS query_end, '-.' || CAST(l_linenumber AS STRING) AS query_length,
+  CAST(l_linenumber AS STRING) || '_000' AS target_start, CAST(l_linenumber AS STRING) || '5e-1' AS target_end,
+  '00' || CAST(l_linenumber AS STRING) || '.' AS target_length, '1_0.5e-1' AS query_coverage, '.5' AS target_coverage,
+  '1e-' || CAST(l_linenumber AS STRING) AS evalue, CAST(l_orderkey AS STRING) || '.25' AS bitscore
+FROM {lineitem}
+"""
+
+#: Without two columns; ids are missing or stand twice.
+BROKEN_ANNOTATIONS = """
+SELECT CASE WHEN p_size > 45 THEN NULL ELSE 'T' || CAST(CAST(FLOOR(p_partkey / 2.0) AS BIGINT) AS STRING) END AS qseqid,
+  p_size > 10 AS has_viral_hit, p_size > 20 AS best_hit_is_viral, 'Viruses' AS best_domain, p_brand AS best_family, p_brand AS best_genus,
+  p_brand AS best_viral_family, p_brand AS best_viral_genus, p_type AS best_viral_species, p_name AS best_viral_title
+FROM {part}
+"""
+
+
 def run(spark: SparkSession, sql: str, sf_dir: str, **more) -> DataFrame:
     """The SQL over the tables that it names."""
     names = {n for n in ("lineitem", "supplier", "nation", "part", "orders") if "{" + n + "}" in sql}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +18,13 @@ from spanloom.operators import peaks as pk
 from spanloom.operators import profile as pr
 from spanloom.operators import rules as ru
 from spanloom.operators import targets as tg
+from spanloom.operators.audits import sums_expected, sums_watch
 from spanloom.plans import fixtures as fx
-from spanloom.plans.screen import Publisher, run_screen
+from spanloom.plans.publish import Publisher, current
+from spanloom.plans.screen import input_faults, run_screen
 from spanloom.runtime import fresh_path, table, written
 from spanloom.schemas import key_faults
+from spanloom.sources import blocked
 from spanloom.sources import readers as rd
 
 LIMITS = pk.thresholds()
@@ -171,6 +174,85 @@ def _quarantine_file(s: Stages) -> DataFrame:
     return rd.read_id_list(s.spark, place).select("contig_id")
 
 
+def _blocked_file(s: Stages) -> str:
+    """The alignments as blocked gzip files, a part a task."""
+    place = fresh_path(s.spark, "files") + "/alignments.tsv.gz"
+    blocked.write_lines(s.raw.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in s.raw.columns))), place)
+    return place
+
+
+def _representative_parts(s: Stages) -> DataFrame:
+    """kind, value: ids of a folder of FASTA parts, and the parts of another folder that begin with a sequence."""
+    rows = s.fixture(fx.REPRESENTATIVES).withColumn("part", F.length("representative_contig_id"))
+
+    def folder(record) -> str:
+        place = fresh_path(s.spark, "files") + "/parts.fa"
+        rows.select(record.alias("value"), "part").repartition("part").write.partitionBy("part").text(place)
+        return place
+
+    header = F.concat(F.lit(">"), "representative_contig_id", F.lit("\nACGT"))
+    good, bad = folder(header), folder(F.when(F.col("part") > 3, F.concat(F.lit("ACGT\n"), header)).otherwise(header))
+    ids = rd.read_fasta_ids(s.spark, good).select(F.lit("id").alias("kind"), F.col("representative_contig_id").alias("value"))
+    return ids.unionByName(rd.early_sequences(s.spark, bad).select(F.lit("early").alias("kind"), F.regexp_extract("file", r"part=(\d+)", 1).alias("value")))
+
+
+def _sink_orders(s: Stages) -> DataFrame:
+    """table_name, position, key of the sorted tables and the id list of a whole run, as they stand in their files."""
+    version = _screened(s)["version"]
+    keys = {"tables/peak_targets": ("peak_id", "target_id"), "tables/peak_target_annotations": ("peak_id", "target_id"), "tables/peak_annotation_summary": ("peak_id",), "decisions/peak_decisions": ("peak_id",), "decisions/representative_actions": ("query_id",), "representative_actions": ("query_id",)}
+    tables = [rd.read_in_order(s.spark, f"{version}/{name}.parquet").select(F.lit(name).alias("table_name"), "position", F.concat_ws("/", *key).alias("key")) for name, key in keys.items()]
+    ids = rd.read_id_list(s.spark, f"{version}/decisions/quarantine_query_ids.txt")
+    return reduce(DataFrame.unionByName, tables, ids.select(F.lit("decisions/quarantine_query_ids").alias("table_name"), F.col("line_number").alias("position"), F.col("contig_id").alias("key")))
+
+
+def _audits(s: Stages) -> DataFrame:
+    """audit, n_rows, agrees: what is seen of tables while they are written, against what it should be; of the last, some rows are lost."""
+    publish = Publisher(s.spark, fresh_path(s.spark, "published"))
+    rows = {"rows": F.count(F.lit(1))}
+    due = {
+        "profile": (s.profile, pr.profile_watch(), pr.profile_expected(s.summary)),
+        "peak_targets": (s.targets, sums_watch(tg.COUNT_FLAGS), sums_expected(s.peaks, tg.COUNT_FLAGS)),
+        "annotated_targets": (s.annotated, sums_watch(an.COUNT_FLAGS), sums_expected(s.peaks, an.COUNT_FLAGS)),
+        "peak_summary": (s.described, {"mismatches": F.count_if(an.contradicted())}, {"mismatches": 0}),
+        "damaged_targets": (s.targets.where("NOT endswith(target_id, '7')"), sums_watch(tg.COUNT_FLAGS), sums_expected(s.peaks, tg.COUNT_FLAGS)),
+    }
+    out = []
+    for name, (df, watch, expected) in due.items():
+        publish.table(f"{name}.parquet", df, watch=watch | rows)
+        seen = publish.seen[f"{name}.parquet"]
+        out.append((name, seen["rows"], all((seen[k] or 0) == (v or 0) for k, v in expected.items())))
+    return s.spark.createDataFrame(out, "audit string, n_rows long, agrees boolean")
+
+
+def _input_faults(s: Stages) -> DataFrame:
+    folder = fresh_path(s.spark, "files")
+    s.fixture(fx.BROKEN_ANNOTATIONS).write.parquet(f"{folder}/notes.parquet")
+    s.raw.write.parquet(f"{folder}/hits.parquet")
+    return input_faults(s.spark, annotations=f"{folder}/notes.parquet", alignments=f"{folder}/hits.parquet")
+
+
+def _versions(s: Stages) -> DataFrame:
+    """step, n_rows: what a reader finds when results are published, refused, written again, given up and published again."""
+    folder, name = fresh_path(s.spark, "published"), "t.parquet"
+    seen: list[tuple[str, int]] = []
+    look = lambda step: seen.append((step, s.spark.read.parquet(f"{current(s.spark, folder)}/{name}").count()))
+    first = Publisher(s.spark, folder)
+    first.table(name, table(s.spark, s.sf_dir, "lineitem"))
+    first.publish()
+    look("published")
+    try:
+        Publisher(s.spark, folder)
+    except FileExistsError:
+        look("refused")
+    for step in ("given up", "published again"):
+        again = Publisher(s.spark, folder, force=True)
+        again.table(name, table(s.spark, s.sf_dir, "orders"))
+        look(f"{step}: written")
+        again.abandon() if step == "given up" else again.publish()
+        look(step)
+    return s.spark.createDataFrame(seen, "step string, n_rows long")
+
+
 _DESCRIBED = ("peak_id", "nearby_two_sided_alternative_count", "best_nearby_alternative_query_id", "best_nearby_alternative_gap_kind", "best_nearby_alternative_gap_nt", "reciprocal_one_sided_pair_count", "maximum_reciprocal_shared_target_count", "reciprocal_one_sided_peak_ids", "reciprocal_one_sided_query_ids", "rule_nearby_two_sided_alternative", "rule_reciprocal_one_sided_pair", "peak_action", "decision_reason")
 
 
@@ -235,6 +317,13 @@ QUERIES: dict[str, Callable[[Stages], DataFrame]] = {
     "peak_decisions_described": lambda s: flat(ru.peak_decisions(s.described, s.layouts, s.links).select(*_DESCRIBED)),
     "screen_run": lambda s: flat(s.spark.read.parquet(_screened(s)["representative_actions"])),
     "screen_manifest": lambda s: _counts(s.spark, _screened(s)),
+    "alignment_blocked": lambda s: al.typed(rd.read_alignment_text(s.spark, _blocked_file(s))),
+    "rounded_casts": lambda s: al.typed(s.fixture(fx.ROUGH_ALIGNMENTS), rounding=True),
+    "representative_parts": _representative_parts,
+    "input_faults": _input_faults,
+    "sink_orders": _sink_orders,
+    "audits_while_writing": _audits,
+    "published_versions": _versions,
     "coverage_counts": lambda s: iv.coverage_counts(s.fixture(fx.ORDER_SPANS), "axis", "member", "length"),
     "dominant_value": lambda s: an.dominant_value(table(s.spark, s.sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_partkey"), ["l_suppkey"], "l_returnflag", "l_partkey"),
 }

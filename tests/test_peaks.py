@@ -4,11 +4,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from spanloom.operators import intervals as iv
 from spanloom.operators import peaks as pk
 from spanloom.operators import profile as pr
 from spanloom.operators import targets as tg
-from spanloom.schemas import InputError
+from spanloom.schemas import PROFILE_MEASURES, InputError
 
 
 def plain(rows, geometry, d):
@@ -85,3 +87,41 @@ def test_no_peaks_keep_their_schema(spark):
     none = pk.score_peaks(pr.boundary_profile(alignments, 50), {"local": 999})
     assert none.count() == 0 and none.schema == peaks.schema
     assert tg.peak_targets(none, alignments).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, iv.BLOCK])
+def test_islands(spark, block):
+    rng = random.Random(block)
+    rows = [(g, p, 5) for g in ("a", "b", None) for p in sorted(rng.sample(range(1, 500), 90))]
+    df = spark.createDataFrame(rows, "g string, p int, d int")
+    got = {(r.g, r.p): r.island for r in iv.islands(df, ["g"], "p", F.col("d"), block).collect()}
+    want, before = {}, None
+    for g, p, d in rows:
+        want[g, p] = want[before] if before and before[0] == g and p - before[1] <= d else p
+        before = (g, p)
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [64, iv.BLOCK])
+def test_peaks_of_islands_are_those_of_the_whole_axis(spark, monkeypatch, block):
+    monkeypatch.setattr(iv.islands, "__defaults__", (block,))
+    rng, radius, rows = random.Random(8), 6, []
+    for q, n in (("a", 900), ("b", 120), (None, 300)):
+        p = 0
+        while (p := p + rng.choice([1, 1, 1, 2, 9, 12, 13, 14, 40])) < n:
+            score = [rng.randint(0, 4) for _ in range(5)]
+            rows.append((q, n, p, radius, rng.randint(0, 9), rng.randint(0, 9), score[0], rng.randint(0, 9), rng.randint(0, 9), score[1], rng.randint(0, 9), rng.randint(0, 9), score[2], rng.randint(0, 9), rng.randint(0, 9), score[3], score[4], 1))
+    schema = ", ".join(f"{c} {'string' if c == 'query_id' else 'long'}" for c in ("query_id", "query_length", "boundary_position", "radius_nt", *PROFILE_MEASURES))
+    limits = pk.thresholds(one_sided=2)
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    got = {(r.query_id, r.score_geometry, r.peak_selection_rank): (r.score_max_position, r.peak_position) for r in pk.score_peaks(df, limits).collect()}
+    names = [x.split()[0] for x in schema.split(", ")]
+    want = {}
+    for q in ("a", "b", None):
+        for g, least in limits.items():
+            own = [dict(zip(names, r, strict=True)) for r in rows if r[0] == q]
+            some = [(r["boundary_position"], r[pr.GEOMETRIES[g]], max(r["directional_b_score"], r["overlap_b_score"])) for r in own if r[pr.GEOMETRIES[g]] >= least]
+            want |= {(q, g, k): x for k, x in enumerate(plain(some, g, 2 * radius), 1)}
+    assert got == want
+    sizes = pk.passing_islands(df, limits).groupBy("query_id", "score_geometry", "island").count()
+    assert sizes.agg({"count": "max"}).first()[0] < 60 and sizes.count() > 30

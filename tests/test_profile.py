@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanloom.operators import intervals as iv
@@ -145,3 +147,42 @@ def test_peak_targets_of_a_hot_query(spark, monkeypatch, peaks, hot):
         assert r.contributes_local_start == any(abs(x[2] - int(b)) <= 10 for x in own)
     if peaks == 3:
         assert {r.query_id for r in tg.hot_queries(alignments).collect()} >= {"hot"}
+
+
+def test_one_axis_of_ten_million_points(spark):
+    """Blocks of a long axis are groups of their own, and their sums go on from block to block."""
+    n, k = 10_000_000, 60_000
+    rng = np.random.default_rng(4)
+    left, size, who = rng.integers(-50, n + 50, k), rng.integers(-3, 20_000, k), rng.integers(0, 30_000, k)
+    df = spark.createDataFrame(pa.table({"axis": ["a"] * k, "member": who, "l": left, "r": left + size, "length": [n] * k}))
+    got = iv.coverage_runs(df, "axis", "member", "length").toArrow().sort_by("first")
+    first, last, count = (got.column(c).to_numpy() for c in ("first", "last", "n_members"))
+    assert (first[0], last[-1]) == (1, n) and (first[1:] == last[:-1] + 1).all()
+    # By hand: intervals of a member, one after the other, and one difference array.
+    change, order = np.zeros(n + 2, np.int64), np.lexsort((left, who))
+    reach, of = 0, None
+    for i in order.tolist():
+        a, b = max(left[i], 1), min(left[i] + size[i], n)
+        if who[i] != of:
+            of, reach = who[i], 0
+        a = max(a, reach + 1)
+        if b >= a:
+            change[a] += 1
+            change[b + 1] -= 1
+            reach = b
+    assert (np.repeat(count, last - first + 1) == np.cumsum(change)[1 : n + 1]).all()
+
+
+@pytest.mark.parametrize("block", [1, 3, 50, iv.BLOCK])
+def test_blocks_of_any_size(spark, block):
+    """Axes, also a null one, whose points fall into few or many blocks."""
+    rng = random.Random(block)
+    points = [(axis, at, 40 if at == 1 else None, rng.randint(-2, 2)) for axis in ("a", "b", None) for at in [1, *sorted(rng.sample(range(2, 300), 25))]]
+    got = {(r.axis, r.first): (r.length, r.last, r.n) for r in iv.swept(spark.createDataFrame(points, "axis string, at int, length int, d_n int"), ["axis"], ("n",), block).collect()}
+    want = {}
+    for axis in ("a", "b", None):
+        own, total = [p for p in points if p[0] == axis], 0
+        for p, after in zip(own, [*own[1:], None], strict=True):
+            total += p[3]
+            want[axis, p[1]] = (40, after and after[1] - 1, total)
+    assert got == want

@@ -136,3 +136,20 @@ def test_links_take_all_queries(spark):
     assert {tuple(r) for r in links.collect()} == {(f"p{q}", q, t, o) for q in ids for o in ids if o != q for t in held[q] & held[o]}
     got = {r.peak_id: (r.reciprocal_one_sided_peak_ids, r.maximum_reciprocal_shared_target_count) for r in ru.reciprocal_pairs(targets.select("peak_id", "score_geometry").distinct(), links).collect()}
     assert got == {f"p{q}": ([f"p{ids[n ^ 1]}"], 3) for n, q in enumerate(ids)}
+
+
+def test_a_target_of_ten_thousand_queries(spark):
+    """Routes over one shared target alone are counted and dropped before targets are joined."""
+    n, near = 10_000, 12
+    kind = lambda k: ("end", "start")[k % 2]
+    peaks = spark.createDataFrame([(f"p{k}", f"one_sided_{kind(k)}") for k in range(n)], "peak_id string, score_geometry string")
+    rows = [(f"p{k}", f"q{k}", "hot", f"q{(k + d) % n}") for k in range(n) for d in range(-near, near + 1) if d]
+    true = range(0, n, 500)  # these share three targets with the next
+    rows += [(f"p{a}", f"q{a}", f"t{k}_{j}", f"q{b}") for k in true for a, b in ((k, k + 1), (k + 1, k)) for j in range(2)]
+    # An end peak that reaches three targets of a query that doesn't reach back, and one with others' targets.
+    rows += [("p10", "q10", f"x{j}", "q21") for j in range(2)] + [("p20", "q20", f"y{j}", "q31") for j in range(2)] + [("p31", "q31", f"z{j}", "q20") for j in range(2)]
+    links = spark.createDataFrame(rows, "peak_id string, source_query_id string, target_id string, alternative_query_id string")
+    viable = ru.viable_pairs(*ru.routes(peaks, links), 3)
+    assert {(r.end_peak_id, r.start_peak_id) for r in viable.collect()} == {(f"p{k}", f"p{k + 1}") for k in true} | {("p20", "p31")}
+    got = {r.peak_id: (r.reciprocal_one_sided_peak_ids, r.maximum_reciprocal_shared_target_count) for r in ru.reciprocal_pairs(peaks, links.union(links)).collect()}
+    assert got == {f"p{a}": ([f"p{b}"], 3) for k in true for a, b in ((k, k + 1), (k + 1, k))}
