@@ -5,9 +5,9 @@
    above. The number of cells follows the length of all texts, so a block holds much the same at any size.
 2. Candidates: phrases whose cell holds ``least`` or more. The cells are sent to the tasks ``CELLS`` at a
    time, a pass over the texts each.
-3. Counts: candidates are compiled to automata, ``PHRASES`` at a time, of phrases between delimiters. Each
-   task scans its texts for all overlapping matches; the counts are added up and only then compared with
-   ``least``, so the sketch decides nothing.
+3. Counts: candidates are compiled to automata, ``PHRASES`` at a time, each between two spaces. Each task
+   scans its texts, whose words stand between single spaces, for all overlapping matches; the counts are
+   added up and only then compared with ``least``, so the sketch decides nothing.
 4. Scores by joins of the counts with themselves, in integers of 38 digits.
 
 Words are runs of other characters than space and tab, A-Z lower-cased, in pieces between ``.,;:!?`` and
@@ -30,30 +30,33 @@ from pyspark.sql import functions as F
 from spanloom.llm.arrow import batch_of, map_batches, ready, text_of
 from spanloom.llm.hashing import CHUNK, code_points, groups, mix, span_hashes
 from spanloom.llm.lookup import Sorted
-from spanloom.runtime import Scratch, written
+from spanloom.runtime import Scratch, plan_bytes, written
 
 #: Words of a phrase at most.
 WORDS = 4
 LEAST, SHARE, TOP = 30, 80, 2000
-#: Characters of text for a cell of the sketch, as a power of two (a text has about a word for 6 characters).
-CELL_CHARS = 2
+#: Cells of the sketch for a character of text, as a power of two. A character gives some 0.6 phrases, so few cells are shared.
+CELLS_CHAR = 2
 #: Cells of a block, as a power of two.
-BLOCK = 16
+BLOCK = 20
 #: Phrases that a task counts before it hands them on.
 HELD = 1 << 22
 #: Cells (8 bytes each) that are sent to all tasks at once, and phrases of the automata that a worker holds.
-CELLS, PHRASES = 1 << 21, 100_000
+CELLS, PHRASES = 1 << 21, 250_000
+#: Bytes of input of a task that hands on phrases: the fewer tasks, the fewer copies of a phrase.
+TASK = 256 << 20
 #: Phrases of a language that one task ranks.
 RANKED = 1 << 18
 
-_FOLD = {c: c + 32 for c in range(65, 91)} | dict.fromkeys(map(ord, ".,;:!?\n\x0b\x0c\r"), "\n") | {9: " "}
-_GAP, _END = re.compile("  +"), re.compile(" ?\n[ \n]*")
+#: By byte; those of other characters stay as they are.
+_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
+_GAP, _END = re.compile(b"  +"), re.compile(b" ?\n[ \n]*")
 _STEP = 0xC2B2AE3D27D4EB4F
 
 
 def folded(text: str) -> str:
     """The words of a text between single spaces, its pieces between `` \\n ``; a space at either end, or ``\\n`` there."""
-    return _END.sub(" \n ", _GAP.sub(" ", f" {text.translate(_FOLD)} "))
+    return _END.sub(b" \n ", _GAP.sub(b" ", b" %b " % text.encode().translate(_FOLD))).decode()
 
 
 def _seed(lang: str) -> int:
@@ -73,12 +76,15 @@ class Phrases:
         self.word = span_hashes(codes, self.starts, self.ends, seed=0)
         self.seed = np.uint64(_seed(lang) * 0x9E3779B97F4A7C15 % (1 << 64))
 
-    def hashes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The first word of each phrase of n words, and its hash."""
+    def hashes(self, n: int, inner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The first word of each phrase of n words, and its hash. ``inner``: where phrases of n - 1 words begin that may be part of it; by default all."""
         count = len(self.word) - n + 1
         if count <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        at = np.flatnonzero(self.piece[: count] == self.piece[n - 1 :])
+        whole = self.piece[:count] == self.piece[n - 1 :]
+        if inner is not None:
+            whole &= inner[:count] & inner[1 : count + 1] if n > 1 else inner
+        at = np.flatnonzero(whole)
         total, power = np.full(len(at), self.seed), 1
         for k in range(n):
             total = total + self.word[at + k] * np.uint64(power)
@@ -114,7 +120,28 @@ def _parts(text: str) -> Iterator[str]:
 def _bits(docs: DataFrame) -> int:
     """Bits of a cell's number."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return max(BLOCK, int(chars >> CELL_CHARS).bit_length() + 1)
+    return max(BLOCK, int(chars << CELLS_CHAR).bit_length())
+
+
+def _tasks(df: DataFrame) -> DataFrame:
+    """In one partition for each ``TASK`` bytes of input, two for each core at least."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-plan_bytes(df) // TASK)))
+
+
+class Cells:
+    """Some cells of the sketch."""
+
+    def __init__(self, cells: np.ndarray, bits: int):
+        self.shift, keys = np.uint64(64 - bits), mix(cells)
+        self.table, self.some = Sorted(keys), np.zeros(1 << 24, bool)
+        self.some[keys >> np.uint64(40)] = True  # most other cells end here
+
+    def hold(self, hashes: np.ndarray) -> np.ndarray:
+        keys = mix(hashes >> self.shift)
+        out = self.some[keys >> np.uint64(40)]
+        near = np.flatnonzero(out)
+        out[near] = self.table.find(keys[near]) >= 0
+        return out
 
 
 def frequent_cells(docs: DataFrame, bits: int, least: int) -> DataFrame:
@@ -126,7 +153,7 @@ def frequent_cells(docs: DataFrame, bits: int, least: int) -> DataFrame:
         cell, n = np.unique(np.concatenate(held), return_counts=True)
         edge = np.flatnonzero(np.diff(cell >> block, prepend=np.uint64(1 << 63)))
         edge = np.append(edge, len(cell))
-        low, n = (cell & np.uint64((1 << BLOCK) - 1)).astype(np.uint16), np.minimum(n, least).astype(np.uint8 if least < 256 else np.uint32)
+        low, n = (cell & np.uint64((1 << BLOCK) - 1)).astype(np.uint32), np.minimum(n, least).astype(np.uint8 if least < 256 else np.uint32)
         for lo in range(0, len(edge) - 1, 1 << 12):
             e = edge[lo : lo + (1 << 12) + 1].tolist()
             yield pa.RecordBatch.from_arrays([pa.array((cell[e[:-1]] >> block).astype(np.int64)), *(pa.array([x[a:b].tobytes() for a, b in zip(e, e[1:], strict=False)], pa.binary()) for x in (low, n))], names=["block", "low", "n"])
@@ -146,7 +173,7 @@ def frequent_cells(docs: DataFrame, bits: int, least: int) -> DataFrame:
 
     def add_up(rows: pa.Table) -> pa.Table:
         # A count is held at ``least``, so that it fits a byte: a sum reaches it all the same.
-        low = np.frombuffer(b"".join(rows.column("low").to_pylist()), np.uint16)
+        low = np.frombuffer(b"".join(rows.column("low").to_pylist()), np.uint32)
         n = np.frombuffer(b"".join(rows.column("n").to_pylist()), np.uint8 if least < 256 else np.uint32)
         some = np.flatnonzero(np.bincount(low, n, 1 << BLOCK) >= least)
         return pa.table({"cell": pa.array((rows.column("block")[0].as_py() << BLOCK) + some)})
@@ -155,14 +182,13 @@ def frequent_cells(docs: DataFrame, bits: int, least: int) -> DataFrame:
     return blocks.groupBy("block").applyInArrow(add_up, "cell long")
 
 
-def candidates(docs: DataFrame, cells: DataFrame, bits: int) -> DataFrame:
-    """lang, phrase, n: phrases in these cells (sent to all tasks) and how many words they have, some of them more than once; with a null phrase, words of texts."""
+def candidates(docs: DataFrame, cells: DataFrame, bits: int, every: bool = True) -> DataFrame:
+    """lang, phrase, n: phrases in these cells (sent to all tasks) and how many words they have, some of them more than once; with a null phrase, words of texts. ``every``: whether these are all frequent cells."""
     shared = docs.sparkSession.sparkContext.broadcast(cells.toArrow().column("cell").to_numpy().astype(np.uint64))
-    shift = np.uint64(64 - bits)
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen, words = Sorted(mix(shared.value)), set(), Counter()
+        table, seen, words = Cells(shared.value, bits), set(), Counter()
         for batch in batches:
             out: list[tuple[str, str, int]] = []
             for lang, texts in _by_language(batch):
@@ -170,11 +196,15 @@ def candidates(docs: DataFrame, cells: DataFrame, bits: int) -> DataFrame:
                 words[lang] += len(phrases.word)
                 if len(seen) > HELD // 4:
                     seen.clear()
+                held = None
                 for k in range(1, WORDS + 1):
-                    at, h = phrases.hashes(k)
-                    hit = table.find(mix(h >> shift)) >= 0
-                    h, first = np.unique(h[hit], return_index=True)
-                    for x, i in zip(h.tolist(), at[hit][first].tolist(), strict=True):
+                    # What is frequent has frequent parts. With some of the cells only, its parts may be in others.
+                    at, h = phrases.hashes(k, held if every else None)
+                    hit = table.hold(h)
+                    at, h, held = at[hit], h[hit], np.zeros(len(phrases.word), bool)
+                    held[at] = True
+                    h, first = np.unique(h, return_index=True)
+                    for x, i in zip(h.tolist(), at[first].tolist(), strict=True):
                         if x not in seen:
                             seen.add(x)
                             out.append((lang, phrases.text(i, k), k))
@@ -182,37 +212,43 @@ def candidates(docs: DataFrame, cells: DataFrame, bits: int) -> DataFrame:
             yield batch_of(schema, lang=lang, phrase=phrase, n=n)
         yield batch_of(schema, lang=list(words), phrase=[None] * len(words), n=list(words.values()))
 
-    return map_batches(docs, run, "lang string, phrase string, n long")
+    return map_batches(_tasks(docs), run, "lang string, phrase string, n long")
 
 
-def scanned(docs: DataFrame, phrases: dict[tuple[str, int], list[str]]) -> DataFrame:
-    """lang, part, k, a: matches of the k-th phrase of each (lang, part) in the texts of that language."""
-    shared = docs.sparkSession.sparkContext.broadcast(phrases)
-    schema = pa.schema([("lang", pa.string()), ("part", pa.int64()), ("k", pa.int64()), ("a", pa.int64())])
+class Automaton:
+    """Counts of phrases in folded texts."""
 
-    def automaton(phrases: list[str]):
+    def __init__(self, phrases: list[str]):
         import ahocorasick
 
-        out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.found, self.total = ahocorasick.Automaton(ahocorasick.STORE_INTS), np.zeros(len(phrases), np.int64)
         for k, phrase in enumerate(phrases):
-            out.add_word(f" {phrase} ", k)
-        out.make_automaton()
-        return out
+            self.found.add_word(f" {phrase} ", k)
+        self.found.make_automaton()
+
+    def count(self, text: str) -> None:
+        """Add all matches, overlapping ones too."""
+        self.total += np.bincount(np.fromiter((k for _, k in self.found.iter(text)), np.int64), minlength=len(self.total))
+
+
+def scanned(docs: DataFrame, phrases: dict[tuple[str, int], list[str]]) -> DataFrame:
+    """lang, part, k, a: matches of the k-th phrase of each (lang, part) in the texts of that language."""
+    shared = docs.sparkSession.sparkContext.broadcast(phrases)
+    schema = pa.schema([("lang", pa.string()), ("part", pa.int64()), ("k", pa.int64()), ("a", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = {key: automaton(held) for key, held in shared.value.items()}
-        total = {key: np.zeros(len(held), np.int64) for key, held in shared.value.items()}
+        made = {key: Automaton(held) for key, held in shared.value.items()}
         for batch in batches:
             for lang, texts in _by_language(batch):
-                joined = "\n".join(texts)
+                text = "\n".join(texts)
                 for key, found in made.items():
                     if key[0] == lang:
-                        total[key] += np.bincount(np.fromiter((k for _, k in found.iter(joined)), np.int64), minlength=len(total[key]))
-        for (lang, part), n in total.items():
-            k = np.flatnonzero(n)
-            yield batch_of(schema, lang=[lang] * len(k), part=pa.array(np.full(len(k), part)), k=pa.array(k), a=pa.array(n[k]))
+                        found.count(text)
+        for (lang, part), found in made.items():
+            k = np.flatnonzero(found.total)
+            yield batch_of(schema, lang=[lang] * len(k), part=pa.array(np.full(len(k), part)), k=pa.array(k), a=pa.array(found.total[k]))
 
-    some = map_batches(docs.where(F.col("lang").isin(*{key[0] for key in phrases})), run, "lang string, part long, k long, a long")
+    some = map_batches(_tasks(docs.where(F.col("lang").isin(*{key[0] for key in phrases}))), run, "lang string, part long, k long, a long")
     return some.groupBy("lang", "part", "k").agg(F.sum("a").alias("a"))
 
 
@@ -243,7 +279,7 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, *, least: int = LEAST, cell
     found = scratch(frequent_cells(docs, bits, least), "sketch-cells")
     passes = max(1, -(-found.count() // cells))
     own = lambda k: found if passes == 1 else found.where(F.pmod(F.xxhash64("cell"), F.lit(passes)) == k)
-    rows = [scratch(candidates(docs, own(k), bits), "phrase-rows") for k in range(passes)]
+    rows = [scratch(candidates(docs, own(k), bits, passes == 1), "phrase-rows") for k in range(passes)]
     words = rows[0].where("phrase IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     every = scratch(_union(rows).where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.first("n").cast("int").alias("words")), "phrase-texts")
     # Parts of a language of some ``phrases`` phrases, numbered within.
@@ -254,8 +290,9 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, *, least: int = LEAST, cell
     matches = []
     for group in _shifts(sizes, phrases):
         taken: dict[tuple[str, int], list[str]] = {key: [""] * sizes[key] for key in group}
-        for r in numbered.where(reduce(Column.__or__, ((F.col("lang") == lang) & (F.col("part") == part) for lang, part in group))).toLocalIterator():
-            taken[r.lang, r.part][r.k] = r.phrase
+        some = numbered.where(reduce(Column.__or__, ((F.col("lang") == lang) & (F.col("part") == part) for lang, part in group)))
+        for lang, part, k, phrase in zip(*(c.to_pylist() for c in some.select("lang", "part", "k", "phrase").toArrow().columns), strict=True):
+            taken[lang, part][k] = phrase
         matches.append(scratch(scanned(docs, taken), "phrase-matches"))
     none = numbered.select("lang", "part", "k", F.lit(0).cast("long").alias("a")).limit(0)
     counts = numbered.join(_union(matches or [none]).where(F.col("a") >= least), ["lang", "part", "k"])

@@ -75,11 +75,15 @@ def test_scores_beyond_64_bits(spark):
     assert [tuple(r) for r in co.scored(counts).collect()] == [("en", "a b", big - 7, big, big - 1, 2000000 * (big - 7) // (2 * big - 1))]
 
 
-def test_the_sketch_bounds_every_count(spark):
+@pytest.mark.parametrize("block", [8, 20])
+def test_the_sketch_bounds_every_count(spark, monkeypatch, block):
     """Even with cells that many phrases share, no frequent phrase is lost."""
+    monkeypatch.setattr(co, "BLOCK", block)
     docs = spark.createDataFrame(corpus(4), "lang string, text string").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    few = {r.cell for r in co.frequent_cells(docs, co.BLOCK, 3).collect()}
-    got = {(r.lang, r.phrase) for r in co.candidates(docs, co.frequent_cells(docs, co.BLOCK, 3), co.BLOCK).collect() if r.phrase is not None}
+    cells = co.frequent_cells(docs, co.BLOCK, 3).cache()
+    few = {r.cell for r in cells.collect()}
+    got, rest = ({(r.lang, r.phrase) for r in co.candidates(docs, cells, co.BLOCK, every).collect() if r.phrase is not None} for every in (True, False))
+    assert got <= rest
     every = defaultdict(Counter)
     for lang, text in docs.collect():
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.translate(LOW)):
