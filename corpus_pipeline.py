@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import langid, minhash, packing, pii, tiling
+from spanloom.llm.arrow import fresh_name
 from spanloom.runtime import settled, table, written
 
 
@@ -23,25 +24,44 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.accepted(docs, model)
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """Ids that are sent to all tasks if they are few enough (counted first)."""
+    return F.broadcast(ids) if ids.limit(minhash.BROADCAST_IDS + 1).count() <= minhash.BROADCAST_IDS else ids
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
 
-    Rows of one id are one document, and those of one text one row. Null and empty texts and rows without
-    an id stay; an empty table gives no rows.
+    Of a group the smallest id stays; rows of one id and one text are one row. If an id stands with several
+    texts, each row is a document of its own and a group's first row stays. Null and empty texts stay, once
+    for each id, and so do all rows without an id; an empty table gives no rows.
     """
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    ids = written(spark, docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(h).alias("low"), F.max(h).alias("high"), F.count("*").alias("n")).where("n > 1"), "repeated-ids")
+    if ids.where("low <> high").limit(1).count():
+        return _rows_near_dedup(spark, docs)
     rows = written(spark, minhash.near_duplicates(docs, shingle=5, percent=80).select("doc_id", "kept"), "near-duplicates")
-    gone = rows.where("NOT kept").select("doc_id").distinct()
-    twice = rows.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-
-    def small(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if ids.limit(minhash.BROADCAST_IDS + 1).count() <= minhash.BROADCAST_IDS else ids
-
-    out = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    out = docs.join(_few(rows.where("NOT kept").select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    twice = ids.select("doc_id")
     if not twice.limit(1).count():
         return out
     # Rows of one id and one text are one document.
-    once = out.join(small(twice), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return out.join(small(twice), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    once = out.join(_few(twice), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return out.join(_few(twice), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+
+
+def _rows_near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The same, by rows: ids don't tell the documents apart."""
+    row = fresh_name("row", docs.columns)
+    numbered = written(spark, docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+    named = numbered.where("doc_id IS NOT NULL")
+    found = minhash.near_duplicates(named, shingle=5, percent=80, id_col=row)
+    rows = written(spark, found.select(F.col("doc_id").alias(row), "kept", "n_shingles"), "near-duplicates")
+    out = numbered.join(_few(rows.where("NOT kept").select(row)), row, "left_anti")
+    # Empty texts are linked with nothing: those of one id are one.
+    blank = out.where("doc_id IS NOT NULL").join(rows.where("n_shingles = 0").select(row), row, "left_semi").groupBy("doc_id", "text").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = out.where("doc_id IS NOT NULL").join(blank.select(F.col("doc_id").alias("__id"), F.col("text").alias("__blank"), "first"), (F.col("doc_id") == F.col("__id")) & F.col("text").eqNullSafe(F.col("__blank")) & (F.col(row) > F.col("first"))).select(row)
+    return out.join(_few(again), row, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -202,12 +202,27 @@ _RESULT = {"item_id": pa.int64(), "n_tiles": pa.int64(), "matched_words": pa.int
 _RESULT_DDL = "item_id long, n_tiles long, matched_words long, item_words long, coverage double, spans string"
 
 
-def _small(benchmark: DataFrame, min_match: int, item_col: str, item_text_col: str) -> Block | None:
+def _searched(n_words: int, min_match: int, short_items: bool) -> bool:
+    return n_words >= (1 if short_items else min_match)
+
+
+def skipped_items(benchmark: DataFrame, *, min_match: int = MIN_MATCH, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """item_id, n_words of the items that aren't searched by default: those of fewer than ``min_match`` words, null ones too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, n) for i, t in zip(*columns(b, "i", "t"), strict=True) if not _searched(n := len(words(t)[0]), min_match, False)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["item_id", "n_words"])
+
+    return map_batches(benchmark.select(F.col(item_col).cast("long").alias("i"), text_of(item_text_col).alias("t")), run, "item_id long, n_words long")
+
+
+def _small(benchmark: DataFrame, min_match: int, short_items: bool, item_col: str, item_text_col: str) -> Block | None:
     """The benchmark as an index, if it has at most ``SMALL`` characters."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("t <> ''")
     if (items.agg(F.sum(F.length("t") + F.lit(16))).first()[0] or 0) > SMALL:
         return None
-    return block_of([tuple(r) for r in items.collect()], min_match)
+    return block_of([tuple(r) for r in items.collect() if _searched(len(words(r.t)[0]), min_match, short_items)], min_match)
 
 
 def _results(keys: str, got: list[tuple], ids: list) -> pa.RecordBatch:
@@ -216,13 +231,15 @@ def _results(keys: str, got: list[tuple], ids: list) -> pa.RecordBatch:
     return batch_of(schema, **{keys: [k for k, _ in got]}, item_id=[ids[m["item"]] for _, m in got], n_tiles=[m["tiles"] for _, m in got], matched_words=[m["matched"] for _, m in got], item_words=[m["words"] for _, m in got], coverage=[m["coverage"] for _, m in got], spans=[m["spans"] for _, m in got])
 
 
-def _item_seeds(items: DataFrame, min_match: int) -> DataFrame:
+def _item_seeds(items: DataFrame, min_match: int, short_items: bool) -> DataFrame:
     """item, words of its seeds, seed (distinct)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, t in zip(*columns(b, "item", "t"), strict=True):
                 w = words(t)[0]
+                if not _searched(len(w), min_match, short_items):
+                    continue
                 size = min(min_match, len(w))
                 seeds = np.unique(shingle_hashes(w, size)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seeds), key)), pa.array(np.full(len(seeds), size)), pa.array(seeds)], names=["item", "size", "seed"])
@@ -285,17 +302,17 @@ def _chosen(items: DataFrame, counted: DataFrame, min_match: int, coverage: floa
     return map_batches(rows, run, "item long, seed long")
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame, min_match: int, coverage: float, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+def _joined(docs: DataFrame, benchmark: DataFrame, min_match: int, coverage: float, short_items: bool, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
     with Scratch(docs.sparkSession) as scratch:
-        return _found(docs, benchmark, min_match, coverage, text_col, item_col, item_text_col, scratch)
+        return _found(docs, benchmark, min_match, coverage, short_items, text_col, item_col, item_text_col, scratch)
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, min_match: int, coverage: float, text_col: str, item_col: str, item_text_col: str, scratch: Scratch) -> DataFrame:
+def _found(docs: DataFrame, benchmark: DataFrame, min_match: int, coverage: float, short_items: bool, text_col: str, item_col: str, item_text_col: str, scratch: Scratch) -> DataFrame:
     """key (MD5 of the text) and the columns of a result, for each text and item found in it; by a join of seeds."""
     spark = docs.sparkSession
     items = scratch(benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t"), F.monotonically_increasing_id().alias("item")).where("t <> ''"), "tiling-items")
     texts = docs.select(F.md5(F.col(text_col)).alias("key"), F.col(text_col).alias("t")).where("t <> ''")
-    held = scratch(_item_seeds(items, min_match), "tiling-item-seeds")
+    held = scratch(_item_seeds(items, min_match, short_items), "tiling-item-seeds")
     seeds = scratch(_document_seeds(texts, [r["size"] for r in held.select("size").distinct().collect()], _seed_filter(held)).distinct(), "tiling-seeds")
     counted = held.join(seeds.groupBy("seed").agg(F.count("*").alias("n")), "seed")
     chosen = _chosen(items, counted, min_match, coverage)
@@ -314,18 +331,19 @@ def _found(docs: DataFrame, benchmark: DataFrame, min_match: int, coverage: floa
     return written(spark, map_batches(rows, run, f"key string, {_RESULT_DDL}"), "tiling-found")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH, coverage: float = COVERAGE, short_items: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_tiles, matched_words, item_words, coverage, spans: a row for each item found.
 
-    Items shorter than ``min_match`` words must occur whole; items and documents that are null or have
-    no words match nothing. Repeated rows of either table give repeated results; an empty table of
+    Items of fewer than ``min_match`` words are left out (``skipped_items`` lists them): a word or two stand in
+    any text. With ``short_items`` they are searched, and must occur whole. Items and documents that are
+    null or have no words match nothing. Repeated rows of either table give repeated results; an empty table of
     either kind gives none; other columns aren't read. Texts and words are taken whole; memory follows
     the lengths of a text and an item, however often their words repeat.
     """
-    block = _small(benchmark, min_match, item_col, item_text_col)
+    block = _small(benchmark, min_match, short_items, item_col, item_text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     if block is None:
-        found = _joined(docs, benchmark, min_match, coverage, text_col, item_col, item_text_col)
+        found = _joined(docs, benchmark, min_match, coverage, short_items, text_col, item_col, item_text_col)
         return rows.select("doc_id", F.md5("text").alias("key")).join(found, "key").drop("key")
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -337,15 +355,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_
     return map_batches(rows, run, f"doc_id long, {_RESULT_DDL}")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_MATCH, coverage: float = COVERAGE, short_items: bool = False, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, in which no benchmark item is found.
 
     Null and empty texts stay, and so do repeated rows; no other column is looked at.
     """
     names = docs.columns
-    block = _small(benchmark, min_match, item_col, item_text_col)
+    block = _small(benchmark, min_match, short_items, item_col, item_text_col)
     if block is None:
-        found = _joined(docs, benchmark, min_match, coverage, text_col, item_col, item_text_col).select("key").distinct()
+        found = _joined(docs, benchmark, min_match, coverage, short_items, text_col, item_col, item_text_col).select("key").distinct()
         return docs.join(found, F.md5(F.col(text_col)) == found["key"], "left_anti").select(*names)
     shared = docs.sparkSession.sparkContext.broadcast(block)
 

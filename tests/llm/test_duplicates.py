@@ -412,19 +412,34 @@ def test_contamination_is_brute_force(spark, small, monkeypatch):
     df = spark.createDataFrame([(k, t, 0) for k, t in docs], "doc_id long, text string, item_id int").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted((str(d), i) for d, t in docs for i, x in items if plain_contamination(t, x, 5, 0.5))
-    got = tiling.contaminated(df, bench).collect()
+    got = tiling.contaminated(df, bench, short_items=True).collect()
     assert sorted((str(r.doc_id), r.item_id) for r in got) == want and {i for _, i in want} == {0, 1, 2, 3, 10}
     text = {}
     for k, t in docs:
         text.setdefault(k, []).append(t)
     for r in got:
         assert r.matched_words == sum(len(re.findall(r"[^\W_]+", t[int(a) : int(b)])) for a, b in (s.split(":") for s in r.spans.split(",")) for t in text[r.doc_id][:1]) or len(text[r.doc_id]) > 1
-    kept = tiling.decontaminated(df, bench).collect()
-    assert sorted(str(r.doc_id) for r in kept) == sorted(str(d) for d, t in docs if not any(plain_contamination(t, x, 5, 0.5) for _, x in items))
+    for short in (True, False):
+        some = [x for _, x in items if x and (short or len(x.split()) > 4)]
+        kept = tiling.decontaminated(df, bench, short_items=short).collect()
+        assert sorted(str(r.doc_id) for r in kept) == sorted(str(d) for d, t in docs if not any(plain_contamination(t, x, 5, 0.5) for x in some))
+    assert sorted((str(r.doc_id), r.item_id) for r in tiling.contaminated(df, bench).collect()) == [x for x in want if x[1] != 10]
+    assert {r.item_id: r.n_words for r in tiling.skipped_items(bench).collect()} == {10: 3, 11: 0, 12: 0, 13: 0}
     assert tiling.contaminated(df, bench.limit(0)).count() == 0 and tiling.contaminated(df.limit(0), bench).count() == 0
     assert tiling.decontaminated(df, bench.limit(0)).count() == len(docs)
 
 
+def test_null_and_short_items_alone(spark, monkeypatch):
+    """They are counted out before anything is gathered, and no document goes for a word."""
+    df = spark.createDataFrame([(1, "alpha1 " * 3000), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, None) for k in range(50)] + [(99, "alpha1"), (100, "")], "item_id long, text string")
+    for small in (tiling.SMALL, 0):
+        monkeypatch.setattr(tiling, "SMALL", small)
+        assert tiling.contaminated(df, bench).count() == 0 and tiling.decontaminated(df, bench).count() == 2
+    nulls = bench.where("text IS NULL")
+    assert tiling._small(nulls, 5, True, "item_id", "text").items == []
+
+
 def test_words_that_repeat_take_little_memory():
     """A text and an item of one word, and of two in turn."""
     import tracemalloc

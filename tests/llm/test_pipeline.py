@@ -27,6 +27,7 @@ def tables(spark, tmp_path_factory):
     full += [full[5], full[5]]  # repeated rows are one document
     spark.createDataFrame(full, COLUMNS).repartition(3).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(k, [1.0, float(k % 3), 0.5 * k]) for k in range(12)], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
     spark.createDataFrame([(k, f"http://h/{k}", f"<p>{k % 7}</p>") for k in range(20)], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
     return str(d), full
 
@@ -54,6 +55,21 @@ def test_stages_and_run(spark, tables):
     assert all(sum(r.length for r in rows) == rows[0].doc_tokens for rows in by.values())
 
 
+def test_near_dedup_of_ids_with_several_texts(spark):
+    """An id's other text isn't lost with a copy of another document."""
+    rng = random.Random(7)
+    say = lambda n: " ".join(rng.choice(EN) + str(rng.randint(0, 99)) for _ in range(n))
+    one, other, third = say(60), say(60), say(50)
+    rows = [(1, one), (2, other), (2, one), (3, one + " more"), (4, None), (4, None), (4, ""), (5, ""), (2, other), (None, one), (None, one), (6, third), (6, third), (7, "...")]
+    docs = spark.createDataFrame([(k, t, "en", f"s{j}", 0) for j, (k, t) in enumerate(rows)], COLUMNS).coalesce(1)
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, one), (2, other), (4, None), (4, ""), (5, ""), (None, one), (None, one), (6, third), (7, "...")], key=repr)
+    # Without such ids the smallest id stays.
+    plain = docs.where("source NOT IN ('s1', 's8', 's4', 's5')")
+    assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, plain, "").collect()), key=repr) == sorted([(1, one), (4, ""), (5, ""), (None, one), (None, one), (6, third), (7, "...")], key=repr)
+
+
 def test_stages_keep_columns_of_any_name(spark, tables):
     """Names that the operators use themselves, and an empty table."""
     d, full = tables
@@ -73,10 +89,10 @@ def test_queries_of_the_operators(spark, tables):
     d, full = tables
     queries = entry.queries()
     names = {int(re.match(r"op(\d+)_", q)[1]): q for q in queries if q.startswith("op")}
-    assert sorted(names) == list(range(1, 11)) and "pipeline" in queries
-    for n in (1, 3, 6, 7, 9):
+    assert sorted(names) == list(range(1, 14)) and "pipeline" in queries
+    for n in (1, 3, 6, 7, 9, 11):
         assert queries[names[n]](spark, d).count() == len(full), n
-    assert queries[names[8]](spark, d).count() == 20
+    assert queries[names[8]](spark, d).count() == 20 and queries[names[12]](spark, d).count() == 12 and queries[names[13]](spark, d).count() == 0  # no phrase occurs 30 times
     assert {r.doc_id for r in queries[names[5]](spark, d).collect()} == {102}
     assert {1, 100, 101} <= {r.doc_id for r in queries[names[4]](spark, d).collect()}
     assert queries[names[2]](spark, d).selectExpr("sum(n_tokens) AS a").first().a == queries[names[3]](spark, d).selectExpr("sum(n_tokens - 1) AS a").first().a
