@@ -8,7 +8,9 @@ we count the documents that hold an entity e, a term t, and both of them anywher
 
 the share of the information of e that knowing t reveals. A term of a disclosure over the threshold,
 seen with the entity in enough different texts (copies of one text count once), is marked wherever it
-stands in a document that holds the entity. ``sanitise`` replaces patterns by their kind and generalises such terms.
+stands in a document that holds the entity. Entities of little information are left out: of one that most
+documents hold, any word would seem to tell. ``sanitise`` replaces patterns by their kind and removes such
+terms, leaving ``[TERM]``.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 #: Share of an entity's information that a term may reveal; different texts needed to say so.
 DISCLOSURE, SUPPORT = 0.8, 3
+#: Information (in bits) of an entity that is worth protecting: one that more than half of the documents hold has less.
+LEAST_IC = 1.0
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -230,19 +234,36 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", most: int = 1
     return map_batches(rows, run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def disclosing(found: DataFrame, frequencies: DataFrame, n_docs: int, *, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def own_words(found: DataFrame) -> DataFrame:
+    """__row, __context, __entities, term: a row for each distinct word of each document that holds an entity."""
+    return found.where(F.size("__entities") > 0).select("__row", "__context", "__entities", F.explode("__words").alias("term"))
+
+
+def disclosing(found: DataFrame, frequencies: DataFrame, n_docs: int, *, disclosure: float = DISCLOSURE, support: int = SUPPORT, least_ic: float = LEAST_IC) -> DataFrame:
     """entity, term, disclosure of the pairs over the threshold."""
-    held = found.where(F.size("__entities") > 0).select("__context", F.explode("__entities").alias("entity"), "__words")
-    # A pair has no more contexts than its entity: most entities go before their words are looked at.
-    entities = held.groupBy("entity", "__context").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_entity")).where(F.col("contexts") >= support).select("entity", "n_entity")
-    near = held.join(entities.select("entity"), "entity").select("entity", "__context", F.explode("__words").alias("term"))
-    # A document has one row for each entity and term; copies share a context.
-    pairs = near.groupBy("entity", "term", "__context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_pair")).where(F.col("contexts") >= support)
-    scored = pairs.join(entities, "entity").join(frequencies, "term")
+    held = found.where(F.size("__entities") > 0).select("__row", "__context", F.explode("__entities").alias("entity"))
+    # A pair has no more contexts than its entity: most entities go before any word is looked at, and so do those
+    # that are in so many documents that there is little to disclose.
     n = F.lit(float(n_docs))
+    entities = held.groupBy("entity", "__context").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_entity"))
+    entities = entities.where((F.col("contexts") >= support) & (F.log2(n / F.col("n_entity")) >= least_ic)).select("entity", "n_entity")
+    # With n_pair <= n_entity, PMI reaches its share of IC only up to this many documents of the term. So of a
+    # document's words few meet its entities.
+    most = F.pow(n, F.lit(1.0 - disclosure)) * F.pow(F.col("n_entity"), F.lit(disclosure))
+    named = held.join(entities, "entity").groupBy("__row", "__context").agg(F.collect_set(F.struct("entity", "n_entity")).alias("__held"), F.max(most).alias("__most"))
+    words = found.where(F.size("__entities") > 0).select("__row", "__words").join(named, "__row").select("__context", "__held", "__most", F.explode("__words").alias("term"))
+    near = words.join(frequencies, "term").where(F.col("n_term") <= F.col("__most") * (1 + 1e-9)).select("term", "n_term", "__context", F.inline("__held"))
+    # A document has one row for each entity and term; copies share a context.
+    pairs = near.groupBy("entity", "n_entity", "term", "n_term", "__context").agg(F.count("*").alias("n")).groupBy("entity", "n_entity", "term", "n_term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_pair")).where(F.col("contexts") >= support)
     pmi = F.log2(F.col("n_pair") * n / (F.col("n_term") * F.col("n_entity")))
-    ic = F.log2(n / F.col("n_entity"))
-    return scored.withColumn("disclosure", F.when(ic > 0, pmi / ic)).where(F.col("disclosure") >= disclosure).select("entity", "term", "disclosure")
+    return pairs.withColumn("disclosure", pmi / F.log2(n / F.col("n_entity"))).where(F.col("disclosure") >= disclosure).select("entity", "term", "disclosure")
+
+
+def terms_to_mark(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """__row, term: of each document its own words that disclose an entity which it holds; no more rows than it has words."""
+    # A term's entities are joined only where the term stands, and one of them must be the document's.
+    terms = pairs.groupBy("term").agg(F.collect_set("entity").alias("__of"))
+    return own_words(found).join(terms, "term").where(F.arrays_overlap("__entities", "__of")).select("__row", "term")
 
 
 def _marked(docs: DataFrame, text_col: str, keep: list[str], **options) -> DataFrame:
@@ -251,7 +272,7 @@ def _marked(docs: DataFrame, text_col: str, keep: list[str], **options) -> DataF
     found = written(spark, _found(docs, text_col, keep), "pii-found")
     pairs = written(spark, disclosing(found, document_frequencies(docs, text_col), found.count(), **options), "pii-pairs")
     some = F.size("__entities") > 0
-    terms = found.where(some).select("__row", F.explode("__entities").alias("entity")).join(pairs.select("entity", "term"), "entity").groupBy("__row").agg(F.collect_set("term").alias("__disclosing"))
+    terms = terms_to_mark(found, pairs).groupBy("__row").agg(F.collect_set("term").alias("__disclosing"))
     out = [*keep, "__base", "__counts", "__held"]
     # Documents without an entity disclose none: they don't take part in the join.
     plain = found.where(~some).select(*out, F.lit(None).cast("array<long>").alias("__disclosing"))

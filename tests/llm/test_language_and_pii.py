@@ -215,6 +215,70 @@ def test_disclosure_is_the_formula(spark):
     assert len(zorblax) == 1 and abs(zorblax[0].disclosure - np.log2(6 * 60 / 36) / np.log2(1 / e)) < 1e-9
 
 
+def plain_terms(rows, disclosure=0.8, support=3, least_ic=1.0):
+    """Marked words of each row, by plain counting over all documents."""
+    docs = []
+    for _, text in rows:
+        base = brute(text or "")
+        words = [m for m in re.finditer(r"[^\W\d_]+", text or "")]
+        own = {m.group().lower() for m in words if not any(m.start() < b and a < m.end() for _, a, b in base)}
+        docs.append((text or "", {f"{k}:{text[a:b].lower()}" for k, a, b in base}, own, {m.group().lower() for m in words}))
+    n = len(docs)
+    out = [set() for _ in docs]
+    for e in {e for d in docs for e in d[1]}:
+        holders = [d for d in docs if e in d[1]]
+        ic = np.log2(n / len(holders))
+        if len({d[0] for d in holders}) < support or ic < least_ic:
+            continue
+        for t in {t for d in holders for t in d[2]}:
+            both = [d for d in holders if t in d[2]]
+            pmi = np.log2(len(both) * n / (sum(t in d[3] for d in docs) * len(holders)))
+            if len({d[0] for d in both}) >= support and pmi / ic >= disclosure - 1e-12:
+                for k, d in enumerate(docs):
+                    if e in d[1] and t in d[2]:
+                        out[k].add(t)
+    return out
+
+
+@pytest.mark.parametrize("disclosure", [0.8, 0.5])
+def test_find_is_brute_force(spark, disclosure):
+    """Documents with several entities each, shared terms, copies, and entities that most documents hold."""
+    rng = random.Random(12)
+    plain = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)]
+    secret = {f"m{k}@corp.example.com": [f"Zorb{chr(97 + k)}", f"Quux{chr(97 + k)}"] for k in range(6)}
+    rows = []
+    for k in range(300):
+        text = [rng.choice(plain) for _ in range(25)]
+        for mail, terms in rng.sample(sorted(secret.items()), rng.choice([0, 0, 0, 1, 2])):
+            text += [mail, *[t for t in terms if rng.random() < 0.9]]
+        if rng.random() < 0.6:
+            text += ["all@corp.example.com", "everyone"]
+        rng.shuffle(text)
+        rows.append((k, " ".join(text)))
+    rows += [(1000 + k, rows[k][1]) for k in range(20)] + [(2000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {k: t for (k, _), t in zip(rows, plain_terms(rows, disclosure), strict=True)}
+    text = dict(rows)
+    for r in pii.find(df, disclosure=disclosure).collect():
+        marked = {text[r.doc_id][int(a) : int(b)].lower() for _, a, b in (x.split(":") for x in r.spans.split(",") if x.startswith("term:"))}
+        assert marked == want[r.doc_id], r.doc_id
+    assert any("zorb" in t for w in want.values() for t in w) and not any("everyone" in w for w in want.values())
+
+
+def test_an_address_in_every_other_document(spark):
+    """What is carried follows the words of the documents, not the vocabulary times the documents."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    own = [word() for _ in range(3000)]
+    rows = [(k, " ".join(rng.choice(own) for _ in range(40)) + " me@corp.example.com") for k in range(1500)] + [(9000 + k, f"other words {k}") for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii._found(df, "text", ["doc_id"]).cache()
+    pairs = pii.disclosing(found, pii.document_frequencies(df), len(rows)).cache()
+    marked = pii.terms_to_mark(found, pairs)
+    assert pairs.count() > 2000 and marked.count() <= sum(len(set(t.split())) for _, t in rows[:1500])
+    assert pii.own_words(found).count() <= 1500 * 42
+
+
 def test_sanitise(spark):
     rows = [*rows_with_secrets(), (200, None), (201, "call +1 555 123 4567 or 4111 1111 1111 1111!")]
     df = spark.createDataFrame([(k, t, "s") for k, t in rows], "doc_id long, text string, source string")
