@@ -52,15 +52,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _rows_near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The same, by rows: ids don't tell the documents apart."""
-    row = fresh_name("row", docs.columns)
+    row, one, blank_text, first = (fresh_name(n, docs.columns) for n in ("row", "one", "blank", "first"))
     numbered = written(spark, docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
     named = numbered.where("doc_id IS NOT NULL")
     found = minhash.near_duplicates(named, shingle=5, percent=80, id_col=row)
     rows = written(spark, found.select(F.col("doc_id").alias(row), "kept", "n_shingles"), "near-duplicates")
     out = numbered.join(_few(rows.where("NOT kept").select(row)), row, "left_anti")
     # Empty texts are linked with nothing: those of one id are one.
-    blank = out.where("doc_id IS NOT NULL").join(rows.where("n_shingles = 0").select(row), row, "left_semi").groupBy("doc_id", "text").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = out.where("doc_id IS NOT NULL").join(blank.select(F.col("doc_id").alias("__id"), F.col("text").alias("__blank"), "first"), (F.col("doc_id") == F.col("__id")) & F.col("text").eqNullSafe(F.col("__blank")) & (F.col(row) > F.col("first"))).select(row)
+    blank = out.where("doc_id IS NOT NULL").join(rows.where("n_shingles = 0").select(row), row, "left_semi").groupBy(F.col("doc_id").alias(one), F.col("text").alias(blank_text)).agg(F.min(row).alias(first))
+    again = out.join(blank, (F.col("doc_id") == F.col(one)) & F.col("text").eqNullSafe(F.col(blank_text)) & (F.col(row) > F.col(first))).select(row)
     return out.join(_few(again), row, "left_anti").select(*docs.columns)
 
 

@@ -212,19 +212,48 @@ def repeated_passages(docs: DataFrame, *, run: int = RUN, within: bool = False,
     return out.where(~F.col("is_first") | (F.col("end") - F.col("start") >= run)).select("doc_id", "start", "end", "n_chunks", "first_doc_id", "is_first")
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    """``docs`` with a key for each document: its id, or, if an id stands with several texts, the first row of the id and text."""
+    h = F.xxhash64(F.coalesce(text_col, F.lit("")))
+    own = docs.withColumn(key, F.col(id_col).cast("long"))
+    mixed = own.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(h).alias("low"), F.max(h).alias("high")).where("low <> high")
+    if not mixed.limit(1).count():
+        return own
+    row, text, one, same, first = (fresh_name(n, own.columns) for n in ("row", "text_hash", "one", "same", "first"))
+    rows = written(docs.sparkSession, own.withColumn(row, F.monotonically_increasing_id()).withColumn(text, F.md5(F.coalesce(text_col, F.lit("")))), "numbered-documents")
+    least = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(one), F.col(text).alias(same)).agg(F.min(row).alias(first))
+    both = rows.join(least, (F.col(key) == F.col(one)) & (F.col(text) == F.col(same)), "left")
+    return written(docs.sparkSession, both.select(*docs.columns, F.col(first).alias(key)), "keyed-documents")
+
+
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with every repeated passage cut out of all documents but the first that holds it.
 
-    All columns stay, whatever their names; so do rows without an id, null texts and repeated rows.
+    All columns stay, whatever their names; so do rows without an id, null texts and repeated rows. Rows of
+    one id and one text are one document; rows of one id and several texts are as many documents, and the first
+    is the one whose row stands first.
     """
-    found = repeated_passages(docs, id_col=id_col, text_col=text_col, **options).where("NOT is_first")
-    key, held = fresh_name("id", docs.columns), fresh_name("spans", docs.columns)
-    spans = found.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(held))
-    joined = docs.join(spans, docs[id_col] == spans[key], "left")
-    pieces = F.aggregate(
-        held,
-        F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
-        lambda acc, s: F.struct(F.concat(acc["text"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))).alias("text"), s["end"].alias("at")),
-        lambda acc: F.concat(acc["text"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.length(text_col))),
-    )
-    return joined.withColumn(text_col, F.when(F.col(held).isNull(), F.col(text_col)).otherwise(pieces)).select(*docs.columns)
+    key, held, own = (fresh_name(n, docs.columns) for n in ("key", "spans", "own"))
+    keyed = _keyed(docs, id_col, text_col, key)
+    plain = keyed.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text"))
+    found = repeated_passages(plain, **options).where("NOT is_first")
+    spans = found.groupBy(F.col("doc_id").alias(own)).agg(F.collect_list(F.struct("start", "end")).alias(held))
+    joined = keyed.join(spans, F.col(key) == F.col(own), "left").select(*docs.columns, held)
+    names, place = docs.columns, docs.columns.index(text_col)
+
+    def cut(text: str | None, spans: list[dict] | None) -> str | None:
+        if not spans:
+            return text
+        out, at = [], 0
+        for a, b in sorted((x["start"], x["end"]) for x in spans):
+            out.append(text[at:a])
+            at = b
+        return "".join(out) + text[at:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            *cols, spans = b.columns
+            cols[place] = pa.array([cut(t, x) for t, x in zip(cols[place].to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return map_batches(joined, run, docs.schema)

@@ -469,3 +469,14 @@ def test_frequent_shingles_are_split(spark, monkeypatch, part):
 
     left = {p.name.rsplit("-", 1)[0] for p in pathlib.Path(shared_dir(spark).removeprefix("file://"), spark.sparkContext.applicationId).glob("minhash-*")}
     assert left <= {"minhash-sketch"}
+
+
+def test_repeats_of_ids_with_several_texts(spark):
+    """A text isn't cut by the offsets of another text of its id; rows of one id and text stay both."""
+    rng = random.Random(21)
+    one, other, third = prose(rng, 120), prose(rng, 120), prose(rng, 90)
+    rows = [(1, one), (2, other), (2, one), (3, third + " " + one), (3, third + " " + one), (4, None), (None, one)]
+    df = spark.createDataFrame([(k, t, j) for j, (k, t) in enumerate(rows)], "doc_id long, text string, start int").coalesce(1)
+    got = {r.start: r.text for r in chunking.without_repeats(df).collect()}
+    assert len(got) == len(rows) and [got[k] for k in (0, 1, 5, 6)] == [one, other, None, one]
+    assert len(got[2]) < 100 and len(got[3]) < len(third) + 100 and got[3].startswith(third[:-100]) and got[3] == got[4]
