@@ -52,10 +52,17 @@ def by_side(labelled: DataFrame) -> DataFrame:
     return labelled.withColumn("peak_side", F.explode(sides))
 
 
-def side_counts(sides: DataFrame) -> DataFrame:
-    hit, own = F.col("has_diamond_hit"), F.coalesce("best_hit_is_viral", F.lit(False))
-    counts = (F.count("*"), F.count_if(hit), F.count_if(~hit), F.count_if(F.coalesce("has_viral_hit", F.lit(False))), F.count_if(own), F.count_if(hit & ~own), F.count_if(F.coalesce("viral_protein_role_ambiguous", F.lit(False))))
-    return sides.groupBy("peak_id", "peak_side").agg(*(c.alias(n) for n, c in zip(_SIDE_COUNTS, counts, strict=True)))
+def peak_counts(labelled: DataFrame) -> DataFrame:
+    """One row for each peak: how many of its targets count on either side and how many span it, and of those how many have which kind of hit. One aggregation."""
+    hit, viral, own = F.col("has_diamond_hit"), F.coalesce("has_viral_hit", F.lit(False)), F.coalesce("best_hit_is_viral", F.lit(False))
+    kinds = (F.lit(True), hit, ~hit, viral, own, hit & ~own, F.coalesce("viral_protein_role_ambiguous", F.lit(False)))
+    tallies = [F.count_if(F.col(flag) & kind).alias(_count_name(side, name)) for side, flag in _SIDES.items() for name, kind in zip(_SIDE_COUNTS, kinds, strict=True)]
+    tallies += [F.count_if(F.col("has_spanning_alignment") & kind).alias(_count_name("spanning", name)) for name, kind in list(zip(_SIDE_COUNTS, kinds, strict=True))[:4]]
+    return labelled.groupBy("peak_id").agg(*tallies)
+
+
+def _count_name(side: str, name: str) -> str:
+    return f"{side}_{'observed_target_count' if name == 'target_count' else name}"
 
 
 def _missing(value: Column) -> Column:
@@ -126,19 +133,14 @@ def _filled(column: str) -> Column:
 def peak_annotation_summary(peaks: DataFrame, annotated: DataFrame) -> DataFrame:
     """All columns of the peaks, counts of each side, the dominant annotations, and spanning counts."""
     labelled = with_title_labels(annotated)
-    sides = by_side(labelled)
-    counted = side_counts(sides)
-    name = lambda side, c: f"{side}_{'observed_target_count' if c == 'target_count' else c}"
-    totals = counted.groupBy("peak_id").agg(*(F.max(F.when(F.col("peak_side") == s, F.col(c))).alias(name(s, c)) for s in _SIDES for c in _SIDE_COUNTS))
-    hit = F.col("has_diamond_hit")
-    spanning = annotated.where("has_spanning_alignment").groupBy("peak_id").agg(F.count("*").alias("spanning_observed_target_count"), F.count_if(hit).alias("spanning_diamond_hit_target_count"), F.count_if(~hit).alias("spanning_no_diamond_hit_target_count"), F.count_if(F.coalesce("has_viral_hit", F.lit(False))).alias("spanning_viral_hit_target_count"))
+    counts = peak_counts(labelled)
     # Annotated targets have one row for each peak and target, and a side once.
     dominant = _pivoted(dominant_value(_slots(labelled), ["peak_id", "slot"], "value", "target_id", repeats=False))
-    wide = peaks.join(totals, "peak_id", "left").join(dominant, "peak_id", "left").join(spanning, "peak_id", "left")
+    wide = peaks.join(counts.join(dominant, "peak_id", "left"), "peak_id", "left")
     order = []
     for side in _SIDES:
-        order += [name(side, c) for c in _SIDE_COUNTS] + [c for n in SUMMARISED for c in (f"{side}_dominant_{n}", f"{side}_dominant_{n}_target_count", f"{side}_dominant_{n}_fraction_among_nonmissing", f"{side}_distinct_{n}_count")]
-    return wide.select(*peaks.columns, *(_filled(c) for c in [*order, *spanning.columns[1:]]))
+        order += [_count_name(side, c) for c in _SIDE_COUNTS] + [c for n in SUMMARISED for c in (f"{side}_dominant_{n}", f"{side}_dominant_{n}_target_count", f"{side}_dominant_{n}_fraction_among_nonmissing", f"{side}_distinct_{n}_count")]
+    return wide.select(*peaks.columns, *(_filled(c) for c in [*order, *(_count_name("spanning", c) for c in _SIDE_COUNTS[:4])]))
 
 
 def contradicted() -> Column:
