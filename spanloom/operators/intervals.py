@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.runtime import written
+
 
 #: Coordinates of a block: the rows of a group of the first level, at most.
 BLOCK = 1 << 14
@@ -93,7 +95,8 @@ def runs(intervals: DataFrame, ends: DataFrame, axis: list[str], member: str, to
     # A row at the first point of each axis carries its length.
     base = ends.where("length >= 1").select(*axis, F.col("length").cast("int").alias("length"), F.lit(-1).alias("m"), F.lit(1).alias("at"), F.lit(0).alias("d"))
     points = steps.unionByName(base).groupBy(*axis, "at").agg(F.max("length").alias("length"), *(F.sum(F.when(F.col("m") == k, F.col("d")).otherwise(0)).alias(f"d_{name}") for k, name in enumerate(measures)))
-    out = swept(points, axis, measures, block)
+    # Blocks and their totals are read apart: the points are made once and written.
+    out = swept(written(intervals.sparkSession, points, "points"), axis, measures, block)
     return out.withColumn("last", F.least(F.coalesce("last", "length"), F.col("length")).cast("int")).where("first <= last")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.intervals import islands
 from spanloom.operators.profile import GEOMETRIES
-from spanloom.runtime import ship
+from spanloom.runtime import ship, written
 from spanloom.schemas import PROFILE_COLUMNS, PROFILE_MEASURES, InputError, require_columns
 
 #: End and start counts of each geometry.
@@ -100,7 +100,8 @@ def passing_islands(positions: DataFrame, limits: dict[str, int]) -> DataFrame:
     influence each other: islands are selected from one by one.
     """
     each = F.array_compact(F.array(*(F.when(F.col(GEOMETRIES[g]) >= n, F.struct(F.lit(g).alias("score_geometry"), F.col(GEOMETRIES[g]).cast("long").alias("own"))) for g, n in limits.items())))
-    long = positions.select(*PROFILE_COLUMNS, F.inline(each))
+    # Blocks and rows are read apart: the positions are found once and written.
+    long = written(positions.sparkSession, positions.select(*PROFILE_COLUMNS, F.inline(each)), "passing-positions")
     return islands(long, ["query_id", "score_geometry"], "boundary_position", F.col("radius_nt") * 2)
 
 
