@@ -1,11 +1,13 @@
 """Titles, dominant annotations, rules, layouts and pairs."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import titles as ti
 from spanloom.operators import annotations as an
 from spanloom.operators import rules as ru
+from spanloom.operators import targets as tg
 from spanloom.schemas import InputError
 
 TITLES = {
@@ -153,3 +155,19 @@ def test_a_target_of_ten_thousand_queries(spark):
     assert {(r.end_peak_id, r.start_peak_id) for r in viable.collect()} == {(f"p{k}", f"p{k + 1}") for k in true} | {("p20", "p31")}
     got = {r.peak_id: (r.reciprocal_one_sided_peak_ids, r.maximum_reciprocal_shared_target_count) for r in ru.reciprocal_pairs(peaks, links.union(links)).collect()}
     assert got == {f"p{a}": ([f"p{b}"], 3) for k in true for a, b in ((k, k + 1), (k + 1, k))}
+
+
+def test_a_summary_shuffles_nothing_after_the_join(spark):
+    """Peaks multiply targets; all shuffles of what they give, and of its summary, must come before that."""
+    found = spark.createDataFrame([(f"{q}:{p}", q, 400, p, 10, "local") for q in ("q0", "q1") for p in (30, 90, 200)], "peak_id string, query_id string, query_length long, peak_position long, radius_nt long, score_geometry string")
+    hits = spark.createDataFrame([(f"q{k % 2}", f"t{k % 9}", 25 + k, 90 + k) for k in range(40)], "query_id string, target_id string, query_from int, query_to int")
+    columns = {"qseqid": [f"t{k}" for k in range(5)], "has_viral_hit": [True] * 5, "best_hit_is_viral": [False] * 5, **{c: [f" {c} {k % 2} " if k % 3 else None for k in range(5)] for c in an.ANNOTATION_TEXT}}
+    notes = spark.createDataFrame(pa.table(columns))
+    joined = an.annotated_peak_targets(found, hits, an.with_present(an.with_title_labels(notes)))
+    plain = an.annotated_targets(tg.peak_targets(found, hits), notes)
+    both = [sorted(map(str, df.select(*plain.columns).collect())) for df in (joined, plain)]
+    assert both[0] == both[1]
+    tallied = an._tallied(an._values(joined))
+    plan = tallied._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Join")[0]
+    assert sorted(map(str, tallied.collect())) == sorted(map(str, an._tallied(an._values(an.with_title_labels(plain))).collect()))
