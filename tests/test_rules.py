@@ -171,3 +171,17 @@ def test_a_summary_shuffles_nothing_after_the_join(spark):
     plan = tallied._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("Join")[0]
     assert sorted(map(str, tallied.collect())) == sorted(map(str, an._tallied(an._values(an.with_title_labels(plain))).collect()))
+
+
+def test_pairs_by_targets_are_those_by_links(spark):
+    """Several peaks a query, targets on one side only, and pairs within a query, which don't count."""
+    from spanloom.plans import fixtures as fx
+
+    held = {(f"Q{q}", side, k): {f"t{(q * 5 + k * 3 + j * j) % 11}" for j in range(6)} for q in range(8) for side in ("end", "start") for k in range(2) if (q + k) % 3}
+    name = lambda q, side, k: f"{q}:{side}{k}"
+    rows = [(name(*p), p[0], t, f"one_sided_{p[1]}", (p[1] == "end") == (t != "t3"), p[1] == "start") for p, ts in held.items() for t in sorted(ts)]
+    targets = spark.createDataFrame(rows, "peak_id string, query_id string, target_id string, score_geometry string, enters_peak_end_count boolean, enters_peak_start_count boolean")
+    peaks = targets.select("peak_id", "query_id", "score_geometry").distinct()
+    links = spark.sql(fx.LINKS, targets=targets, alignments=targets.select("query_id", "target_id").distinct())
+    got, want = (sorted(map(str, df.collect())) for df in (ru.reciprocal_pairs_of_targets(peaks, targets), ru.reciprocal_pairs(peaks, links)))
+    assert got == want and len(got) > 4
