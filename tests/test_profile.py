@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from spanloom.operators import intervals as iv
+from spanloom.operators import peaks as pk
 from spanloom.operators import profile as pr
 from spanloom.operators import targets as tg
 from spanloom.operators.alignments import counts, normalised, typed
@@ -186,3 +187,35 @@ def test_blocks_of_any_size(spark, block):
             total += p[3]
             want[axis, p[1]] = (40, after and after[1] - 1, total)
     assert got == want
+
+
+def test_crowded_queries_are_counted_as_others(spark, monkeypatch):
+    """Queries dealt whole, spread over their targets, or some of either: the same profile and peaks."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(900):
+        q = rng.randrange(4)
+        f = rng.randint(1, 280)
+        rows.append((f"q{q}", None if rng.random() < 0.02 else f"t{rng.randrange(60)}", 300 if q else rng.choice((300, 290)), f, rng.randint(f, 300)))
+    hits = spark.createDataFrame(rows, SCHEMA)
+    found = {}
+    for most in (10**6, 230, 0):
+        monkeypatch.setattr(pr, "WHOLE", most)
+        limits = pk.thresholds(one_sided=2)
+        crowded = pr.has_crowded(hits)
+        assert crowded == (most < 10**6)
+        peaks = pk.score_peaks(pr.boundary_profile(hits, 20, limits), limits, whole=not crowded)
+        found[most] = sorted(map(tuple, pr.boundary_profile(hits, 20).collect())), sorted(map(tuple, peaks.collect()))
+        assert found[most][0] and found[most][1]
+    assert found[10**6] == found[230] == found[0]
+
+
+def test_alignments_are_shuffled_once(spark):
+    """From the alignments to the peaks' islands there is one shuffle of rows, by query."""
+    hits = spark.createDataFrame([("q", f"t{k}", 300, 1 + k, 200 + k) for k in range(30)], SCHEMA)
+    limits = pk.thresholds()
+    positions = pk.passing_islands(pr.boundary_profile(hits, 20, limits), limits, whole=True)
+    shuffles = [x for x in positions._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x and "Broadcast" not in x]
+    assert sum("REPARTITION_BY_NUM" in x for x in shuffles) == 1
+    # Sizes of queries, a row each, may be brought to them.
+    assert len(shuffles) <= 2 and all("query_id" in x and "target_id" not in x.split("plan_id")[0] for x in shuffles), shuffles
