@@ -219,3 +219,22 @@ def test_alignments_are_shuffled_once(spark):
     assert sum("REPARTITION_BY_NUM" in x for x in shuffles) == 1
     # Sizes of queries, a row each, may be brought to them.
     assert len(shuffles) <= 2 and all("query_id" in x and "target_id" not in x.split("plan_id")[0] for x in shuffles), shuffles
+
+
+@pytest.mark.parametrize("listed", [10**6, 0])
+def test_ordered_targets_are_the_others_in_order(spark, monkeypatch, listed):
+    """In order by lists or by sorting; lists leave nothing to be sorted or shuffled after the join."""
+    monkeypatch.setattr(tg, "LISTED", listed)
+    rng = random.Random(9)
+    rows = [(f"q{rng.randrange(5)}", f"t{rng.randrange(40)}", 300, f, rng.randint(f, 300)) for f in (rng.randint(1, 280) for _ in range(400))]
+    hits = spark.createDataFrame(rows, SCHEMA)
+    peaks = spark.createDataFrame([(f"q{q}:local:P{k:03d}", f"q{q}", 300, 30 * k, 20, "local") for q in range(5) for k in range(1, 9)], "peak_id string, query_id string, query_length long, peak_position long, radius_nt long, score_geometry string")
+    notes = spark.createDataFrame([(f"t{k}", {"n": k}) for k in range(30)], "target_id string, more map<string,int>")
+    out = tg.peak_targets(peaks, hits, notes, ordered=True)
+    got = out.collect()
+    keys = [(x.query_id, x.peak_id, x.target_id) for x in got]
+    assert keys == sorted(keys) and len(set(keys)) == len(keys)
+    by_key = lambda rows: {(x.peak_id, x.target_id): x for x in rows}
+    assert by_key(got) == by_key(tg.peak_targets(peaks, hits, notes).collect())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert ("peak_id" in plan.split("rangepartitioning(")[1].split(")")[0]) == (not listed)
