@@ -89,6 +89,14 @@ def test_rounding_is_the_other_engine_s(spark):
             spark.createDataFrame([(bad,)], "t string").select(al.rounded(F.col("t"), "int")).collect()
 
 
+def test_rounding_reads_a_number_once(spark):
+    texts = ["0.4999999999999999999999e0", "-0.49999999999999999995e0", "1_0.5_0e0_1", "\n 2_5e-0_1\r"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", al.rounded(F.col("t"), "int").alias("n"))
+    assert {r.k: r.n for r in df.collect()} == {k: duckdb.execute("SELECT CAST(? AS INTEGER)", [t]).fetchone()[0] for k, t in enumerate(texts)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 2 and "regexp_extract" not in plan
+
+
 def test_faults(spark):
     df = spark.createDataFrame([("q", "q", 1), ("q", "t", 2), ("q", "t", 3), ("q", "t", 9), (None, "t", 4), (None, "t", 5), ("a", "a", 6)], "query_id string, target_id string, n int")
     rules = {"self hit": F.col("query_id") == F.col("target_id"), "n over 4": F.col("n") > 4, "no such column": F.col("zz") > 1}
