@@ -185,3 +185,12 @@ def test_pairs_by_targets_are_those_by_links(spark):
     links = spark.sql(fx.LINKS, targets=targets, alignments=targets.select("query_id", "target_id").distinct())
     got, want = (sorted(map(str, df.collect())) for df in (ru.reciprocal_pairs_of_targets(peaks, targets), ru.reciprocal_pairs(peaks, links)))
     assert got == want and len(got) > 4
+
+
+def test_notes_are_joined_in_as_many_tasks_as_peaks(spark):
+    peaks = spark.createDataFrame([("p", "q", 900, 400, 50, "local")], "peak_id string, query_id string, query_length long, peak_position long, radius_nt long, score_geometry string")
+    hits = spark.createDataFrame([("q", f"t{k}", 10, 400) for k in range(5)], "query_id string, target_id string, query_from int, query_to int")
+    notes = spark.createDataFrame([("t1", "x"), ("t9", "y")], "target_id string, note string")
+    df = tg.peak_targets(peaks, hits, notes)
+    assert {r.target_id: r.note for r in df.collect()} == {f"t{k}": "x" if k == 1 else None for k in range(5)}
+    assert "RepartitionByExpression [target_id" in df._jdf.queryExecution().optimizedPlan().toString()
