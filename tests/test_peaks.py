@@ -1,16 +1,18 @@
 """Peak selection, targets and their audits."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.operators import annotations as an
 from spanloom.operators import intervals as iv
 from spanloom.operators import peaks as pk
 from spanloom.operators import profile as pr
 from spanloom.operators import targets as tg
-from spanloom.schemas import PROFILE_MEASURES, InputError
+from spanloom.schemas import ANNOTATION_COLUMNS, PROFILE_MEASURES, InputError
 
 
 def plain(rows, geometry, d):
@@ -125,3 +127,18 @@ def test_peaks_of_islands_are_those_of_the_whole_axis(spark, monkeypatch, block)
     assert got == want
     sizes = pk.passing_islands(df, limits).groupBy("query_id", "score_geometry", "island").count()
     assert sizes.agg({"count": "max"}).first()[0] < 60 and sizes.count() > 30
+
+
+def above_the_join(df):
+    """The exchanges and sorts that a plan has above its topmost join."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"\b(?:Exchange|Sort)\b", re.split(r"\w*Join\b", plan)[0])
+
+
+def test_annotated_targets_are_written_where_they_are_joined(spark):
+    alignments, peaks = stage(spark)
+    notes = spark.createDataFrame([("a1", True), ("a3", False)], "qseqid string, has_viral_hit boolean")
+    for c in ANNOTATION_COLUMNS:
+        if c not in notes.columns:
+            notes = notes.withColumn(c, F.lit(None).cast("boolean" if c == "best_hit_is_viral" else "string"))
+    assert not above_the_join(an.annotated_peak_targets(peaks, alignments, notes))
