@@ -142,3 +142,13 @@ def test_annotated_targets_are_written_where_they_are_joined(spark):
         if c not in notes.columns:
             notes = notes.withColumn(c, F.lit(None).cast("boolean" if c == "best_hit_is_viral" else "string"))
     assert not above_the_join(an.annotated_peak_targets(peaks, alignments, notes))
+
+
+def test_tasks_follow_the_joined_rows(spark, monkeypatch):
+    """However few bytes are shuffled, as peaks multiply them after that."""
+    alignments, peaks = stage(spark)
+    monkeypatch.setattr(tg, "ROWS", 10, raising=False)
+    joined = peaks.join(alignments, "query_id").count()
+    targets = tg.peak_targets(peaks, alignments)
+    assert targets.rdd.getNumPartitions() == -(-joined // 10) > 8
+    assert not above_the_join(targets)
