@@ -152,3 +152,12 @@ def test_tasks_follow_the_joined_rows(spark, monkeypatch):
     targets = tg.peak_targets(peaks, alignments)
     assert targets.rdd.getNumPartitions() == -(-joined // 10) > 8
     assert not above_the_join(targets)
+
+
+def test_an_audit_adds_up_where_targets_are_joined(spark):
+    """The final aggregation of a peak's counts reads the partial one, and that the targets, with no shuffle between."""
+    alignments, peaks = stage(spark)
+    plan = tg.target_mismatches(peaks, tg.peak_targets(peaks, alignments))._jdf.queryExecution().executedPlan().toString()
+    sums = [k for k, line in enumerate(plan.splitlines()) if re.search(r"HashAggregate\(keys=\[query_id#\w+, peak_id#\w+\]", line)]
+    assert len(sums) == 2 and sums[1] == sums[0] + 1
+    assert not re.findall(r"\b(?:Exchange|Sort)\b", re.split(r"\w*Join\b", "\n".join(plan.splitlines()[sums[0] :]))[0])
