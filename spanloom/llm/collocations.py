@@ -5,9 +5,10 @@
    above. The number of cells follows the length of all texts, so a block holds much the same at any size.
 2. Candidates: phrases whose cell holds ``least`` or more. The cells are sent to the tasks ``CELLS`` at a
    time, a pass over the texts each.
-3. Counts: candidates are compiled to automata, ``PHRASES`` at a time, each between two spaces. Each task
-   scans its texts, whose words stand between single spaces, for all overlapping matches; the counts are
-   added up and only then compared with ``least``, so the sketch decides nothing.
+3. Counts: candidates are compiled to automata, ``PHRASES`` at a time, whose symbols are words. Each task
+   scans its texts, whose words stand between single spaces, for all overlapping matches: it goes on from all
+   words of a text at once, so no state needs a failure link. The counts are added up by blocks of states and
+   only then compared with ``least``, so the sketch decides nothing.
 4. Scores by joins of the counts with themselves, in integers of 38 digits.
 
 Words are runs of other characters than space and tab, A-Z lower-cased, in pieces between ``.,;:!?`` and
@@ -21,10 +22,12 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.arrow import batch_of, map_batches, ready, text_of
@@ -41,8 +44,13 @@ CELLS_CHAR = 2
 BLOCK = 20
 #: Phrases that a task counts before it hands them on.
 HELD = 1 << 22
-#: Cells (8 bytes each) that are sent to all tasks at once, and phrases of the automata that a worker holds.
-CELLS, PHRASES = 1 << 21, 250_000
+#: Cells (8 bytes each) that are sent to all tasks at once, and phrases (some 25 bytes each) of the automata that a worker holds.
+#: Both grow more slowly than the texts; each time that they don't suffice, texts are read once more.
+CELLS, PHRASES = 1 << 23, 1 << 21
+#: Hashes of phrases that a task remembers to have handed on, as a power of two.
+REMEMBERED = 22
+#: States whose counts are added up together.
+STATES = 1 << 16
 #: Bytes of input of a task that hands on phrases: the fewer tasks, the fewer copies of a phrase.
 TASK = 256 << 20
 #: Phrases of a language that one task ranks.
@@ -67,8 +75,7 @@ class Phrases:
     """Hashes of all phrases of some folded texts of one language, by the number of words."""
 
     def __init__(self, texts: list[str], lang: str):
-        self.joined = "\n".join(texts)
-        codes = code_points(self.joined)
+        self.codes = codes = code_points("\n".join(texts))
         inside = np.concatenate([[False], (codes != 32) & (codes != 10), [False]])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         self.starts, self.ends = edge[::2], edge[1::2]
@@ -91,8 +98,15 @@ class Phrases:
             power = power * _STEP % (1 << 64)
         return at, mix(total + np.uint64(n))
 
-    def text(self, first: int, n: int) -> str:
-        return self.joined[self.starts[first] : self.ends[first + n - 1]]
+    def texts(self, first: np.ndarray, n: np.ndarray) -> pa.Array:
+        """The phrases of n words that begin at these."""
+        at, size = self.starts[first], self.ends[first + n - 1] - self.starts[first]
+        ends = np.cumsum(size)
+        codes = self.codes[np.repeat(at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        # Bytes of each character in UTF-8.
+        width = np.cumsum(1 + (codes > 0x7F).astype(np.int32) + (codes > 0x7FF) + (codes > 0xFFFF))
+        edge = np.append(np.zeros(1, np.int32), width[ends - 1]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(first), pa.py_buffer(edge), pa.py_buffer(codes.tobytes().decode("utf-32-le").encode()))
 
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
@@ -188,56 +202,107 @@ def candidates(docs: DataFrame, cells: DataFrame, bits: int, every: bool = True)
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen, words = Cells(shared.value, bits), set(), Counter()
+        table, words, mask = Cells(shared.value, bits), Counter(), np.uint64((1 << REMEMBERED) - 1)
+        # Each place holds the last hash that ends in its number; at first one that doesn't.
+        seen = np.arange(1, (1 << REMEMBERED) + 1, dtype=np.uint64)
         for batch in batches:
-            out: list[tuple[str, str, int]] = []
+            out: list[tuple[str, pa.Array, np.ndarray]] = []
             for lang, texts in _by_language(batch):
                 phrases = Phrases(texts, lang)
                 words[lang] += len(phrases.word)
-                if len(seen) > HELD // 4:
-                    seen.clear()
-                held = None
+                held, firsts, sizes = None, [], []
                 for k in range(1, WORDS + 1):
                     # What is frequent has frequent parts. With some of the cells only, its parts may be in others.
                     at, h = phrases.hashes(k, held if every else None)
                     hit = table.hold(h)
                     at, h, held = at[hit], h[hit], np.zeros(len(phrases.word), bool)
                     held[at] = True
-                    h, first = np.unique(h, return_index=True)
-                    for x, i in zip(h.tolist(), at[first].tolist(), strict=True):
-                        if x not in seen:
-                            seen.add(x)
-                            out.append((lang, phrases.text(i, k), k))
-            lang, phrase, n = zip(*out, strict=True) if out else ((), (), ())
-            yield batch_of(schema, lang=lang, phrase=phrase, n=n)
+                    new = np.flatnonzero(seen[h & mask] != h)
+                    h, first = np.unique(h[new], return_index=True)
+                    seen[h & mask] = h
+                    firsts.append(at[new[first]])
+                    sizes.append(np.full(len(h), k))
+                n = np.concatenate(sizes)
+                out.append((lang, phrases.texts(np.concatenate(firsts), n), n))
+            if out:
+                yield batch_of(schema, lang=pa.array([lang for lang, _, _ in out]).take(pa.array(np.repeat(np.arange(len(out)), [len(n) for _, _, n in out]))), phrase=pa.concat_arrays([x for _, x, _ in out]), n=pa.array(np.concatenate([n for _, _, n in out])))
         yield batch_of(schema, lang=list(words), phrase=[None] * len(words), n=list(words.values()))
 
     return map_batches(_tasks(docs), run, "lang string, phrase string, n long")
 
 
-class Automaton:
-    """Counts of phrases in folded texts."""
+def _keys(state: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
+    """A state and the word that follows as one number, mixed: no two are equal."""
+    return mix(state.astype(np.uint64) * np.uint64(words) + word.astype(np.uint64))
 
-    def __init__(self, phrases: list[str]):
-        import ahocorasick
 
-        self.found, self.total = ahocorasick.Automaton(ahocorasick.STORE_INTS), np.zeros(len(phrases), np.int64)
-        for k, phrase in enumerate(phrases):
-            self.found.add_word(f" {phrase} ", k)
-        self.found.make_automaton()
+def compiled(phrases: pa.Array) -> tuple[int, pa.Array, list[tuple[np.ndarray, np.ndarray]]]:
+    """The number of these phrases, their words, and for each number of words the states: their keys in order, and which phrase each is.
 
-    def count(self, text: str) -> None:
-        """Add all matches, overlapping ones too."""
-        self.total += np.bincount(np.fromiter((k for _, k in self.found.iter(text)), np.int64), minlength=len(self.total))
+    A phrase whose first words aren't a phrase has no state: it can't be frequent.
+    """
+    split = pc.split_pattern(phrases, " ")
+    n, words = pc.list_value_length(split).to_numpy(zero_copy_only=False), pc.unique(split.flatten())
+    ids, starts = pc.index_in(split.flatten(), words).to_numpy(zero_copy_only=False), np.cumsum(n) - n
+    state, levels = np.zeros(len(phrases), np.int64), []
+    for k in range(1, WORDS + 1):
+        some = np.flatnonzero((n >= k) & (state >= 0))
+        keys, whole = _keys(state[some], ids[starts[some] + (k - 1)], len(words)), n[some] == k
+        order = np.argsort(keys[whole])
+        levels.append((keys[whole][order], some[whole][order]))
+        state[some] = Sorted(keys[whole]).find(keys)
+    return len(phrases), words, levels
+
+
+class Automaton:
+    """Counts of compiled phrases in folded texts."""
 
+    def __init__(self, size: int, words: pa.Array, levels: list[tuple[np.ndarray, np.ndarray]]):
+        self.size, self.ids, self.levels = size, {word: k for k, word in enumerate(words.to_pylist())}, levels
+        self.tables, self.total = [Sorted(keys) for keys, _ in levels], np.zeros(size, np.int64)
+        self.met: list[list[np.ndarray]] = [[] for _ in levels]
+        self.held = 0
 
-def scanned(docs: DataFrame, phrases: dict[tuple[str, int], list[str]]) -> DataFrame:
-    """lang, part, k, a: matches of the k-th phrase of each (lang, part) in the texts of that language."""
+    def count(self, text: str) -> None:
+        """Add all matches, overlapping ones too."""
+        words = text.split(" ")
+        ids = np.append(np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words)), -1)
+        at = np.flatnonzero(ids >= 0)
+        state = np.zeros(len(at), np.int64)
+        for table, met in zip(self.tables, self.met, strict=True):
+            state = table.find(_keys(state, ids[at], len(self.ids)))
+            hit = np.flatnonzero(state >= 0)
+            at, state = at[hit] + 1, state[hit]
+            met.append(state.astype(np.int32))
+            self.held += len(state)
+            more = np.flatnonzero(ids[at] >= 0)
+            at, state = at[more], state[more]
+        if self.held > max(HELD, self.size):
+            self._add()
+
+    def _add(self) -> None:
+        for (_, phrase), met in zip(self.levels, self.met, strict=True):
+            if met:
+                self.total[phrase] += np.bincount(np.concatenate(met), minlength=len(phrase))
+                met.clear()
+        self.held = 0
+
+    def counts(self) -> np.ndarray:
+        """The count of each phrase."""
+        self._add()
+        return self.total
+
+
+def scanned(docs: DataFrame, phrases: dict[tuple[str, int], tuple[tuple, np.ndarray]], least: int) -> DataFrame:
+    """lang, part, block, k, a: matches of the k-th phrase of each block in the texts of its language, if there are ``least``.
+
+    ``phrases`` has those of each (lang, part) compiled, and where its blocks begin.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
-    schema = pa.schema([("lang", pa.string()), ("part", pa.int64()), ("k", pa.int64()), ("a", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("part", pa.int64()), ("block", pa.int64()), ("n", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = {key: Automaton(held) for key, held in shared.value.items()}
+        made = {key: Automaton(*held) for key, (held, _) in shared.value.items()}
         for batch in batches:
             for lang, texts in _by_language(batch):
                 text = "\n".join(texts)
@@ -245,11 +310,18 @@ def scanned(docs: DataFrame, phrases: dict[tuple[str, int], list[str]]) -> DataF
                     if key[0] == lang:
                         found.count(text)
         for (lang, part), found in made.items():
-            k = np.flatnonzero(found.total)
-            yield batch_of(schema, lang=[lang] * len(k), part=pa.array(np.full(len(k), part)), k=pa.array(k), a=pa.array(found.total[k]))
+            for block, n in enumerate(np.split(found.counts(), shared.value[lang, part][1][1:])):
+                if n.any():
+                    yield batch_of(schema, lang=[lang], part=[part], block=[block], n=[n.tobytes()])
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        a = reduce(np.add, (np.frombuffer(n, np.int64) for n in rows.column("n").to_pylist()))
+        k = np.flatnonzero(a >= least)
+        same = rows.select(["lang", "part", "block"]).take(pa.array(np.zeros(len(k), np.int64)))
+        return same.append_column("k", pa.array(k)).append_column("a", pa.array(a[k]))
 
-    some = map_batches(_tasks(docs.where(F.col("lang").isin(*{key[0] for key in phrases}))), run, "lang string, part long, k long, a long")
-    return some.groupBy("lang", "part", "k").agg(F.sum("a").alias("a"))
+    some = map_batches(_tasks(docs.where(F.col("lang").isin(*{key[0] for key in phrases}))), run, "lang string, part long, block long, n binary")
+    return some.groupBy("lang", "part", "block").applyInArrow(add_up, "lang string, part long, block long, k long, a long")
 
 
 def _shifts(sizes: dict[tuple[str, int], int], most: int) -> Iterator[list[tuple[str, int]]]:
@@ -282,20 +354,22 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, *, least: int = LEAST, cell
     rows = [scratch(candidates(docs, own(k), bits, passes == 1), "phrase-rows") for k in range(passes)]
     words = rows[0].where("phrase IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     every = scratch(_union(rows).where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.first("n").cast("int").alias("words")), "phrase-texts")
-    # Parts of a language of some ``phrases`` phrases, numbered within.
-    parts = every.groupBy("lang").agg(F.ceil(F.count("*") / phrases).alias("parts"))
-    dealt = every.join(parts, "lang").withColumn("part", F.pmod(F.xxhash64("phrase"), "parts")).drop("parts")
-    numbered = scratch(dealt.withColumn("k", F.row_number().over(Window.partitionBy("lang", "part").orderBy("phrase")).cast("long") - 1), "phrases")
-    sizes = {(r.lang, r.part): r.n for r in numbered.groupBy("lang", "part").agg(F.count("*").alias("n")).collect()}
+    # Parts of a language of some ``phrases`` phrases, each beside its first words; blocks of a part, numbered within.
+    n = F.count("*")
+    parts = every.groupBy("lang").agg(F.ceil(n / phrases).alias("parts"), F.ceil(n / F.ceil(n / phrases) / STATES).alias("blocks"))
+    dealt = every.join(parts, "lang").withColumn("part", F.pmod(F.xxhash64(F.substring_index("phrase", " ", 1)), "parts")).withColumn("block", F.pmod(F.xxhash64("phrase", "words"), "blocks"))
+    numbered = scratch(dealt.withColumn("k", F.row_number().over(Window.partitionBy("lang", "part", "block").orderBy("phrase")).cast("long") - 1).drop("parts", "blocks"), "phrases")
+    sizes = {(r.lang, r.part): r.n for r in numbered.groupBy("lang", "part").agg(n.alias("n")).collect()}
     matches = []
     for group in _shifts(sizes, phrases):
-        taken: dict[tuple[str, int], list[str]] = {key: [""] * sizes[key] for key in group}
-        some = numbered.where(reduce(Column.__or__, ((F.col("lang") == lang) & (F.col("part") == part) for lang, part in group)))
-        for lang, part, k, phrase in zip(*(c.to_pylist() for c in some.select("lang", "part", "k", "phrase").toArrow().columns), strict=True):
-            taken[lang, part][k] = phrase
-        matches.append(scratch(scanned(docs, taken), "phrase-matches"))
-    none = numbered.select("lang", "part", "k", F.lit(0).cast("long").alias("a")).limit(0)
-    counts = numbered.join(_union(matches or [none]).where(F.col("a") >= least), ["lang", "part", "k"])
+        taken = {}
+        for lang, part in group:
+            some = numbered.where((F.col("lang") == lang) & (F.col("part") == part)).select("block", "k", "phrase").toArrow().sort_by([("block", "ascending"), ("k", "ascending")])
+            held = np.bincount(some.column("block").to_numpy())
+            taken[lang, part] = compiled(some.column("phrase").combine_chunks()), np.cumsum(held) - held
+        matches.append(scratch(scanned(docs, taken, least), "phrase-matches"))
+    none = numbered.select("lang", "part", "block", "k", F.lit(0).cast("long").alias("a")).limit(0)
+    counts = numbered.join(_union(matches or [none]), ["lang", "part", "block", "k"])
     return scratch(counts.select("lang", "phrase", "words", "a"), "phrase-counts"), words
 
 

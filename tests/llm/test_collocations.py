@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,25 @@ def test_the_sketch_bounds_every_count(spark, monkeypatch, block):
             for k in range(1, 5):
                 every[lang].update(" ".join(w[i : i + k]) for i in range(len(w) - k + 1))
     assert few and {(lang, p) for lang, c in every.items() for p, n in c.items() if n >= 3} <= got
+
+
+def test_an_automaton_of_words_counts_overlapping_phrases():
+    r = random.Random(5)
+    text = co.folded(" ".join(r.choice(["a", "b", "é", "日本", "of", "z" * 70, "rare."]) for _ in range(4000)))
+    words = [p.split() for p in text.split("\n")]
+    every = Counter(" ".join(w[i : i + k]) for w in words for k in range(1, 5) for i in range(len(w) - k + 1))
+    # Of "z of z b" the first words are missing: it can't be frequent, and has no state. The last phrase isn't in the text.
+    missing = {"z" * 70 + " of", "of a b", "a é"}
+    phrases = [p for p in sorted(every) if p not in missing and not any(p.startswith(m + " ") for m in missing)] + ["b never"]
+    made = co.Automaton(*co.compiled(pa.array([*phrases, "a é of"])))
+    for part in (text[: text.index("\n", 9000)], text[text.index("\n", 9000) + 1 :]):
+        made.count(part)
+    assert made.counts().tolist() == [every[p] for p in phrases] + [0]
+
+
+def test_texts_are_read_once_for_many_candidates():
+    """States are two numbers each, so one scan counts what took five of 250,000 phrases."""
+    phrases = pa.array([f"w{i} w{j}" for i in range(1000) for j in range(299)] + [f"w{i}" for i in range(1000)])
+    size, words, levels = co.compiled(phrases)
+    assert size == 300_000 and len(words) == 1000 and sum(x.nbytes for level in levels for x in level) == 16 * size
+    assert len(list(co._shifts({(lang, 0): size for lang in "abcd"}, co.PHRASES))) == 1
