@@ -1,11 +1,14 @@
 """Titles, dominant annotations, rules, layouts and pairs."""
 
+import random
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import titles as ti
 from spanloom.operators import annotations as an
+from spanloom.operators import profile as pr
 from spanloom.operators import rules as ru
 from spanloom.operators import targets as tg
 from spanloom.schemas import InputError
@@ -173,6 +176,45 @@ def test_a_summary_shuffles_nothing_after_the_join(spark):
     assert sorted(map(str, tallied.collect())) == sorted(map(str, an._tallied(an._values(an.with_title_labels(plain))).collect()))
 
 
+def described_by_chance(seed=3):
+    """Peaks of every geometry, alignments (some targets have several, one has no name), and notes with equals, blanks and nulls."""
+    r = random.Random(seed)
+    peaks = [(f"{q}:{g}:{p}", q, 400, p, 10, g) for q in ("q0", "q1", "q2", "bare", None) for g in pr.GEOMETRIES for p in (12, 90, 91, 200, 389)]
+    hits = [(q, r.choice([None, *(f"t{k}" for k in range(30))]), f, f + r.choice([5, 60, 108, 300])) for q in ("q0", "q1", "q1", "q1", "q2", "other", None) for f in (r.randint(1, 210) for _ in range(25))]
+    text = lambda: r.choice([None, "", " ", "n/a", " é ", "e", "Z", "z", "\U0001f600", "\uffff"])
+    notes = [(f"t{k}" if k else None, r.choice([True, False, None]), r.choice([True, False, None]), *(text() for _ in an.ANNOTATION_TEXT[:-1]), r.choice([*TITLES])) for k in range(24)]
+    return peaks, hits, notes
+
+
+@pytest.mark.parametrize("listed", [tg.LISTED, 30, 0])
+def test_dominant_values_without_rows_of_peaks_and_targets(spark, monkeypatch, listed):
+    """Counted where alignments meet peaks, they are those of the annotated targets, also of queries that are dealt in parts."""
+    peaks, hits, notes = described_by_chance()
+    peaks = spark.createDataFrame(peaks, "peak_id string, query_id string, query_length long, peak_position long, radius_nt long, score_geometry string")
+    hits = spark.createDataFrame(hits, "query_id string, target_id string, query_from int, query_to int")
+    notes = spark.createDataFrame(notes, "qseqid string, has_viral_hit boolean, best_hit_is_viral boolean, " + ", ".join(f"{c} string" for c in an.ANNOTATION_TEXT))
+    annotated = an.with_title_labels(an.annotated_targets(tg.peak_targets(peaks, hits), notes))
+    want = an.dominant_annotations(an.annotation_long(an.by_side(annotated), ("query_id",))), an.peak_annotation_summary(peaks, annotated)
+    monkeypatch.setattr(tg, "LISTED", listed)
+    tallied = an.peak_tallies(peaks, hits, notes)
+    for got, due in zip((an.dominant_of_tallies(tallied), an.described(peaks, tallied)), want, strict=True):
+        assert got.columns == due.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, due.collect()))
+    assert want[0].count() > 100
+    if listed > 30:
+        plan = tallied._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "Generate" not in plan
+
+
+def test_tallies_take_some_peaks_at_a_time(monkeypatch):
+    peaks, hits, _ = described_by_chance()
+    rows = pa.table({"target_id": [h[1] for h in hits], "query_from": [h[2] for h in hits], "query_to": [h[3] for h in hits], "kinds": [1 + k % 2 * 4 for k in range(len(hits))], **{c: pa.array([None if k % 7 == 0 else str(k % 5) for k in range(len(hits))]) for c in an.SUMMARISED}})
+    keys = pa.table(dict(zip(tg.PEAK_KEYS, zip(*[(p[0], p[1], *p[2:]) for p in peaks]), strict=True)))
+    whole = an._tallied_query(rows, keys)
+    monkeypatch.setattr(an, "_CELLS", 400)
+    assert an._tallied_query(rows, keys).equals(whole.combine_chunks()) and whole.num_rows == len(peaks)
+
+
 def test_pairs_by_targets_are_those_by_links(spark):
     """Several peaks a query, targets on one side only, and pairs within a query, which don't count."""
     from spanloom.plans import fixtures as fx
